@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrules.operators.numbering import number_words
@@ -92,22 +92,40 @@ def posting_bitmaps(postings: DataFrame) -> DataFrame:
     ).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bitmap"))
 
 
+def _nonzero(bits: Column, parts: int, width: int) -> Column:
+    """Indexes of the ``width``-byte parts that have any bit set."""
+    empty = F.lit(bytearray(width))
+    return F.filter(
+        F.sequence(F.lit(0), F.lit(parts - 1)),
+        lambda k: F.substring(bits, k * width + 1, F.lit(width)) != empty,
+    )
+
+
 def bitmap_positions(bitmaps: DataFrame) -> DataFrame:
-    """Read the set bits back as (word_id, rnum)."""
-    bits = F.col("bitmap")
-    octet = F.conv(F.hex(F.expr("substring(bitmap, _byte + 1, 1)")), 16, 10).cast("int")
-    octets = bitmaps.select(
-        "word_id", "bucket", "bitmap",
-        F.explode(F.sequence(F.lit(0), F.octet_length(bits) - 1)).alias("_byte"),
-    ).select("word_id", "bucket", "_byte", octet.alias("_octet")).filter("_octet <> 0")
-    return (
-        octets.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_bit"))
-        .filter(F.expr("shiftright(_octet, _bit) & 1 = 1"))
-        .select(
-            "word_id",
-            ((F.col("bucket") - 1) * SEGMENT + F.col("_byte") * 8 + F.col("_bit"))
-            .cast("long").alias("rnum"),
-        )
+    """Read the set bits back as (word_id, rnum), looking only into parts that are not empty."""
+    chunk = SEGMENT // 8 // 64  # bytes in one of 64 chunks
+    base = (F.col("bucket") - 1) * SEGMENT
+    chunks = bitmaps.select(
+        "word_id", base.alias("_base"), "bitmap",
+        F.explode(_nonzero(F.col("bitmap"), 64, chunk)).alias("_k"),
+    ).select(
+        "word_id", (F.col("_base") + F.col("_k") * chunk * 8).alias("_base"),
+        F.substring("bitmap", F.col("_k") * chunk + 1, F.lit(chunk)).alias("_chunk"),
+    )
+    octets = chunks.select(
+        "word_id", "_base", "_chunk",
+        F.explode(_nonzero(F.col("_chunk"), chunk, 1)).alias("_byte"),
+    ).select(
+        "word_id", (F.col("_base") + F.col("_byte") * 8).alias("_base"),
+        F.conv(F.hex(F.substring("_chunk", F.col("_byte") + 1, F.lit(1))), 16, 10)
+        .cast("int").alias("_octet"),
+    )
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda b: F.get(F.array(*[F.col("_octet").bitwiseAND(1 << i) for i in range(8)]), b) != 0,
+    )
+    return octets.select("word_id", "_base", F.explode(bits).alias("_bit")).select(
+        "word_id", (F.col("_base") + F.col("_bit")).cast("long").alias("rnum")
     )
 
 
