@@ -88,7 +88,7 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop leading and trailing whitespace of any kind (``trim`` drops spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
 def lines(text: Column) -> Column:
@@ -116,7 +116,7 @@ def line_sentences(line: Column) -> Column:
     in, stays whole. Whitespace around the line goes back to its first and last sentence.
     """
     lead = F.regexp_extract(line, r"^(\s*)", 1)
-    tail = F.regexp_extract(line, r"(\s*)$", 1)
+    tail = F.regexp_extract(line, r"(\s*)\z", 1)
     cut = F.filter(F.transform(plain_sentences(line), strip), lambda s: s != "")
     framed = F.transform(
         cut,
