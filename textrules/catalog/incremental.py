@@ -1 +1,116 @@
-ENTRIES = {}
+"""Incremental and streaming queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textrules.catalog.ingest import INGESTED_SQL, article_files
+from textrules.catalog.sql import sql
+from textrules.fixtures import Corpus
+from textrules.operators import incremental as op
+from textrules.operators.sentences import sentence_rows, with_words
+from textrules.plans.rule_run import run_rules
+from textrules.session import new_folder
+from textrules.sources.text_files import article_posts
+from textrules.streaming import jobs
+
+
+def last_post(c) -> int:
+    return c.table("documents").agg(F.max("doc_id")).first()[0]
+
+
+def stored_before(c):
+    """What earlier runs have stored: matches up to each rule's mark."""
+    return c.matches.join(F.broadcast(c.watermark), "rule_id").filter(
+        "post_id <= last_post_id"
+    ).select("rule_id", "post_id", "sentence_seq")
+
+
+def incremental(parity):
+    def query(c):
+        return op.incremental_matches(
+            c.sentences, c.packed_rules, c.watermark, last_post(c), parity
+        )
+
+    return query
+
+
+def rule_run_marks(c):
+    run = run_rules(c.sentences, c.packed_rules, c.watermark, stored_before(c), last_post(c))
+    return run.marks
+
+
+def document_stream(c, slices: int = 4):
+    """The documents arriving as a few files, one per micro-batch."""
+    folder = new_folder(c.spark, "arriving")
+    c.documents.repartition(slices, "doc_id").write.parquet(folder)
+    return (
+        c.spark.readStream.schema(c.documents.schema)
+        .option("maxFilesPerTrigger", "1")
+        .parquet(folder)
+    )
+
+
+def finish(query):
+    query.awaitTermination()
+
+
+def stream_rule_matches(c):
+    path, marks = new_folder(c.spark, "stream-matches"), new_folder(c.spark, "stream-state")
+    sentences = with_words(sentence_rows(Corpus.posts_of(document_stream(c))))
+    finish(jobs.stream_rule_matches(sentences, lambda: c.packed_rules, path, marks, once=True))
+    return jobs.streamed(c.spark, path)
+
+
+def stream_ingest_files(c):
+    path, marks = new_folder(c.spark, "stream-ingest"), new_folder(c.spark, "stream-state")
+    arriving = Corpus(c.spark, c.sf_dir)
+    arriving.documents = document_stream(c)
+    posts = article_posts(article_files(arriving))
+    finish(jobs.stream_ingest_files(posts, path, marks, once=True))
+    words = jobs.streamed(c.spark, f"{path}/words")
+    return (
+        jobs.streamed(c.spark, f"{path}/sentence_words")
+        .join(words, "word_id")
+        .join(jobs.streamed(c.spark, f"{path}/posts").select("post_id", "path"), "post_id")
+        .select("path", "sentence_seq", "word_seq", "word")
+    )
+
+
+def incremental_sql(high):
+    return sql("matches watermark posts", f"""
+SELECT m.rule_id, m.post_id, m.sentence_seq FROM matches m LEFT JOIN watermark w USING (rule_id)
+WHERE m.post_id > coalesce(last_post_id, 0) AND m.post_id {high} (SELECT max(post_id) FROM posts)""")
+
+
+_BEFORE = """
+before AS (SELECT m.rule_id, m.post_id, m.sentence_seq FROM matches m JOIN watermark w USING (rule_id)
+  WHERE m.post_id <= last_post_id)"""
+
+ENTRIES = {
+    "incremental_matches": (incremental(False), incremental_sql("<=")),
+    "incremental_matches_parity": (incremental(True), incremental_sql("<")),
+    "advance_watermark": (
+        rule_run_marks,
+        sql("packed_rules watermark posts", """
+SELECT rule_id, greatest((SELECT max(post_id) FROM posts), coalesce(last_post_id, 0)) AS last_post_id
+FROM packed_rules LEFT JOIN watermark USING (rule_id)"""),
+    ),
+    "idempotent_append": (
+        lambda c: op.append_new(stored_before(c), c.matches),
+        sql("matches", "SELECT rule_id, post_id, sentence_seq FROM matches"),
+    ),
+    "rule_run": (
+        lambda c: run_rules(
+            c.sentences, c.packed_rules, c.watermark, stored_before(c), last_post(c)
+        ).new_matches,
+        sql("matches watermark", f"""{_BEFORE}
+SELECT rule_id, post_id, sentence_seq FROM matches ANTI JOIN before USING (rule_id, post_id, sentence_seq)
+LEFT JOIN watermark USING (rule_id) WHERE post_id > coalesce(last_post_id, 0)"""),
+    ),
+    "stream_rule_matches": (
+        stream_rule_matches,
+        sql("matches", "SELECT rule_id, post_id, sentence_seq FROM matches"),
+    ),
+    "stream_ingest_files": (stream_ingest_files, INGESTED_SQL),
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textrules.catalog.sql import sql
-from textrules.catalog.text import sql_lines, sql_strip
+from textrules.catalog.text import sql_lines, sql_strip, sql_text_sentences
 from textrules.operators.posts import day_range
 from textrules.plans.ingest import give_post_ids, ingest
 from textrules.schemas import TABLES
@@ -128,6 +128,14 @@ def sql_to_text(html):
 _VISIBLE = """seen AS (SELECT page_id, url, regexp_replace(html,
   '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', '', 'g') AS page FROM pages)"""
 
+INGESTED_SQL = sql("posts", f"""{_ARTICLES},
+bodies AS (SELECT path, array_to_string(l[3:], chr(10)) AS body
+  FROM (SELECT path, {sql_lines('value')} AS l FROM files)),
+{sql_text_sentences('path', 'body', 'bodies')},
+worded AS (SELECT path, sentence_seq, regexp_extract_all(lower(full_text), '[\\p{{L}}\\p{{N}}]+') AS l
+  FROM spoken)
+SELECT path, sentence_seq, unnest(range(len(l)))::INTEGER AS word_seq, unnest(l) AS word FROM worded""")
+
 ENTRIES = {
     "ingest_text_lines": (
         lambda c: tf.text_lines(article_files(c)),
@@ -158,7 +166,7 @@ SELECT path FROM files WHERE regexp_extract(path, '([^/]*)\\.txt$', 1) NOT IN (S
     ),
     "ingest_words": (
         ingested_words,
-        None,
+        INGESTED_SQL,
     ),
     "csv_round_trip": (
         csv_round_trip,
@@ -197,9 +205,19 @@ SELECT page_id, unnest(range(len(l)))::INTEGER AS position, unnest(l) AS link FR
 SELECT p.path, coalesce(h.part, '') AS header, CAST(p.k - 1 AS INTEGER) AS record_no, p.part AS record
 FROM parts p LEFT JOIN parts h ON h.post_id = p.post_id AND h.k = 0 WHERE p.k > 0"""),
     ),
+    # The header is the label and a blank line; name and header swap the label's ends.
     "reverse_records": (
         lambda c: records.reverse_records(batch_files(c)),
-        None,
+        sql("posts", f"""{_BATCHES},
+turned AS (SELECT post_id, any_value(label) AS label,
+    string_agg(part, chr(10) ORDER BY k DESC) FILTER (k > 0) AS records,
+    any_value(part) FILTER (k = 0) AS header FROM parts GROUP BY post_id),
+swapped AS (SELECT *, list_transform(string_split(header, chr(10)), lambda h: CASE
+    WHEN length(h) >= 10 AND len(string_split(h, ' ')) >= 6 THEN array_to_string(
+      list_transform([4, 5, 3, 1, 2, 6], lambda i: string_split(h, ' ')[i]), ' ') ELSE h END) AS head
+  FROM turned)
+SELECT array_to_string(list_transform([4, 5, 3, 1, 2, 6], lambda i: string_split(label || '.txt', ' ')[i]), ' ')
+  AS name, concat_ws(chr(10), array_to_string(head, chr(10)), records) AS value FROM swapped"""),
     ),
     "chunk_batches": (
         event_batches,
@@ -220,19 +238,3 @@ SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events
 WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-09'"""),
     ),
 }
-
-# The header of these files is the label and a blank line; swapping the label's ends swaps
-# both the name and the header, and the records come back last first.
-ENTRIES["reverse_records"] = (
-    ENTRIES["reverse_records"][0],
-    sql("posts", f"""{_BATCHES},
-turned AS (SELECT post_id, any_value(label) AS label,
-    string_agg(part, chr(10) ORDER BY k DESC) FILTER (k > 0) AS records,
-    any_value(part) FILTER (k = 0) AS header FROM parts GROUP BY post_id),
-swapped AS (SELECT *, list_transform(string_split(header, chr(10)), lambda h: CASE
-    WHEN length(h) >= 10 AND len(string_split(h, ' ')) >= 6 THEN array_to_string(
-      list_transform([4, 5, 3, 1, 2, 6], lambda i: string_split(h, ' ')[i]), ' ') ELSE h END) AS head
-  FROM turned)
-SELECT array_to_string(list_transform([4, 5, 3, 1, 2, 6], lambda i: string_split(label || '.txt', ' ')[i]), ' ')
-  AS name, concat_ws(chr(10), array_to_string(head, chr(10)), records) AS value FROM swapped"""),
-)

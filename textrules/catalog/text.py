@@ -91,6 +91,23 @@ def sql_normal(text):
     return f"trim(regexp_replace({sql_ascii(marked)}, '\\s+', ' ', 'g'))"
 
 
+def sql_text_sentences(key, text, source):
+    """``spoken``: sentences of whole texts, by the same steps as the ingest."""
+    return f"""
+lines AS (SELECT {key}, unnest(range(len(l))) AS line_no, unnest(l) AS line
+  FROM (SELECT {key}, {sql_lines(text)} AS l FROM {source})),
+pieces AS (SELECT {key}, line_no, unnest(range(len(l))) AS piece_no, unnest(l) AS piece
+  FROM (SELECT {key}, line_no, {SQL_PIECES.format('line')} AS l FROM lines)),
+cuts AS (SELECT *, {sql_cut('piece')} AS cut FROM pieces),
+framed AS (SELECT {key}, line_no, piece_no,
+  CASE WHEN regexp_matches(piece, '^[\\x{{3131}}-\\x{{3163}}]+$') THEN [piece]
+    ELSE {sql_framed('piece', 'cut')} END AS l FROM cuts),
+cut_rows AS (SELECT {key}, line_no, piece_no, unnest(range(len(l))) AS k, unnest(l) AS full_text
+  FROM framed),
+spoken AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY line_no, piece_no, k) - 1
+  AS INTEGER) AS sentence_seq, full_text FROM cut_rows)"""
+
+
 def with_jamo(c):
     text = F.col("text")
     for syllable, jamo in (("th", "ㅋㅋ"), ("que", "ㅠ"), ("schen", "ㅠㅠㅎ")):
@@ -167,18 +184,9 @@ FROM framed"""),
     ),
     "text_sentences": (
         lambda c: op.sentence_rows(with_jamo(c), split=tx.text_sentences),
-        sql("", f"""
-lines AS (SELECT doc_id AS post_id, unnest(range(len(l))) AS line_no, unnest(l) AS line
-  FROM (SELECT doc_id, {sql_lines(JAMO_SQL)} AS l FROM documents)),
-pieces AS (SELECT post_id, line_no, unnest(range(len(l))) AS piece_no, unnest(l) AS piece
-  FROM (SELECT post_id, line_no, {SQL_PIECES.format('line')} AS l FROM lines)),
-cuts AS (SELECT *, {sql_cut('piece')} AS cut FROM pieces),
-framed AS (SELECT post_id, line_no, piece_no,
-  CASE WHEN regexp_matches(piece, '^[\\x{{3131}}-\\x{{3163}}]+$') THEN [piece]
-    ELSE {sql_framed('piece', 'cut')} END AS l FROM cuts),
-rows AS (SELECT post_id, line_no, piece_no, unnest(range(len(l))) AS k, unnest(l) AS full_text FROM framed)
-SELECT post_id, CAST(row_number() OVER (PARTITION BY post_id ORDER BY line_no, piece_no, k) - 1
-  AS INTEGER) AS sentence_seq, full_text FROM rows"""),
+        sql("", f"""{sql_text_sentences('post_id', JAMO_SQL,
+            '(SELECT doc_id AS post_id, text FROM documents)')}
+SELECT post_id, sentence_seq, full_text FROM spoken"""),
     ),
     "tokenize_words": (
         lambda c: op.word_rows(c.raw_sentences),

@@ -34,9 +34,14 @@ def give_post_ids(posts: DataFrame, stored: DataFrame | None = None) -> DataFram
     )
 
 
+def post_sentences(posts: DataFrame) -> DataFrame:
+    """Sentences with packed words of posts that have post_id and text."""
+    return with_words(sentence_rows(posts, split=tx.text_sentences))
+
+
 def ingest(posts: DataFrame, vocab: DataFrame) -> Ingested:
     """``posts``: post_id and text besides its other columns; ``vocab``: what is known so far."""
-    sentences = with_words(sentence_rows(posts, split=tx.text_sentences))
+    sentences = post_sentences(posts)
     words = word_rows(sentences)
     grown = vocab_upsert(vocab, words)
     return Ingested(posts.drop("text"), sentences, grown, encode_words(words, grown))

@@ -64,11 +64,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure ``df`` (one aggregate) and tell whether it may be broadcast."""
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows as text, by one aggregate over ``df``."""
     width = F.octet_length(F.to_json(F.struct(*df.columns)))
-    size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
-    return size <= limit
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Measure ``df`` and tell whether it may be broadcast."""
+    return measured_bytes(df) <= limit
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
