@@ -8,7 +8,6 @@ from textrules.catalog.ingest import INGESTED_SQL, article_files
 from textrules.catalog.sql import sql
 from textrules.fixtures import Corpus
 from textrules.operators import incremental as op
-from textrules.operators.sentences import sentence_rows, with_words
 from textrules.plans.rule_run import run_rules
 from textrules.session import new_folder
 from textrules.sources.text_files import article_posts
@@ -57,8 +56,8 @@ def finish(query):
 
 def stream_rule_matches(c):
     path, marks = new_folder(c.spark, "stream-matches"), new_folder(c.spark, "stream-state")
-    sentences = with_words(sentence_rows(Corpus.posts_of(document_stream(c))))
-    finish(jobs.stream_rule_matches(sentences, lambda: c.packed_rules, path, marks, once=True))
+    posts = Corpus.posts_of(document_stream(c)).select("post_id", "text")
+    finish(jobs.stream_rule_matches(posts, lambda: c.packed_rules, path, marks, once=True))
     return jobs.streamed(c.spark, path)
 
 

@@ -93,7 +93,7 @@ def ingested_words(c):
     articles = tf.article_posts(article_files(c))
     done = ingest(give_post_ids(articles), c.spark.createDataFrame([], TABLES["words"]))
     return (
-        done.sentence_words.join(done.vocab, "word_id")
+        done.sentence_words.join(done.new_words, "word_id")
         .join(done.posts.select("post_id", "path"), "post_id")
         .select("path", "sentence_seq", "word_seq", "word")
     )

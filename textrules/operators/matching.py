@@ -97,6 +97,7 @@ def match_candidates(sentences: DataFrame, rules: DataFrame) -> DataFrame:
     )
     if fits_broadcast(packed):
         packed = F.broadcast(packed)
+    shared = F.filter("words", lambda w: F.array_contains(F.col("rule_words"), w))
     hits = F.filter(
         F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))),
         lambda x: F.array_contains(F.col("rule_words"), x["w"]),
@@ -106,14 +107,10 @@ def match_candidates(sentences: DataFrame, rules: DataFrame) -> DataFrame:
             "post_id", "sentence_seq", "words", F.explode(F.array_distinct("words")).alias("word")
         )
         .join(packed, "word")
-        .withColumn("hits", hits)
-        .filter(F.col("word") == F.get("hits", F.lit(0))["w"])
-        .filter(F.size("hits") >= F.size("rule_words"))
-        .select(
-            *KEYS,
-            F.transform("hits", lambda h: h["p"]).alias("word_seqs"),
-            F.transform("hits", lambda h: h["w"]).alias("hit_words"),
-        )
+        .withColumn("shared", shared)
+        .filter(F.col("word") == F.get("shared", F.lit(0)))
+        .filter(F.size("shared") >= F.size("rule_words"))
+        .select(*KEYS, F.transform(hits, lambda h: h["p"]).alias("word_seqs"), F.col("shared").alias("hit_words"))
     )
 
 

@@ -39,34 +39,40 @@ def dim_upsert(dim: DataFrame, names: DataFrame, key: str) -> DataFrame:
     )
 
 
-def hot_words(word_rows: DataFrame, share: float = HOT_SHARE) -> DataFrame:
-    """The words that alone make up at least ``share`` of all rows: at most 1/share of them."""
-    counts = word_rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
+def hot_of(counts: DataFrame, n: str, share: float = HOT_SHARE) -> DataFrame:
+    """The words whose count ``n`` is at least ``share`` of the sum: at most 1/share of them."""
+    total = counts.agg(F.sum(n).alias("_total"))
     return (
         counts.join(F.broadcast(total))  # one row
-        .filter(F.col("_n") >= F.col("_total") * share)
+        .filter(F.col(n) >= F.col("_total") * share)
         .select("word")
     )
 
 
+def hot_words(word_rows: DataFrame, share: float = HOT_SHARE) -> DataFrame:
+    return hot_of(word_rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "_n", share)
+
+
 def encode_words(word_rows: DataFrame, vocab: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Replace word by word_id (rows with unknown words drop out).
 
-    Rows of hot words find their id in a broadcast of at most 1/HOT_SHARE entries and never
-    move; only the rest is shuffled on the word, where no key is large any more.
+    Rows of hot words take their id from a broadcast of at most 1/HOT_SHARE entries, and go
+    through the join on the word under a salted key that meets nothing. So no key of the
+    shuffle is large, and the rows are computed once.
     """
     if hot is None:
         hot = hot_words(word_rows)
     rest = [c for c in word_rows.columns if c != "word"]
-    known = vocab.join(F.broadcast(hot), "word", "left_semi")
-    near = word_rows.join(F.broadcast(known), "word").select(*rest, "word_id")
-    far = (
-        word_rows.join(F.broadcast(hot), "word", "left_anti")
-        .join(vocab, "word")
-        .select(*rest, "word_id")
+    found = hot.join(vocab, "word", "left").select(
+        "word", F.col("word_id").alias("_hot_id"), F.lit(True).alias("_hot")
+    )
+    salted = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*rest), F.lit(1 << 14)).cast("string"))
+    keyed = word_rows.join(F.broadcast(found), "word", "left").withColumn(
+        "_key", F.when(F.col("_hot").isNull(), F.col("word")).otherwise(salted)
     )
-    return near.unionByName(far)
+    ids = vocab.select(F.col("word").alias("_key"), F.col("word_id").alias("_id"))
+    word_id = F.coalesce("_hot_id", "_id").alias("word_id")
+    return keyed.join(ids, "_key", "left").select(*rest, word_id).filter("word_id IS NOT NULL")
 
 
 def posting_rows(sentence_words: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -85,11 +91,18 @@ def posting_lists(postings: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 
 def posting_bitmaps(postings: DataFrame) -> DataFrame:
-    """Per word and bucket of 32,768 sentence numbers, a bitmap. Bit 0 is the first number."""
+    """Per word and bucket of 32,768 sentence numbers, a bitmap. Bit 0 is the first number.
+
+    The numbers are shuffled, not half-filled bitmaps: a bitmap takes 4 KB however few bits
+    it has, and one group never has more numbers than a bucket.
+    """
     position = F.col("rnum") + 1
-    return postings.groupBy(
-        "word_id", F.bitmap_bucket_number(position).alias("bucket")
-    ).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bitmap"))
+    return (
+        postings.withColumn("bucket", F.bitmap_bucket_number(position))
+        .repartition("word_id", "bucket")
+        .groupBy("word_id", "bucket")
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bitmap"))
+    )
 
 
 def _nonzero(bits: Column, parts: int, width: int) -> Column:
@@ -102,30 +115,26 @@ def _nonzero(bits: Column, parts: int, width: int) -> Column:
 
 
 def bitmap_positions(bitmaps: DataFrame) -> DataFrame:
-    """Read the set bits back as (word_id, rnum), looking only into parts that are not empty."""
-    chunk = SEGMENT // 8 // 64  # bytes in one of 64 chunks
-    base = (F.col("bucket") - 1) * SEGMENT
-    chunks = bitmaps.select(
-        "word_id", base.alias("_base"), "bitmap",
-        F.explode(_nonzero(F.col("bitmap"), 64, chunk)).alias("_k"),
-    ).select(
-        "word_id", (F.col("_base") + F.col("_k") * chunk * 8).alias("_base"),
-        F.substring("bitmap", F.col("_k") * chunk + 1, F.lit(chunk)).alias("_chunk"),
-    )
-    octets = chunks.select(
-        "word_id", "_base", "_chunk",
-        F.explode(_nonzero(F.col("_chunk"), chunk, 1)).alias("_byte"),
-    ).select(
-        "word_id", (F.col("_base") + F.col("_byte") * 8).alias("_base"),
-        F.conv(F.hex(F.substring("_chunk", F.col("_byte") + 1, F.lit(1))), 16, 10)
-        .cast("int").alias("_octet"),
+    """Read the set bits back as (word_id, rnum), opening only parts that are not empty."""
+    parts = bitmaps.select(
+        "word_id", ((F.col("bucket") - 1) * SEGMENT).alias("base"), F.col("bitmap").alias("bits")
     )
-    bits = F.filter(
+    width = SEGMENT // 8
+    while width > 1:  # 4096 bytes, then parts of 256, 16 and 1
+        width //= 16
+        parts = parts.select(
+            "word_id", "base", "bits", F.explode(_nonzero(F.col("bits"), 16, width)).alias("k")
+        ).select(
+            "word_id", (F.col("base") + F.col("k") * width * 8).alias("base"),
+            F.substring("bits", F.col("k") * width + 1, F.lit(width)).alias("bits"),
+        )
+    octet = F.conv(F.hex("bits"), 16, 10).cast("int")
+    set_bits = F.filter(
         F.sequence(F.lit(0), F.lit(7)),
-        lambda b: F.get(F.array(*[F.col("_octet").bitwiseAND(1 << i) for i in range(8)]), b) != 0,
+        lambda b: F.get(F.array(*[octet.bitwiseAND(1 << i) for i in range(8)]), b) != 0,
     )
-    return octets.select("word_id", "_base", F.explode(bits).alias("_bit")).select(
-        "word_id", (F.col("_base") + F.col("_bit")).cast("long").alias("rnum")
+    return parts.select("word_id", "base", F.explode(set_bits).alias("bit")).select(
+        "word_id", (F.col("base") + F.col("bit")).cast("long").alias("rnum")
     )
 
 

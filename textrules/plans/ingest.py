@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,27 +12,29 @@ from textrules.functions import text as tx
 from textrules.operators.numbering import number_words
 from textrules.operators.sentences import sentence_rows, with_words, word_rows
 from textrules.operators.vocabulary import encode_words, vocab_upsert
+from textrules.session import checked_broadcast, written
 
 
 @dataclass
 class Ingested:
     posts: DataFrame
     sentences: DataFrame
-    vocab: DataFrame
+    new_words: DataFrame
     sentence_words: DataFrame
 
 
 def give_post_ids(posts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Dense ids after the largest stored one. Paths are unique, so they order the posts."""
-    numbered = number_words(posts, "path", "_n", start=0)
-    if stored is None:
-        return numbered.withColumnRenamed("_n", "post_id")
-    top = stored.agg(F.coalesce(F.max("post_id"), F.lit(-1)).cast("long").alias("_top"))
-    return (
-        numbered.join(F.broadcast(top))  # one row
-        .withColumn("post_id", F.col("_top") + 1 + F.col("_n"))
-        .drop("_n", "_top")
-    )
+    """Dense ids after the largest stored one, in the order of the hashed paths.
+
+    Only paths are numbered; texts move for it only when the paths outgrow a broadcast.
+    """
+    ids = number_words(posts.select("path"), "path", "post_id", start=0)
+    if stored is not None:
+        top = stored.agg((F.coalesce(F.max("post_id"), F.lit(-1)) + 1).cast("long").alias("_next"))
+        ids = ids.join(F.broadcast(top)).select(  # one row
+            "path", (F.col("post_id") + F.col("_next")).alias("post_id")
+        )
+    return posts.join(checked_broadcast(ids), "path")
 
 
 def post_sentences(posts: DataFrame) -> DataFrame:
@@ -39,9 +42,20 @@ def post_sentences(posts: DataFrame) -> DataFrame:
     return with_words(sentence_rows(posts, split=tx.text_sentences))
 
 
-def ingest(posts: DataFrame, vocab: DataFrame) -> Ingested:
-    """``posts``: post_id and text besides its other columns; ``vocab``: what is known so far."""
-    sentences = post_sentences(posts)
+def ingest(
+    posts: DataFrame,
+    vocab: DataFrame,
+    store: Callable[[DataFrame, str], DataFrame] = written,
+) -> Ingested:
+    """``posts``: post_id and text besides its other columns; ``vocab``: what is known so far.
+
+    ``store`` writes a table and reads it back. Sentences are stored before the vocabulary is
+    made from them, and new words before words are looked up, so no text is cut twice.
+    """
+    stored_posts = store(posts.drop("text"), "posts")
+    sentences = store(post_sentences(posts), "sentences")
     words = word_rows(sentences)
     grown = vocab_upsert(vocab, words)
-    return Ingested(posts.drop("text"), sentences, grown, encode_words(words, grown))
+    new = store(grown.join(vocab.select("word_id"), "word_id", "left_anti"), "words")
+    encoded = encode_words(words, vocab.select("word_id", "word").unionByName(new))
+    return Ingested(stored_posts, sentences, new, store(encoded, "sentence_words"))

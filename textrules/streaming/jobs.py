@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from textrules.operators.matching import rule_matches
-from textrules.operators.sentences import word_rows
-from textrules.operators.vocabulary import encode_words, vocab_upsert
-from textrules.plans.ingest import give_post_ids, post_sentences
+from textrules.operators.matching import ANCHOR_SAMPLE, rule_matches
+from textrules.operators.sentences import sentence_rows, with_words
+from textrules.plans.ingest import give_post_ids, ingest
 from textrules.schemas import TABLES
+from textrules.session import spread
 
 EVERY = "20 minutes"
 
@@ -36,22 +36,25 @@ def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int
 
 
 def stream_rule_matches(
-    sentences: DataFrame,
+    posts: DataFrame,
     rules: Callable[[], DataFrame],
     path: str,
     checkpoint: str,
     once: bool = False,
 ) -> StreamingQuery:
-    """Match every arriving sentence against the rules as they are when its batch starts.
+    """Match every sentence of arriving posts (post_id, text) against the rules as they are
+    when its batch starts.
 
     Rules added later see older posts through ``incremental_matches``.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        found = rule_matches(batch, rules())
+        arrived = spread(batch)
+        sample = with_words(sentence_rows(arrived.sample(ANCHOR_SAMPLE, seed=7)))
+        found = rule_matches(with_words(sentence_rows(arrived)), rules(), sample)
         found.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _start(sentences, each, checkpoint, once)
+    return _start(posts, each, checkpoint, once)
 
 
 def stream_ingest_files(
@@ -59,27 +62,20 @@ def stream_ingest_files(
 ) -> StreamingQuery:
     """Turn arriving posts (path, text, …) into posts, sentences, sentence_words and words.
 
-    Ids go on from what earlier batches have written. Each table is written before the next
-    is made from it, so no step is computed twice.
+    Ids go on from what earlier batches have written.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
 
-        def write(name: str, table: DataFrame) -> DataFrame:
+        def store(table: DataFrame, name: str) -> DataFrame:
             target = f"{path}/{name}/batch_id={batch_id}"
             table.write.mode("overwrite").parquet(target)
             return spark.read.schema(table.schema).parquet(target)
 
         stored = _earlier(spark, f"{path}/posts", TABLES["posts"], batch_id)
         known = _earlier(spark, f"{path}/words", TABLES["words"], batch_id)
-        numbered = give_post_ids(batch, stored)
-        write("posts", numbered.drop("text"))
-        sentences = write("sentences", post_sentences(numbered))
-        words = word_rows(sentences)
-        grown = vocab_upsert(known, words)
-        new = write("words", grown.join(known.select("word_id"), "word_id", "left_anti"))
-        write("sentence_words", encode_words(words, known.unionByName(new)))
+        ingest(give_post_ids(spread(batch), stored), known, store)
 
     return _start(posts, each, checkpoint, once)
 
