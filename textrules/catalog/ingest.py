@@ -72,8 +72,8 @@ def ingest_skip_existing(c):
     return tf.new_files(article_files(c), titled, 1, 3).select("path")
 
 
-def csv_round_trip(c):
-    """Documents written as CSV and read back."""
+def csv_source(c):
+    """Documents written as CSV, line breaks and all, and read by position."""
     path = new_folder(c.spark, "csv")
     csv_files.csv_sink(c.documents.select("doc_id", "text", "lang", "n_chars"), path)
     return csv_files.csv_source(
@@ -81,6 +81,14 @@ def csv_round_trip(c):
     )
 
 
+def csv_sink(c):
+    """Sentences written as CSV, over an earlier export, and read back."""
+    path = new_folder(c.spark, "csv")
+    csv_files.csv_sink(c.rules.select("category_seq", "full_text"), path)
+    csv_files.csv_sink(c.sentences.select("post_id", "sentence_seq", "full_text"), path, update=True)
+    return csv_files.csv_source(c.spark, path, "post_id BIGINT, sentence_seq INT, full_text STRING")
+
+
 def predictions_round_trip(c):
     path = new_folder(c.spark, "labels")
     csv_files.predictions_sink(c.table("embeddings"), path)
@@ -168,10 +176,15 @@ SELECT path FROM files WHERE regexp_extract(path, '([^/]*)\\.txt$', 1) NOT IN (S
         ingested_words,
         INGESTED_SQL,
     ),
-    "csv_round_trip": (
-        csv_round_trip,
+    "csv_source": (
+        csv_source,
         sql("", f"SELECT doc_id, {sql_strip('text')} AS text, lang, n_chars FROM documents"),
     ),
+    "csv_sink": (
+        csv_sink,
+        sql("sentences", f"""
+SELECT post_id, sentence_seq, {sql_strip('full_text')} AS full_text FROM sentences"""),
+    ),
     "predictions_sink": (
         predictions_round_trip,
         sql("", "SELECT label, count(*) AS n FROM embeddings GROUP BY label"),

@@ -8,14 +8,14 @@ TABLES: dict[str, tuple[str, str]] = {
 SELECT doc_id AS post_id,
   CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 WHEN 'es' THEN 4 END AS topic_id,
   CAST(regexp_extract(source, 'src(\\d+)', 1) AS INTEGER) AS source_id,
-  substring(text, 1, 40) AS title, CAST(NULL AS VARCHAR) AS url,
+  regexp_extract(text, '^([^\\n]*)', 1) AS title, CAST(NULL AS VARCHAR) AS url,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 8760 AS INTEGER)) AS ts, text
 FROM documents"""),
     "topics": ("", """
 SELECT DISTINCT CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 WHEN 'es' THEN 4 END
   AS topic_id, lang AS name FROM documents"""),
     "sources": ("", """
-SELECT DISTINCT CAST(substring(source, 4) AS INTEGER) AS source_id, source AS name FROM documents"""),
+SELECT DISTINCT CAST(regexp_extract(source, 'src(\\d+)', 1) AS INTEGER) AS source_id, source AS name FROM documents"""),
     "sentences": ("posts", """
 SELECT post_id, CAST(unnest(range(len(l))) AS INTEGER) AS sentence_seq, unnest(l) AS full_text
 FROM (SELECT post_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]*') AS l FROM posts)"""),

@@ -53,7 +53,7 @@ class Corpus:
     @cached_property
     def sources(self) -> DataFrame:
         return self.documents.select(F.col("source").alias("name")).distinct().select(
-            F.substring("name", 4, 9).cast("int").alias("source_id"), "name"
+            F.regexp_extract("name", r"src(\d+)", 1).try_cast("int").alias("source_id"), "name"
         )
 
     @cached_property
@@ -68,8 +68,8 @@ class Corpus:
         return documents.select(
             F.col("doc_id").alias("post_id"),
             topic.alias("topic_id"),
-            F.regexp_extract("source", r"src(\d+)", 1).cast("int").alias("source_id"),
-            F.substring("text", 1, 40).alias("title"),
+            F.regexp_extract("source", r"src(\d+)", 1).try_cast("int").alias("source_id"),
+            F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"),
             F.lit(None).cast("string").alias("url"),
             F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, int(doc_id % 8760))")
             .alias("ts"),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from textrules.functions import text as tx
 from textrules.operators.numbering import number_words
-from textrules.session import checked_broadcast
+from textrules.operators.skew import join_skewed
+from textrules.session import fits_broadcast
 
 # Fixed value: the third column of every label row.
 LABEL_SOURCE = 3
@@ -39,7 +40,9 @@ def labels_found(training: DataFrame, index: DataFrame, labels: DataFrame) -> Da
     """
     folded = training.groupBy("label", "key").agg(F.count(F.lit(1)).alias("copies"))
     known = folded.join(F.broadcast(labels), "label")
-    return index.join(checked_broadcast(known), "key").select(
+    small = fits_broadcast(known)
+    pairs = index.join(F.broadcast(known), "key") if small else join_skewed(index, known, "key")
+    return pairs.select(
         "post_id", "sentence_seq", F.lit(LABEL_SOURCE).alias("source"), "label_id", "label", "copies"
     )
 

@@ -6,11 +6,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrules.functions.matching import holds_all, ordered_gap_match
-from textrules.session import BROADCAST_BYTES, fits_broadcast
+from textrules.session import BROADCAST_BYTES, broadcast_parts
 
 ANCHOR_SAMPLE = 0.05
 KEYS = ("rule_id", "post_id", "sentence_seq")
@@ -37,29 +39,29 @@ def with_anchors(rules: DataFrame, sample: DataFrame) -> DataFrame:
     return rules.join(F.broadcast(anchors), "rule_id")
 
 
-def _longest(words: str) -> Column:
-    by_length = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    return F.array_max(by_length)["w"]
-
-
-def candidate_pairs(sentences: DataFrame, rules: DataFrame, sample: DataFrame | None) -> DataFrame:
+def candidate_pairs(
+    sentences: DataFrame,
+    rules: DataFrame,
+    sample: DataFrame | None = None,
+    limit: int = BROADCAST_BYTES // 2,
+) -> DataFrame:
     """Sentences joined with the rules whose anchor word they hold.
 
-    A rule set measured to be small is broadcast and no sentence moves. Beyond that the
-    longest word is the anchor, only keys are shuffled on it, and the words are joined
-    back by sentence.
+    The rules are broadcast, in several parts when they are measured to be too large for
+    one, so a sentence never moves and a hot word is no hot key.
     """
-    keys = ["post_id", "sentence_seq"]
-    sentences = sentences.select(*keys, "words")
-    held = F.explode(F.array_distinct("words")).alias("anchor")
-    if fits_broadcast(rules, BROADCAST_BYTES // 2):
-        if sample is None:
-            sample = sentences.sample(ANCHOR_SAMPLE, seed=7)
-        small = with_anchors(rules, sample).withColumnRenamed("words", "rule_words")
-        return sentences.select(*keys, "words", held).join(F.broadcast(small), "anchor")
-    rules = rules.withColumn("anchor", _longest("words")).withColumnRenamed("words", "rule_words")
-    pairs = sentences.select(*keys, held).join(rules.select("rule_id", "anchor"), "anchor")
-    return pairs.join(sentences, keys).join(rules.drop("anchor"), "rule_id")
+    sentences = sentences.select("post_id", "sentence_seq", "words")
+    if sample is None:
+        sample = sentences.sample(ANCHOR_SAMPLE, seed=7)
+    held = sentences.select("*", F.explode(F.array_distinct("words")).alias("anchor"))
+    pairs = [
+        held.join(
+            F.broadcast(with_anchors(part, sample).withColumnRenamed("words", "rule_words")),
+            "anchor",
+        )
+        for part in broadcast_parts(rules, "rule_id", limit)
+    ]
+    return reduce(DataFrame.unionByName, pairs)
 
 
 def rule_matches(
@@ -67,6 +69,7 @@ def rule_matches(
     rules: DataFrame,
     sample: DataFrame | None = None,
     window: tuple[Column, Column] | None = None,
+    limit: int = BROADCAST_BYTES // 2,
 ) -> DataFrame:
     """(rule_id, post_id, sentence_seq) of every match; keys are unique.
 
@@ -74,7 +77,7 @@ def rule_matches(
     possibly using columns of ``rules``; only posts above the first and up to the second
     are tested.
     """
-    pairs = candidate_pairs(sentences, rules, sample)
+    pairs = candidate_pairs(sentences, rules, sample, limit)
     if window is not None:
         pairs = pairs.filter((F.col("post_id") > window[0]) & (F.col("post_id") <= window[1]))
     return (
@@ -84,33 +87,40 @@ def rule_matches(
     )
 
 
-def match_candidates(sentences: DataFrame, rules: DataFrame) -> DataFrame:
+def match_candidates(
+    sentences: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """Sentences with at least as many occurrences of rule words as the rule has words.
 
     Gives the positions and words of just those occurrences, in sentence order. A pair is
     reached through each word it shares; it is kept only for the first of them, so no
     de-duplicating shuffle is needed.
     """
-    packed = rules.select(
+    by_word = rules.select(
         "rule_id", F.col("words").alias("rule_words"),
         F.explode(F.array_distinct("words")).alias("word"),
     )
-    if fits_broadcast(packed):
-        packed = F.broadcast(packed)
+    held = sentences.select(
+        "post_id", "sentence_seq", "words", F.explode(F.array_distinct("words")).alias("word")
+    )
+    pairs = reduce(
+        DataFrame.unionByName,
+        [held.join(part, "word") for part in broadcast_parts(by_word, "rule_id", limit)],
+    )
     shared = F.filter("words", lambda w: F.array_contains(F.col("rule_words"), w))
     hits = F.filter(
         F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))),
         lambda x: F.array_contains(F.col("rule_words"), x["w"]),
     )
     return (
-        sentences.select(
-            "post_id", "sentence_seq", "words", F.explode(F.array_distinct("words")).alias("word")
-        )
-        .join(packed, "word")
-        .withColumn("shared", shared)
+        pairs.withColumn("shared", shared)
         .filter(F.col("word") == F.get("shared", F.lit(0)))
         .filter(F.size("shared") >= F.size("rule_words"))
-        .select(*KEYS, F.transform(hits, lambda h: h["p"]).alias("word_seqs"), F.col("shared").alias("hit_words"))
+        .select(
+            *KEYS,
+            F.transform(hits, lambda h: h["p"]).alias("word_seqs"),
+            F.col("shared").alias("hit_words"),
+        )
     )
 
 

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrules.operators.numbering import number_words
+from textrules.operators.skew import hot_keys
 
-# A word is hot when it makes up at least this share of all words; so there are at most
-# 1 / HOT_SHARE hot words, whatever the data.
-HOT_SHARE = 0.001
 SEGMENT = 1 << 15
 
 
@@ -39,20 +37,6 @@ def dim_upsert(dim: DataFrame, names: DataFrame, key: str) -> DataFrame:
     )
 
 
-def hot_of(counts: DataFrame, n: str, share: float = HOT_SHARE) -> DataFrame:
-    """The words whose count ``n`` is at least ``share`` of the sum: at most 1/share of them."""
-    total = counts.agg(F.sum(n).alias("_total"))
-    return (
-        counts.join(F.broadcast(total))  # one row
-        .filter(F.col(n) >= F.col("_total") * share)
-        .select("word")
-    )
-
-
-def hot_words(word_rows: DataFrame, share: float = HOT_SHARE) -> DataFrame:
-    return hot_of(word_rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "_n", share)
-
-
 def encode_words(word_rows: DataFrame, vocab: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Replace word by word_id (rows with unknown words drop out).
 
@@ -61,7 +45,7 @@ def encode_words(word_rows: DataFrame, vocab: DataFrame, hot: DataFrame | None =
     shuffle is large, and the rows are computed once.
     """
     if hot is None:
-        hot = hot_words(word_rows)
+        hot = hot_keys(word_rows, "word")
     rest = [c for c in word_rows.columns if c != "word"]
     found = hot.join(vocab, "word", "left").select(
         "word", F.col("word_id").alias("_hot_id"), F.lit(True).alias("_hot")
@@ -78,7 +62,8 @@ def encode_words(word_rows: DataFrame, vocab: DataFrame, hot: DataFrame | None =
 def posting_rows(sentence_words: DataFrame, numbers: DataFrame) -> DataFrame:
     """Distinct (word_id, rnum): the sentence numbers in which each word occurs."""
     keys = ["post_id", "sentence_seq"]
-    distinct = sentence_words.select("word_id", *keys).distinct()
+    by_sentence = sentence_words.select("word_id", *keys).repartition(*keys)
+    distinct = by_sentence.distinct()  # within the partitions the join below needs anyway
     return distinct.join(numbers.select(*keys, "rnum"), keys).select("word_id", "rnum")
 
 
@@ -128,12 +113,9 @@ def bitmap_positions(bitmaps: DataFrame) -> DataFrame:
             "word_id", (F.col("base") + F.col("k") * width * 8).alias("base"),
             F.substring("bits", F.col("k") * width + 1, F.lit(width)).alias("bits"),
         )
-    octet = F.conv(F.hex("bits"), 16, 10).cast("int")
-    set_bits = F.filter(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda b: F.get(F.array(*[octet.bitwiseAND(1 << i) for i in range(8)]), b) != 0,
-    )
-    return parts.select("word_id", "base", F.explode(set_bits).alias("bit")).select(
+    octets = parts.select("word_id", "base", F.conv(F.hex("bits"), 16, 10).cast("int").alias("octet"))
+    set_bits = F.expr("filter(sequence(0, 7), b -> shiftright(octet, b) & 1 = 1)")
+    return octets.select("word_id", "base", F.explode(set_bits).alias("bit")).select(
         "word_id", (F.col("base") + F.col("bit")).cast("long").alias("rnum")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -30,14 +31,14 @@ def local_session(app: str = "textrules", cpus: str | int = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
-_local_folders: dict[str, str] = {}
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
     Only a local master, where driver and executors share one machine, may fall back
-    to a temporary folder when the setting is missing.
+    to a temporary folder when the setting is missing; it goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -46,8 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="textrules-")
-    return _local_folders[app]
+        _local_folders[app] = tempfile.TemporaryDirectory(
+            prefix="textrules-", ignore_cleanup_errors=True
+        )
+    return _local_folders[app].name
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -75,6 +78,15 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= limit
 
 
+def broadcast_parts(df: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """``df`` as the fewest parts that each fit a broadcast, split evenly by hash of ``key``."""
+    n = max(1, math.ceil(measured_bytes(df) / limit))
+    if n == 1:
+        return [F.broadcast(df)]
+    part = F.pmod(F.xxhash64(key), F.lit(n))
+    return [F.broadcast(df.filter(part == i)) for i in range(n)]
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when ``df`` is measured to fit; else leave the join to AQE."""
     return F.broadcast(df) if fits_broadcast(df, limit) else df
