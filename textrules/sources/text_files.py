@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from textrules.functions import text as tx
 
 
+# On a local disk the checksum layer cannot open names with a colon, such as "… 16:52:01 ….txt".
+# These settings concern file: paths only.
+_COLON_NAMES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, so that line order within a file is known."""
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.options(**_COLON_NAMES).text(path, wholetext=True)
     return files.select(decoded_path(), "value")
 
 
 def stream_text_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     files = (
-        spark.readStream.option("wholetext", "true")
+        spark.readStream.options(**_COLON_NAMES)
         .option("maxFilesPerTrigger", str(files_per_batch))
-        .text(path)
+        .text(path, wholetext=True)
     )
     return files.select(decoded_path(), "value")
 
