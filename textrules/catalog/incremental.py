@@ -9,7 +9,7 @@ from textrules.catalog.sql import sql
 from textrules.fixtures import Corpus
 from textrules.operators import incremental as op
 from textrules.plans.rule_run import run_rules
-from textrules.session import new_folder
+from textrules.session import checked_broadcast, new_folder
 from textrules.sources.text_files import article_posts
 from textrules.streaming import jobs
 
@@ -20,7 +20,7 @@ def last_post(c) -> int:
 
 def stored_before(c):
     """What earlier runs have stored: matches up to each rule's mark."""
-    return c.matches.join(F.broadcast(c.watermark), "rule_id").filter(
+    return c.matches.join(checked_broadcast(c.watermark), "rule_id").filter(
         "post_id <= last_post_id"
     ).select("rule_id", "post_id", "sentence_seq")
 

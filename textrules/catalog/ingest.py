@@ -195,7 +195,7 @@ SELECT post_id, sentence_seq, {sql_strip('full_text')} AS full_text FROM sentenc
 SELECT doc_id, text FROM documents WHERE {sql_strip('text')} <> '' ORDER BY doc_id LIMIT 75000"""),
     ),
     "html_articles": (
-        lambda c: pages.html_articles(c.table("pages")),
+        lambda c: pages.html_articles(c.pages),
         sql("", f"""{_VISIBLE},
 made AS (SELECT page_id, url,
   {sql_strip(sql_to_text("regexp_extract(page, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)"))} AS title,
@@ -205,7 +205,7 @@ made AS (SELECT page_id, url,
 SELECT page_id, title, url, CAST(NULL AS VARCHAR) AS date, body FROM made WHERE body <> ''"""),
     ),
     "html_links": (
-        lambda c: pages.html_links(c.table("pages")),
+        lambda c: pages.html_links(c.pages),
         sql("", f"""{_VISIBLE},
 entries AS (SELECT page_id, list_filter(list_transform(
   regexp_extract_all(page, '(?is)<(?:li|dt)\\b[^>]*>(.*?)</(?:li|dt)>', 1),

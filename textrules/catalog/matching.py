@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from textrules.catalog.sql import sql
 from textrules.operators import matching as op
-from textrules.operators.numbering import number_rows
 from textrules.operators.posts import filter_posts
+from textrules.session import checked_broadcast
 
 
 def match_from_documents(c):
@@ -42,7 +42,7 @@ def match_any_topic(c):
     rules = c.rules.select("rule_id", F.col("topic_id").alias("rule_topic"))
     per_post = c.matches.groupBy("post_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
     return (
-        per_post.join(F.broadcast(rules), "rule_id")
+        per_post.join(checked_broadcast(rules), "rule_id")
         .groupBy("post_id", "rule_topic")
         .agg(F.sum("n").alias("n"))
         .join(c.posts.select("post_id", F.col("topic_id").alias("post_topic")), "post_id")

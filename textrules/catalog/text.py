@@ -242,7 +242,7 @@ SELECT doc_id AS post_id, array_to_string(list_filter({TAGGED_SQL},
         sql("", f"SELECT doc_id AS post_id, {sql_phone('text')} AS text FROM documents"),
     ),
     "scrub_url": (
-        lambda c: c.table("pages").select(
+        lambda c: c.pages.select(
             "page_id", tx.scrub_url(F.concat_ws(" ", "url", "html")).alias("text")
         ),
         sql("", f"SELECT page_id, {sql_url('concat_ws(chr(32), url, html)')} AS text FROM pages"),

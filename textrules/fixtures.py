@@ -30,7 +30,7 @@ class Corpus:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Build a table once per application and keep it written, as ingest and rule runs do."""
@@ -41,7 +41,11 @@ class Corpus:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/documents.parquet"), "doc_id")
+        return spread(self.table("documents"), "doc_id")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return spread(self.table("pages"), "page_id")
 
     @cached_property
     def topics(self) -> DataFrame:

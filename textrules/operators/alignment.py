@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textrules.functions import text as tx
 from textrules.operators.numbering import number_words
 from textrules.operators.skew import join_skewed
-from textrules.session import fits_broadcast
+from textrules.session import checked_broadcast, fits_broadcast
 
 # Fixed value: the third column of every label row.
 LABEL_SOURCE = 3
@@ -39,7 +39,7 @@ def labels_found(training: DataFrame, index: DataFrame, labels: DataFrame) -> Da
     key gives at most one row per label and stored sentence, not all pairs.
     """
     folded = training.groupBy("label", "key").agg(F.count(F.lit(1)).alias("copies"))
-    known = folded.join(F.broadcast(labels), "label")
+    known = folded.join(checked_broadcast(labels), "label")
     small = fits_broadcast(known)
     pairs = index.join(F.broadcast(known), "key") if small else join_skewed(index, known, "key")
     return pairs.select(
@@ -53,7 +53,7 @@ def labels_new(training: DataFrame, index: DataFrame, labels: DataFrame) -> Data
     numbered = number_words(unseen, "row_key", "_n", start=0)
     top = index.agg(F.coalesce(F.max("post_id"), F.lit(-1)).cast("long").alias("_top"))
     return (
-        numbered.join(F.broadcast(labels), "label")
+        numbered.join(checked_broadcast(labels), "label")
         .join(F.broadcast(top))  # one row
         .select(
             (F.col("_top") + 1).alias("post_id"),

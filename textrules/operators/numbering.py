@@ -37,9 +37,9 @@ def number_rows(
     prefix sums: cells within a block of lead values, and blocks within the group.
     """
     by = list(by)
-    celled = df.withColumn("_cell", F.floor(F.col(tail) / tail_block).cast("long"))
+    celled = df.withColumn("_cell", F.expr(f"`{tail}` div {tail_block}"))
     cells = celled.groupBy(*by, lead, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_block", F.floor(F.col(lead) / lead_block).cast("long"))
+    cells = cells.withColumn("_block", F.expr(f"`{lead}` div {lead_block}"))
     blocks = cells.groupBy(*by, "_block").agg(F.sum("_n").alias("_n"))
     blocks = _before(blocks, by, ["_block"]).select(
         *by, "_block", F.col("_before").alias("_block_before")

@@ -25,10 +25,10 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
 
 
 def join_skewed(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Inner join of many rows with a side that has few rows per key.
+    """Inner join of many rows with a side that has a bounded number of rows per key.
 
-    Rows with hot keys meet a broadcast of the side's entries for those keys; only rows
-    with other keys are shuffled.
+    Rows with hot keys meet a broadcast of the side's entries for those keys, so of at most
+    that bound times 1/HOT_SHARE rows; only rows with other keys are shuffled.
     """
     hot = F.broadcast(hot_keys(rows, key))
     near = rows.join(F.broadcast(side.join(hot, key, "left_semi")), key)
