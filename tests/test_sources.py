@@ -41,7 +41,7 @@ def test_batch_files_and_skipping(spark, tmp_path):
 
 
 def test_limit_docs(spark):
-    docs = spark.createDataFrame([(3, "c"), (1, " \n"), (2, "b"), (4, None)], "id int, text string")
+    docs = spark.createDataFrame([(3, "c"), (1, " \n"), (0, "?!"), (2, "b"), (4, None)], "id int, text string")
     assert [r.id for r in tf.limit_docs(docs, "id", n=1).collect()] == [2]
     assert sorted(r.id for r in tf.limit_docs(docs, "id", n=-1).collect()) == [2, 3]
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textrules.catalog.ingest import INGESTED_SQL, article_files
+from textrules.catalog.reports import FROM, SOURCES, TO, TOPIC
 from textrules.catalog.sql import sql
 from textrules.fixtures import Corpus
 from textrules.operators import incremental as op
-from textrules.plans.rule_run import run_rules
+from textrules.plans.rule_run import analyze, run_rules
 from textrules.session import checked_broadcast, new_folder
 from textrules.sources.text_files import article_posts
 from textrules.streaming import jobs
@@ -39,6 +40,15 @@ def rule_run_marks(c):
     return run.marks
 
 
+def analyze_counts(c):
+    """The answer to a request to analyse: counts by rule after the run it makes."""
+    _, counts, _ = analyze(
+        c.posts, c.sentences, c.rules, c.rule_words, c.watermark, stored_before(c),
+        TOPIC, SOURCES, FROM, TO,
+    )
+    return counts
+
+
 def document_stream(c, slices: int = 4):
     """The documents arriving as a few files, one per micro-batch."""
     folder = new_folder(c.spark, "arriving")
@@ -106,6 +116,16 @@ FROM packed_rules LEFT JOIN watermark USING (rule_id)"""),
         sql("matches watermark", f"""{_BEFORE}
 SELECT rule_id, post_id, sentence_seq FROM matches ANTI JOIN before USING (rule_id, post_id, sentence_seq)
 LEFT JOIN watermark USING (rule_id) WHERE post_id > coalesce(last_post_id, 0)"""),
+    ),
+    "analyze": (
+        analyze_counts,
+        sql("matches watermark posts shown_posts packed_rules", """
+known AS (SELECT max(post_id) AS until FROM posts WHERE topic_id = 1 AND source_id BETWEEN 0 AND 14),
+run AS (SELECT rule_id, post_id FROM matches LEFT JOIN watermark USING (rule_id), known
+  WHERE post_id <= last_post_id OR (post_id > coalesce(last_post_id, 0) AND post_id <= until)),
+counts AS (SELECT rule_id, count(*) AS n FROM run JOIN shown_posts USING (post_id) GROUP BY rule_id)
+SELECT rule_id, coalesce(n, 0) AS count FROM packed_rules LEFT JOIN counts USING (rule_id)
+WHERE topic_id = 1"""),
     ),
     "stream_rule_matches": (
         stream_rule_matches,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textrules.catalog.sql import sql
-from textrules.catalog.text import sql_lines, sql_strip, sql_text_sentences
+from textrules.catalog.text import sql_lines, sql_normal, sql_strip, sql_text_sentences
 from textrules.operators.posts import day_range
 from textrules.plans.ingest import give_post_ids, ingest
 from textrules.schemas import TABLES
@@ -192,7 +192,7 @@ SELECT post_id, sentence_seq, {sql_strip('full_text')} AS full_text FROM sentenc
     "limit_docs": (
         lambda c: tf.limit_docs(c.documents, "doc_id").select("doc_id", "text"),
         sql("", f"""
-SELECT doc_id, text FROM documents WHERE {sql_strip('text')} <> '' ORDER BY doc_id LIMIT 75000"""),
+SELECT doc_id, text FROM documents WHERE {sql_normal('text')} <> '' ORDER BY doc_id LIMIT 75000"""),
     ),
     "html_articles": (
         lambda c: pages.html_articles(c.pages),

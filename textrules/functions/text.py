@@ -23,11 +23,6 @@ PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 STAMP_GLUED = r"\[\d{4}-\d{2}-\d{2}\d{2}:\d{2}:\d{2}\]"
 STAMP = r"\[[0-9]{4}-[0-9]{2}-[0-9]{2}\s[0-9]{2}:[0-9]{2}:[0-9]{2}\]"
 OPEN_CLASSES = ("Noun", "Adverb", "Adjective", "Verb")
-CLOSED_CLASSES = (
-    "Josa", "Determiner", "Conjunction", "Exclamation", "PreEomi", "Eomi", "Suffix",
-    "Punctuation", "Foreign", "Alpha", "Number", "Unknown", "KoreanParticle", "Hashtag",
-    "ScreenName",
-)
 
 # Whitespace as Unicode counts it; a plain \s is ASCII only in Java and in RE2.
 UNICODE_SPACE = (

@@ -84,6 +84,10 @@ def new_files(files: DataFrame, posts: DataFrame, topic_id: int, source_id: int)
 
 
 def limit_docs(docs: DataFrame, key: str, text: str = "text", n: int = 75_000) -> DataFrame:
-    """The first ``n`` documents that have text, by key; all of them when ``n`` is not positive."""
-    filled = docs.filter(tx.strip(F.col(text)) != "")
-    return filled.orderBy(key).limit(n) if n > 0 else filled
+    """The first ``n`` documents with any words left after ``normalize``, by unique key; all of
+    them when ``n`` is not positive. Only keys are sorted; the documents stay in place."""
+    filled = docs.filter(tx.normalize(F.col(text)) != "")
+    if n <= 0:
+        return filled
+    last = filled.select(key).orderBy(key).limit(n).agg(F.max(key).alias("_last"))
+    return filled.join(F.broadcast(last), F.col(key) <= F.col("_last")).drop("_last")  # one row
