@@ -14,25 +14,26 @@ def holds_all(words: Column, rule_words: Column) -> Column:
 def ordered_gap_match(words: Column, rule_words: Column, gap: Column) -> Column:
     """Do the rule's words occur in order, each at most ``gap`` after the one before?
 
-    One pass over the sentence. ``done`` counts rule words met so far, ``last`` is the
-    position the next one is measured from, ``here`` the current position. The latest met
-    word occurring again moves ``last`` forward, however far away it is.
+    One pass over the positions of the sentence. ``done`` counts rule words met so far,
+    ``last`` is the position the next one is measured from. The latest met word occurring
+    again moves ``last`` forward, however far away it is. Most positions leave the state
+    as it is, so nothing is built for them.
     """
-    total = F.size(rule_words)
-    start = F.struct(
-        F.lit(0).alias("done"), F.lit(-1).alias("last"), F.lit(0).alias("here")
-    )
 
-    def step(s: Column, word: Column) -> Column:
-        done, last, here = s["done"], s["last"], s["here"]
-        open_ = done < total
+    def state(done: Column, last: Column) -> Column:
+        return F.struct(done.cast("int").alias("done"), last.cast("int").alias("last"))
+
+    def step(s: Column, here: Column) -> Column:
+        # out of range, get() gives null and no case applies
+        word, done, last = F.get(words, here), s["done"], s["last"]
         near = (done == 0) | (here - last <= gap)
-        meets = open_ & near & F.coalesce(word == F.get(rule_words, done), F.lit(False))
-        again = open_ & F.coalesce(word == F.get(rule_words, done - 1), F.lit(False))
-        return F.struct(
-            F.when(meets, done + 1).otherwise(done).alias("done"),
-            F.when(meets | again, here).otherwise(last).alias("last"),
-            (here + 1).alias("here"),
+        return (
+            F.when((word == F.get(rule_words, done)) & near, state(done + 1, here))
+            .when(word == F.get(rule_words, done - 1), state(done, here))
+            .otherwise(s)
         )
 
-    return F.aggregate(words, start, step, lambda s: s["done"] == total)
+    positions = F.sequence(F.lit(0), F.size(words) - 1)
+    return F.aggregate(
+        positions, state(F.lit(0), F.lit(-1)), step, lambda s: s["done"] == F.size(rule_words)
+    )
