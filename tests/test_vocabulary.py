@@ -25,8 +25,10 @@ def test_encoding_with_hot_and_unknown_words(spark):
         [(1, "the")] + [(i + 2, f"w{i}") for i in range(2000)], "word_id long, word string"
     )
     ids = {r.word: r.word_id for r in vocab.collect()}
-    got = sorted((r.post_id, r.word_id) for r in v.encode_words(df, vocab).collect())
-    assert got == sorted((i, ids[w]) for i, w in enumerate(words) if w in ids)
+    for limit in (1 << 20, 0):  # one broadcast; salted
+        found = v.encode_words(df, vocab, limit=limit).collect()
+        got = sorted((r.post_id, r.word_id) for r in found)
+        assert got == sorted((i, ids[w]) for i, w in enumerate(words) if w in ids)
     assert {r.word for r in hot_keys(df, "word").collect()} == {"the", "zzz"}
 
 

@@ -45,11 +45,12 @@ def number_rows(
         *by, "_block", F.col("_before").alias("_block_before")
     )
     cells = _before(cells, [*by, "_block"], [lead, "_cell"]).drop("_n")
-    cells = cells.join(blocks, [*by, "_block"]).select(
+    # Every key is found; left joins add no null checks, so the counts are computed once.
+    cells = cells.join(blocks, [*by, "_block"], "left").select(
         *by, lead, "_cell", (F.col("_before") + F.col("_block_before")).alias("_offset")
     )
     within = F.row_number().over(Window.partitionBy(*by, lead, "_cell").orderBy(tail))
-    numbered = celled.withColumn("_row", within).join(cells, [*by, lead, "_cell"])
+    numbered = celled.withColumn("_row", within).join(cells, [*by, lead, "_cell"], "left")
     return numbered.withColumn(
         out, (F.col("_offset") + F.col("_row") + F.lit(start - 1)).cast("long")
     ).select(*df.columns, out)
@@ -70,7 +71,9 @@ def number_words(words: DataFrame, word: str = "word", out: str = "word_id", sta
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(word))
     return (
         bucketed.withColumn("_row", within)
-        .join(F.broadcast(counts), "_bucket")  # at most 16 ** WORD_BUCKET_CHARS rows
+        # at most 16 ** WORD_BUCKET_CHARS rows; a left join puts no null check, and with it
+        # the hash, on the rows that the distinct strings come from
+        .join(F.broadcast(counts), "_bucket", "left")
         .withColumn(out, (F.col("_before") + F.col("_row") + F.lit(start - 1)).cast("long"))
         .select(*words.columns, out)
     )

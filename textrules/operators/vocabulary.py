@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textrules.operators.numbering import number_words
 from textrules.operators.skew import hot_keys
+from textrules.session import BROADCAST_BYTES, fits_broadcast
 
 SEGMENT = 1 << 15
 
@@ -37,16 +38,23 @@ def dim_upsert(dim: DataFrame, names: DataFrame, key: str) -> DataFrame:
     )
 
 
-def encode_words(word_rows: DataFrame, vocab: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def encode_words(
+    word_rows: DataFrame,
+    vocab: DataFrame,
+    hot: DataFrame | None = None,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Replace word by word_id (rows with unknown words drop out).
 
-    Rows of hot words take their id from a broadcast of at most 1/HOT_SHARE entries, and go
+    A vocabulary measured to fit is broadcast. Beyond that, rows of hot words take their id from a broadcast of at most 1/HOT_SHARE entries, and go
     through the join on the word under a salted key that meets nothing. So no key of the
     shuffle is large, and the rows are computed once.
     """
+    rest = [c for c in word_rows.columns if c != "word"]
+    if fits_broadcast(vocab, limit):
+        return word_rows.join(F.broadcast(vocab), "word").select(*rest, "word_id")
     if hot is None:
         hot = hot_keys(word_rows, "word")
-    rest = [c for c in word_rows.columns if c != "word"]
     found = hot.join(vocab, "word", "left").select(
         "word", F.col("word_id").alias("_hot_id"), F.lit(True).alias("_hot")
     )
@@ -60,18 +68,17 @@ def encode_words(word_rows: DataFrame, vocab: DataFrame, hot: DataFrame | None =
 
 
 def posting_rows(sentence_words: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Distinct (word_id, rnum): the sentence numbers in which each word occurs."""
+    """word_id, rnum of every occurrence. A sentence repeating a word gives a pair twice;
+    lists and bitmaps take it once, so no shuffle is spent on that here."""
     keys = ["post_id", "sentence_seq"]
-    by_sentence = sentence_words.select("word_id", *keys).repartition(*keys)
-    distinct = by_sentence.distinct()  # within the partitions the join below needs anyway
-    return distinct.join(numbers.select(*keys, "rnum"), keys).select("word_id", "rnum")
+    return sentence_words.join(numbers.select(*keys, "rnum"), keys).select("word_id", "rnum")
 
 
 def posting_lists(postings: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Per word and segment of sentence numbers, the ordered list: never over ``segment`` long."""
-    return (
-        postings.groupBy("word_id", F.floor(F.col("rnum") / segment).cast("int").alias("segment"))
-        .agg(F.array_sort(F.collect_list("rnum")).alias("rnums"))
+    part = F.expr(f"rnum div {segment}").cast("int").alias("segment")
+    return postings.groupBy("word_id", part).agg(
+        F.array_sort(F.collect_set("rnum")).alias("rnums")
     )
 
 
