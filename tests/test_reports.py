@@ -56,6 +56,22 @@ def test_filter(store):
     assert ids(p.filter_posts(posts, 3, [4])) == []
 
 
+def test_stored_posts_are_pruned(store, spark):
+    from textrules.session import new_folder
+    from textrules.sources.tables import write_posts
+
+    stored = write_posts(store["posts"], new_folder(spark, "posts"))
+    assert sorted(map(tuple, stored.select(*store["posts"].columns).collect())) == sorted(
+        map(tuple, store["posts"].collect())
+    )
+    shown = p.filter_posts(stored, 1, [4, 5, 9], "2024-01-02", "2024-01-02")
+    assert ids(shown) == [2]
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    partition_filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "topic_id" in partition_filters and "month" in partition_filters
+    assert "In(source_id" in plan and "GreaterThanOrEqual(ts" in plan
+
+
 def test_pages(store):
     shown = p.filter_posts(store["posts"], 1, [4, 5, 9])
     first, second = p.posts_page(shown, 1, 2).collect(), p.posts_page(shown, 2, 2).collect()

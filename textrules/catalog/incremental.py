@@ -43,7 +43,7 @@ def rule_run_marks(c):
 def analyze_counts(c):
     """The answer to a request to analyse: counts by rule after the run it makes."""
     _, counts, _ = analyze(
-        c.posts, c.sentences, c.rules, c.rule_words, c.watermark, stored_before(c),
+        c.stored_posts, c.sentences, c.rules, c.rule_words, c.watermark, stored_before(c),
         TOPIC, SOURCES, FROM, TO,
     )
     return counts

@@ -45,7 +45,7 @@ def match_any_topic(c):
         per_post.join(checked_broadcast(rules), "rule_id")
         .groupBy("post_id", "rule_topic")
         .agg(F.sum("n").alias("n"))
-        .join(c.posts.select("post_id", F.col("topic_id").alias("post_topic")), "post_id")
+        .join(c.stored_posts.select("post_id", F.col("topic_id").alias("post_topic")), "post_id")
         .groupBy("rule_topic", "post_topic")
         .agg(F.sum("n").alias("matches"))
     )
@@ -53,7 +53,7 @@ def match_any_topic(c):
 
 def match_candidates_filtered(c):
     """Candidates among one topic's and some sources' posts only."""
-    mine = filter_posts(c.posts, 1, list(range(15)))
+    mine = filter_posts(c.stored_posts, 1, list(range(15)))
     sentences = c.sentences.join(mine.select("post_id"), "post_id", "left_semi")
     found = op.match_candidates(sentences, c.packed_rules)
     return found.groupBy("rule_id").agg(
@@ -100,7 +100,7 @@ SELECT r.topic_id AS rule_topic, p.topic_id AS post_topic, count(*) AS matches
 FROM matches m JOIN rules r USING (rule_id) JOIN posts p USING (post_id) GROUP BY 1, 2"""),
     ),
     "max_post_id": (
-        lambda c: op.max_post_id(c.posts, 1, list(range(15))).unionByName(op.max_post_id(c.posts)),
+        lambda c: op.max_post_id(c.stored_posts, 1, list(range(15))).unionByName(op.max_post_id(c.stored_posts)),
         sql("posts", """
 SELECT max(post_id) AS max_post_id FROM posts WHERE topic_id = 1 AND source_id BETWEEN 0 AND 14
 UNION ALL SELECT max(post_id) FROM posts"""),

@@ -13,7 +13,7 @@ TOPIC, SOURCES, FROM, TO = 1, list(range(15)), "2024-01-03", "2024-12-30"
 
 
 def shown(c):
-    return p.filter_posts(c.posts, TOPIC, SOURCES, FROM, TO)
+    return p.filter_posts(c.stored_posts, TOPIC, SOURCES, FROM, TO)
 
 
 def topic_rules(c):
@@ -60,9 +60,9 @@ FROM found JOIN sentences USING (post_id, sentence_seq)""")
 
 def counts_by_ruleset_flagship(c):
     """Every ruleset's matches over all posts of its topic."""
-    per_post = r.counts_by_post_ruleset(c.matches, c.rules, c.posts)
+    per_post = r.counts_by_post_ruleset(c.matches, c.rules, c.stored_posts)
     return (
-        per_post.join(c.posts.select("post_id", "topic_id"), "post_id")
+        per_post.join(c.stored_posts.select("post_id", "topic_id"), "post_id")
         .groupBy("topic_id", "category_seq").agg(F.sum("count").alias("count"))
         .join(c.rulesets, ["topic_id", "category_seq"])
         .select("topic_id", "category_seq", "name", "count")
@@ -75,7 +75,7 @@ def posts_page_all_dates(c):
 
 def dashboard_rows(c):
     return dashboard(
-        c.posts, c.rulesets, c.rules, c.rule_words, c.matches, c.watermark,
+        c.stored_posts, c.rulesets, c.rules, c.rule_words, c.matches, c.watermark,
         TOPIC, SOURCES, FROM, TO,
     ).as_rows()
 

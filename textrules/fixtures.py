@@ -14,7 +14,8 @@ from textrules.operators.numbering import number_rows
 from textrules.operators.rules import pack_rules
 from textrules.operators.sentences import sentence_rows, with_words, word_rows
 from textrules.operators.vocabulary import encode_words, vocab_build
-from textrules.session import spread, written
+from textrules.session import new_folder, spread, written
+from textrules.sources.tables import write_posts
 
 TOPICS = {"en": 1, "fr": 2, "de": 3, "es": 4}
 CATEGORIES = range(1, 6)
@@ -32,11 +33,16 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def stored(
+        self,
+        name: str,
+        build: Callable[[], DataFrame],
+        write: Callable[[DataFrame, str], DataFrame] = written,
+    ) -> DataFrame:
         """Build a table once per application and keep it written, as ingest and rule runs do."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _stored:
-            _stored[key] = written(build(), name)
+            _stored[key] = write(build(), name)
         return _stored[key]
 
     @cached_property
@@ -80,6 +86,12 @@ class Corpus:
             "text",
         )
 
+    @cached_property
+    def stored_posts(self) -> DataFrame:
+        """Posts as the ingest leaves them, without their text."""
+        path = new_folder(self.spark, "posts")
+        return self.stored("posts", lambda: self.posts.drop("text"), lambda df, _: write_posts(df, path))
+
     @cached_property
     def raw_sentences(self) -> DataFrame:
         """Sentences with packed words, straight from the documents."""

@@ -19,7 +19,8 @@ def filter_posts(
 ) -> DataFrame:
     """Posts of one topic and some sources, from the first to the last moment of two dates.
 
-    An open end is unbounded; a post without a time is never in range.
+    An open end is unbounded; a post without a time is never in range. Posts stored by
+    topic and month are read from the partitions in range only.
     """
     inside = (F.col("topic_id") == topic_id) & F.col("source_id").isin(*source_ids)
     inside &= F.col("ts").isNotNull()
@@ -27,6 +28,11 @@ def filter_posts(
         inside &= F.col("ts") >= F.lit(f"{from_date} 00:00:00").cast("timestamp")
     if to_date:
         inside &= F.col("ts") <= F.lit(f"{to_date} 23:59:59").cast("timestamp")
+    if "month" in posts.columns:
+        if from_date:
+            inside &= F.col("month") >= from_date[:7]
+        if to_date:
+            inside &= F.col("month") <= to_date[:7]
     return posts.filter(inside)
 
 

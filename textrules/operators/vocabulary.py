@@ -46,9 +46,10 @@ def encode_words(
 ) -> DataFrame:
     """Replace word by word_id (rows with unknown words drop out).
 
-    A vocabulary measured to fit is broadcast. Beyond that, rows of hot words take their id from a broadcast of at most 1/HOT_SHARE entries, and go
-    through the join on the word under a salted key that meets nothing. So no key of the
-    shuffle is large, and the rows are computed once.
+    A vocabulary measured to fit is broadcast. Beyond that, rows of hot words take their id
+    from a broadcast of at most 1/HOT_SHARE entries, and go through the join on the word
+    under a salted key that meets nothing. So no key of the shuffle is large, and the rows
+    are computed once.
     """
     rest = [c for c in word_rows.columns if c != "word"]
     if fits_broadcast(vocab, limit):
