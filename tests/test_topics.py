@@ -62,6 +62,14 @@ def test_alignment(spark):
     assert [tuple(r) for r in al.labels_unknown(training, labels).collect()] == [("N", 1)]
 
 
+def test_one_table_per_label(spark):
+    sheet = spark.createDataFrame([("label",), ("sentence",), ("a b",), ("a b",), (None,)], "sentence string")
+    rows = al.labelled_rows({"L": sheet, "M": sheet.filter("sentence = 'a b'").limit(1)})
+    assert rows.select("row_key").distinct().count() == rows.count() == 5
+    training = al.training_set(rows)
+    assert sorted((r.label, r.key) for r in training.collect()) == [("L", "ab"), ("L", "ab"), ("M", "ab")]
+
+
 def test_exports(spark):
     posts = spark.createDataFrame([(1, 4), (2, 8), (3, 7)], "post_id long, source_id int")
     sentences = spark.createDataFrame(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,6 +105,11 @@ def is_jamo_run(piece: Column) -> Column:
     return piece.rlike(rf"^{JAMO}+$")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def line_sentences(line: Column) -> Column:
     """Sentences of one line.
 
@@ -112,17 +118,22 @@ def line_sentences(line: Column) -> Column:
     """
     lead = F.regexp_extract(line, r"^(\s*)", 1)
     tail = F.regexp_extract(line, r"(\s*)\z", 1)
+    whole = F.exists(F.split(line, " "), lambda chunk: F.length(chunk) > LONG_CHUNK)
+
+    def framed(cut: Column) -> Column:
+        return F.transform(
+            cut,
+            lambda s, i: F.concat(
+                F.when(i == 0, lead).otherwise(""),
+                s,
+                F.when(i == F.size(cut) - 1, tail).otherwise(""),
+            ),
+        )
+
     cut = F.filter(F.transform(plain_sentences(line), strip), lambda s: s != "")
-    framed = F.transform(
-        cut,
-        lambda s, i: F.concat(
-            F.when(i == 0, lead).otherwise(""),
-            s,
-            F.when(i == F.size(cut) - 1, tail).otherwise(""),
-        ),
+    return F.when(whole, F.array(line)).otherwise(
+        bind(cut, lambda c: F.when(F.size(c) == 0, F.array(line)).otherwise(framed(c)))
     )
-    whole = F.exists(F.split(line, " "), lambda chunk: F.length(chunk) > LONG_CHUNK)
-    return F.when(whole | (F.size(cut) == 0), F.array(line)).otherwise(framed)
 
 
 def text_sentences(text: Column) -> Column:

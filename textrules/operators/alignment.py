@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ LABEL_SOURCE = 3
 HEADER_CELLS = ("label", "sentence")
 
 
+def labelled_rows(tables: dict[str, DataFrame], sentence: str = "sentence") -> DataFrame:
+    """row_key, label, sentence of one table per label. Equal rows stay apart by copy number."""
+    rows = [t.select(F.lit(label).alias("label"), F.col(sentence).alias("sentence"))
+            for label, t in tables.items()]
+    counted = reduce(DataFrame.unionByName, rows).filter("sentence IS NOT NULL").groupBy(
+        "label", "sentence"
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")
+    return counted.select("label", "sentence", copies).select(
+        F.concat_ws(":", "label", "_copy", F.md5("sentence")).alias("row_key"), "label", "sentence"
+    )
+
+
 def training_set(labelled: DataFrame) -> DataFrame:
     """row_key, label, key from (row_key, label, sentence); empty and header cells are dropped."""
     return labelled.filter(
