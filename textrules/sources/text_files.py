@@ -86,7 +86,8 @@ def new_files(files: DataFrame, posts: DataFrame, topic_id: int, source_id: int)
 def limit_docs(docs: DataFrame, key: str, text: str = "text", n: int = 75_000) -> DataFrame:
     """The first ``n`` documents with any words left after ``normalize``, by unique key; all of
     them when ``n`` is not positive. Only keys are sorted; the documents stay in place."""
-    filled = docs.filter(tx.normalize(F.col(text)) != "")
+    plain = F.col(text).rlike("[A-Za-z0-9]")  # always left by normalize, so it need not run
+    filled = docs.filter(plain | (tx.normalize(F.col(text)) != ""))
     if n <= 0:
         return filled
     last = filled.select(key).orderBy(key).limit(n).agg(F.max(key).alias("_last"))
