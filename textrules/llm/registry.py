@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textrules.llm import fertility
+from textrules.llm import bpe_tree, fertility, secrets, token_counts, warc
 from textrules.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: query(read(spark, sf_dir, table))
+
+
 QUERIES: dict[str, Query] = {
-    "op1_fertility": lambda spark, d: fertility.query(read(spark, d, "documents")),
+    "op1_fertility": _over("documents", fertility.query),
+    "op2_warc": _over("pages", warc.query),
+    "op4_token_counts": _over("documents", token_counts.query),
+    "op5_bpe_tree": _over("documents", bpe_tree.query),
+    "op10_secrets": _over("documents", secrets.query),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
