@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textrules.llm import bpe_tree, fertility, secrets, token_counts, warc
+from textrules.llm import bpe_tree, decontaminate, fertility, secrets, token_counts, warc
 from textrules.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc": _over("pages", warc.query),
     "op4_token_counts": _over("documents", token_counts.query),
     "op5_bpe_tree": _over("documents", bpe_tree.query),
+    "op6_decontaminate": lambda spark, d: decontaminate.query(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op10_secrets": _over("documents", secrets.query),
 }
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
