@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textrules.llm import bpe_tree, crf, decontaminate, fertility, language, secrets, token_counts, warc
+from textrules.llm import bpe_tree, crf, decontaminate, fertility, jaccard, language, secrets, token_counts, warc
 from textrules.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,9 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": _over("documents", token_counts.query),
     "op5_bpe_tree": _over("documents", bpe_tree.query),
     "op6_decontaminate": lambda spark, d: decontaminate.query(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op7_jaccard": _over("documents", jaccard.query),
     "op8_crf": lambda spark, d: crf.query(read(spark, d, "documents"), read(spark, d, "labels")),
     "op9_language": _over("documents", language.query),
     "op10_secrets": _over("documents", secrets.query),
 }
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op7_jaccard": jaccard.ORACLE}
