@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrules.llm.common import row_blocks, text_arrays
+from textrules.llm.common import in_arrow, row_blocks, text_arrays
 from textrules.llm.token_counts import PIECE
 
 #: Characters of text that a leaf of the tree encodes at once.
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", with_ids: bool
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
     columns += [f"`{text}` string", "ids array<int>"] if with_ids else []
     columns += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
-    return docs.select(*rest, F.col(f"`{text}`")).mapInArrow(run, ", ".join(columns))
+    return docs.select(*rest, F.col(f"`{text}`")).transform(in_arrow, run, ", ".join(columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

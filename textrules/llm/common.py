@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+import textrules
 from textrules.session import spread
 
 #: Bytes of text that a task works on at a time (one longer text is a block of its own).
@@ -16,6 +20,31 @@ BLOCK_BYTES = 1 << 20
 _SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this library to the job's Python workers, once an application.
+
+    Spark serves the archive to the executors, so they need not have the library installed.
+    """
+    app, package = spark.sparkContext.applicationId, Path(textrules.__file__).parent
+    if app in _shipped or not package.is_dir():  # not a folder: it came as an archive itself
+        return
+    path = Path(tempfile.mkdtemp(prefix="textrules-")) / "textrules.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this library at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder, dealt out over the cores when it has fewer splits than those."""
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrules.llm.common import WordHasher, blank_words, mix, row_blocks, shingle_hashes, text_arrays
+from textrules.llm.common import WordHasher, blank_words, in_arrow, mix, row_blocks, shingle_hashes, text_arrays
 from textrules.llm.language import remainder
 
 
@@ -258,7 +258,7 @@ def train(labelled: DataFrame, fit: Fit = Fit()) -> tuple[LineField | None, floa
     """Fit to (key, label, text) rows: the field, and the share of good rows in the sample."""
     rows = labelled.filter(F.col("label").isNotNull() & (F.length("text") <= fit.sample_chars))
     sample = rows.orderBy(F.xxhash64("key"), "key").limit(fit.sample_rows).select(F.col("label").cast("int"), "text")
-    table = sample.mapInArrow(_line_rows, "label int, lines array<double>").toArrow()
+    table = sample.transform(in_arrow, _line_rows, "label int, lines array<double>").toArrow()
     if not table.num_rows:
         return None, 0.5
     label = np.array(table["label"].to_pylist())
@@ -290,7 +290,7 @@ def score(docs: DataFrame, field: LineField | None, prior: float, text: str = "t
                 )
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-    return docs.select(*rest, F.col(f"`{text}`")).mapInArrow(run, ", ".join([*columns, "score double"]))
+    return docs.select(*rest, F.col(f"`{text}`")).transform(in_arrow, run, ", ".join([*columns, "score double"]))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

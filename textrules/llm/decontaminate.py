@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrules.llm.common import WordHasher, letter_words, mix, row_blocks, shingle_hashes, text_arrays
+from textrules.llm.common import WordHasher, in_arrow, letter_words, mix, row_blocks, shingle_hashes, text_arrays
 from textrules.session import measured_bytes
 
 #: Bytes of items that one pass over the documents carries to the tasks.
@@ -324,7 +324,7 @@ def _scan(docs: DataFrame, index: ItemIndex, text: str, clean: bool) -> DataFram
                 held[[m[0] for m in _batch_matches(shared.value, hasher, batch.column(at))]] = False
                 yield batch.filter(pa.array(held))
 
-        return docs.mapInArrow(keep, docs.schema)
+        return docs.transform(in_arrow, keep, docs.schema)
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in FOUND]
     schema = docs.select(*rest).schema
@@ -346,7 +346,7 @@ def _scan(docs: DataFrame, index: ItemIndex, text: str, clean: bool) -> DataFram
             )
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-    return docs.select(*rest, F.col(f"`{text}`")).mapInArrow(find, ", ".join([*columns, *(f"{n} long" for n in FOUND)]))
+    return docs.select(*rest, F.col(f"`{text}`")).transform(in_arrow, find, ", ".join([*columns, *(f"{n} long" for n in FOUND)]))
 
 
 FOUND = ("item_id", "first_word", "end_word", "distance", "item_words")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrules.llm.common import row_blocks, text_arrays
+from textrules.llm.common import in_arrow, row_blocks, text_arrays
 from textrules.llm.store import stored
 from textrules.session import checked_broadcast
 
@@ -228,7 +228,7 @@ def measure(docs: DataFrame, ranks_path: str, pieces_path: str, text: str = "tex
                 )
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*rest, F.col(f"`{text}`")).mapInArrow(run, f"{columns}, {MEASURES}")
+    return docs.select(*rest, F.col(f"`{text}`")).transform(in_arrow, run, f"{columns}, {MEASURES}")
 
 
 def base_failed() -> Column:

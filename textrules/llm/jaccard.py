@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textrules.llm.common import WordHasher, blank_words, mix, row_blocks, shingle_hashes, text_arrays
+from textrules.llm.common import WordHasher, blank_words, in_arrow, mix, row_blocks, shingle_hashes, text_arrays
 from textrules.llm.components import components
 from textrules.llm.store import stored
 from textrules.operators.skew import join_skewed
@@ -128,7 +128,7 @@ def late_coordinates(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 )
 
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2")
+    counts = sample.transform(in_arrow, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2")
     table = counts.orderBy(F.desc("n"), "key").limit(LATE).toArrow()
     keys = table["key"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -173,7 +173,7 @@ def set_table(docs: DataFrame, text: str = "text") -> DataFrame:
                 )
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-    return docs.select(*rest, F.col(f"`{text}`")).mapInArrow(run, ", ".join([*columns, TABLE]))
+    return docs.select(*rest, F.col(f"`{text}`")).transform(in_arrow, run, ", ".join([*columns, TABLE]))
 
 
 # -- pairs --------------------------------------------------------------------------------
@@ -226,7 +226,7 @@ def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
                 )
 
     node = "struct<a:long,b:long>"
-    return wide.select("x", "y", "n_x", "n_y", "c_x", "c_y").mapInArrow(run, f"x {node}, y {node}")
+    return wide.select("x", "y", "n_x", "n_y", "c_x", "c_y").transform(in_arrow, run, f"x {node}, y {node}")
 
 
 def _wanted_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _wanted_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFram
                         values.append(shingles.tobytes())
                 yield pa.RecordBatch.from_arrays([_node_array(nodes), pa.array(values, pa.binary())], names=["node", "shingles"])
 
-    found = own.mapInArrow(run, "node struct<a:long,b:long>, shingles binary")
+    found = own.transform(in_arrow, run, "node struct<a:long,b:long>, shingles binary")
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -274,7 +274,7 @@ def verified(docs: DataFrame, sets: DataFrame, vectors: DataFrame, pairs: DataFr
             )
 
     node = "struct<a:long,b:long>"
-    return stored(wide.mapInArrow(run, f"x {node}, y {node}"), f"{name}-links")
+    return stored(wide.transform(in_arrow, run, f"x {node}, y {node}"), f"{name}-links")
 
 
 def tree_pairs(n: np.ndarray, counts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,7 +361,7 @@ def _rest_pairs(tiles: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataF
 
     node = "struct<a:long,b:long>"
     in_order = wide.repartition("tile").sortWithinPartitions("tile")
-    return _ordered(in_order.mapInArrow(run, f"x {node}, y {node}"))
+    return _ordered(in_order.transform(in_arrow, run, f"x {node}, y {node}"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textrules.llm.common import mix, row_blocks, text_arrays
+from textrules.llm.common import in_arrow, mix, row_blocks, text_arrays
 from textrules.llm.store import stored
 
 ORDER = 4
@@ -118,7 +118,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> I
 def gram_table(training: DataFrame) -> DataFrame:
     """(lang, gram, n): counts of all 4-grams of (lang, text) rows, summed over the corpus."""
     rows = training.filter(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    parts = rows.mapInArrow(_count_grams, "lang string, gram string, n long")
+    parts = rows.transform(in_arrow, _count_grams, "lang string, gram string, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -180,7 +180,7 @@ def train(training: DataFrame) -> LanguageModel:
 
 def _arrays(rows: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and a value by language (nan: none); grams of one hash have their largest."""
-    hashed = rows.mapInArrow(_hash_rows, "lang string, hash int, v double")
+    hashed = rows.transform(in_arrow, _hash_rows, "lang string, hash int, v double")
     table = hashed.groupBy("lang", "hash").agg(F.max("v").alias("v")).toArrow()  # at most 2^HASH_BITS a language
     hashes = table["hash"].to_numpy().astype(np.uint32)
     column = np.searchsorted(np.array(langs), np.array(table["lang"].to_pylist(), dtype=str)) if len(table) else np.zeros(0, int)
@@ -345,7 +345,7 @@ def identify(docs: DataFrame, model: LanguageModel, rule: Rejection = Rejection(
                 )
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-    return wide.mapInArrow(run, ", ".join([*columns, FOUND]))
+    return wide.transform(in_arrow, run, ", ".join([*columns, FOUND]))
 
 
 def remainder(n: int):

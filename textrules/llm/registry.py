@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textrules.llm import bpe_tree, crf, decontaminate, fertility, jaccard, language, secrets, token_counts, warc
+from textrules.llm import bpe_tree, crf, decontaminate, fertility, jaccard, language, passages, secrets, token_counts, warc
 from textrules.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_fertility": _over("documents", fertility.query),
     "op2_warc": _over("pages", warc.query),
+    "op3_passages": _over("documents", passages.query),
     "op4_token_counts": _over("documents", token_counts.query),
     "op5_bpe_tree": _over("documents", bpe_tree.query),
     "op6_decontaminate": lambda spark, d: decontaminate.query(read(spark, d, "documents"), read(spark, d, "benchmark")),

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrules.llm.common import row_blocks, text_arrays
+from textrules.llm.common import in_arrow, row_blocks, text_arrays
 from textrules.llm.store import stored
 from textrules.operators.skew import join_skewed
 
@@ -133,7 +133,7 @@ def scan(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFr
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
     columns += [f"`{text}` string"] if keep_text else []
-    return docs.select(*rest, F.col(f"`{text}`")).mapInArrow(run, ", ".join([*columns, SCAN]))
+    return docs.select(*rest, F.col(f"`{text}`")).transform(in_arrow, run, ", ".join([*columns, SCAN]))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:

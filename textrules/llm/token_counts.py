@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrules.llm.common import row_blocks, text_arrays
+from textrules.llm.common import in_arrow, row_blocks, text_arrays
 
 # White space as the vocabulary's pattern has it (the Unicode property), not as str.isspace().
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -145,7 +145,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 )
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-    return docs.select(*rest, F.col(f"`{text}`")).mapInArrow(
+    return docs.select(*rest, F.col(f"`{text}`")).transform(in_arrow, 
         run, ", ".join([*columns, "n_bytes long", "n_tokens long"])
     )
 

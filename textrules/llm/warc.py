@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from textrules.llm.common import in_arrow, ship
 from textrules.llm.store import folder, stored
 from textrules.operators.skew import join_skewed
 from textrules.session import checked_broadcast
@@ -179,7 +180,7 @@ def _candidates(spark: SparkSession, path: str, with_payload: bool, raw: bool =
                 )
 
     place = "file string, block long, rel long, rel_end long"
-    return _pieces(spark, path).mapInArrow(run, f"{place}, piece binary" if raw else f"{place}, size long, complete boolean, {RECORD}")
+    return _pieces(spark, path).transform(in_arrow, run, f"{place}, piece binary" if raw else f"{place}, size long, complete boolean, {RECORD}")
 
 
 def _bases(candidates: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def reachable(candidates: DataFrame) -> DataFrame:
     ``candidates`` has file, off and succ. A zone's candidates are chained in one task; chains
     over zones double their stride each round, so a file of n zones takes log2(n) rounds.
     """
-    spark = candidates.sparkSession
+    ship(candidates.sparkSession)
     rows = candidates.select("file", "off", F.coalesce("succ", F.lit(-1)).alias("succ"), F.expr(f"off div {ZONE}").alias("zone"))
     exits = stored(
         rows.groupBy("file", "zone").applyInPandas(zone_exits, "file string, off long, leave long"), "warc-exits"
@@ -314,7 +315,7 @@ def _joined(spark, path, bases, placed, true, broken, with_payload) -> DataFrame
                 [*part.columns[:2], *_record_arrays([found[i][2] for i in keep])], names=["file", "off", *RECORD_NAMES]
             )
 
-    return texts.mapInArrow(run, f"file string, off long, {RECORD}")
+    return texts.transform(in_arrow, run, f"file string, off long, {RECORD}")
 
 
 def query(pages: DataFrame) -> DataFrame:
