@@ -180,7 +180,11 @@ def set_table(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _tiles(sets: DataFrame) -> DataFrame:
-    """(key, node, next) of tiles with two nodes or more; next is the neighbour by min-hash."""
+    """(key, node, next) of tiles with two nodes or more; next is the neighbour by min-hash.
+
+    Rows of one node lie side by side. The last of them has the next node, the first one another
+    node before it, so each node of such a tile is kept once at least.
+    """
     rows = sets.filter(F.col("keys").isNotNull()).select("node", "signs", F.explode("keys").alias("key"))
     rows = rows.select("key", "node", F.element_at("signs", (F.pmod("key", F.lit(SIGNS)) + 1).cast("int")).alias("sign"))
     order = Window.partitionBy("key").orderBy("sign", "node")
@@ -188,8 +192,8 @@ def _tiles(sets: DataFrame) -> DataFrame:
         "key", "node", F.lead("node").over(order).alias("next"), F.lag("node").over(order).alias("before")
     )
     other = F.coalesce(F.col("next") != F.col("node"), F.lit(False))
-    last = F.col("next").isNull() & (F.col("before") != F.col("node"))
-    return near.filter(other | last).select("key", "node", "next")
+    after = F.coalesce(F.col("before") != F.col("node"), F.lit(False))
+    return near.filter(other | after).select("key", "node", F.when(other, F.col("next")).alias("next"))
 
 
 def _vectors(sets: DataFrame) -> DataFrame:
