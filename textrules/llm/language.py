@@ -348,6 +348,14 @@ def identify(docs: DataFrame, model: LanguageModel, rule: Rejection = Rejection(
     return wide.transform(in_arrow, run, ", ".join([*columns, FOUND]))
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, rule: Rejection = Rejection()) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, as they are."""
+    clash = [c for c in NAMES if c in docs.columns]
+    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    kept = identify(renamed, model, rule).filter(~F.col("rejected")).drop(*NAMES)
+    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def remainder(n: int):
     """crc32 of doc_id as text modulo ``n``: what holds rows out."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))

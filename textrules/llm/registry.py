@@ -28,4 +28,13 @@ QUERIES: dict[str, Query] = {
     "op9_language": _over("documents", language.query),
     "op10_secrets": _over("documents", secrets.query),
 }
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op7_jaccard": jaccard.ORACLE}
