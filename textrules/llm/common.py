@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import textrules
 from textrules.session import spread
@@ -45,6 +46,16 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def set_aside(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all other columns renamed, so that none has a name an operator uses inside.
+
+    The function given back turns a result into the columns that ``docs`` had.
+    """
+    names = {c: f"_column_{k}" for k, c in enumerate(docs.columns) if c not in used}
+    back = [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(names), lambda result: result.select(*back)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder, dealt out over the cores when it has fewer splits than those."""
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrules.llm.common import in_arrow, row_blocks, text_arrays
+from textrules.llm.common import in_arrow, row_blocks, set_aside, text_arrays
 from textrules.llm.store import stored
 from textrules.operators.skew import join_skewed
 
@@ -214,6 +214,7 @@ def redact(docs: DataFrame, rule: Ownership = Ownership(), mark: str = "[secret]
 
     All columns stay as they are, n_chars (if there) follows the text.
     """
+    docs, back = set_aside(docs, ("doc_id", "text", "source", "n_chars"))
     found = secret_scan(docs, rule=rule, keep_text=True)
     live = F.filter("judged", lambda x: x["verdict"] == "live")
     # Left to right; a span that begins inside the one before only moves the end.
@@ -235,4 +236,4 @@ def redact(docs: DataFrame, rule: Ownership = Ownership(), mark: str = "[secret]
         changed = changed.withColumn(
             "n_chars", F.when(F.col("_live") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         )
-    return changed.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return back(changed)
