@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textrules.llm.common import in_arrow, mix, row_blocks, text_arrays
+from textrules.llm.common import in_arrow, mix, row_blocks, set_aside, text_arrays
 from textrules.llm.store import stored
 
 ORDER = 4
@@ -155,7 +155,7 @@ def train(training: DataFrame) -> LanguageModel:
         tables[order] = tables[order + 1].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n"))
     alphabet = tables[1].agg(F.countDistinct("gram")).first()[0]
     if not alphabet:
-        return LanguageModel([], {}, {}, np.zeros(0), np.zeros(0), 1.0)
+        return LanguageModel([], {}, {}, np.zeros(0), np.zeros(0), 1.0, np.zeros(0))
     uniform, levels = 1.0 / (alphabet + 1), {}
     for order in range(1, ORDER + 1):
         levels[order] = stored(_level(tables[order], order, levels.get(order - 1), uniform), f"language-order-{order}")
@@ -175,7 +175,9 @@ def train(training: DataFrame) -> LanguageModel:
         if order > 1:
             left = levels[order].groupBy("lang", F.col("context").alias("gram")).agg(F.log(F.max("left")).alias("v"))
             contexts[order - 1] = _arrays(left, langs)
-    return LanguageModel(langs, grams, contexts, mean, spread, float(np.log(alphabet + 1)))
+    base = levels[1].groupBy("lang").agg(F.log(F.max("left")).alias("v")).orderBy("lang").collect()  # a row a language
+    none = np.array([r["v"] for r in base])
+    return LanguageModel(langs, grams, contexts, mean, spread, float(np.log(alphabet + 1)), none)
 
 
 def _arrays(rows: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,17 +218,20 @@ def hash_grams(codes: list[np.ndarray]) -> np.ndarray:
 class LanguageModel:
     """Sorted hash arrays of all orders; a column a language."""
 
-    def __init__(self, langs, grams, contexts, mean, spread, uniform):
+    def __init__(self, langs, grams, contexts, mean, spread, uniform, unseen):
         self.langs, self.grams, self.contexts = langs, grams, contexts
         self.mean, self.spread, self.uniform = mean, spread, uniform
+        self.unseen = unseen  # what each language's letters leave to unseen ones
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word (its letters and the end) in each language."""
+        if not self.langs:
+            return np.zeros((len(words), 0))
         codes, begin = _codes(words)
         place = np.arange(len(codes)) - np.repeat(begin, np.diff(np.append(begin, len(codes))))
         at = np.flatnonzero(place >= ORDER - 1)
         wide = codes.astype(np.uint64)
-        score = np.full((len(at), len(self.langs)), -self.uniform, np.float32)
+        score = np.tile((self.unseen - self.uniform).astype(np.float32), (len(at), 1))
         for order in range(1, ORDER + 1):
             if order > 1:
                 left = _look(self.contexts[order - 1], hash_grams([wide[at - k] for k in range(order - 1, 0, -1)]))
@@ -350,10 +355,8 @@ def identify(docs: DataFrame, model: LanguageModel, rule: Rejection = Rejection(
 
 def keep_known(docs: DataFrame, model: LanguageModel, rule: Rejection = Rejection()) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language, as they are."""
-    clash = [c for c in NAMES if c in docs.columns]
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    kept = identify(renamed, model, rule).filter(~F.col("rejected")).drop(*NAMES)
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*(F.col(f"`{c}`") for c in docs.columns))
+    docs, back = set_aside(docs, ("text",))
+    return back(identify(docs, model, rule).filter(~F.col("rejected")))
 
 
 def remainder(n: int):
