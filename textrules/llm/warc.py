@@ -201,11 +201,11 @@ def _next_in_zone(off: np.ndarray, succ: np.ndarray) -> np.ndarray:
     return np.where(off[at] == succ, at, -1)
 
 
-def zone_exits(zone: pd.DataFrame) -> pd.DataFrame:
+def zone_exits(zone: pd.DataFrame, size: int = ZONE) -> pd.DataFrame:
     """Pointer jumping inside one zone: ``leave`` is where each candidate's chain goes beyond it."""
     zone = zone.sort_values("off", ignore_index=True)
     off, succ = zone["off"].to_numpy(), zone["succ"].to_numpy()
-    border = (off[0] // ZONE + 1) * ZONE
+    border = (off[0] // size + 1) * size
     jump = _next_in_zone(off, succ)
     last = np.where(jump < 0, np.arange(len(off)), jump)
     while True:
@@ -233,19 +233,20 @@ def zone_marks(zone: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": zone["file"], "off": off, "reached": mark})
 
 
-def reachable(candidates: DataFrame) -> DataFrame:
+def reachable(candidates: DataFrame, zone_bytes: int = ZONE) -> DataFrame:
     """(file, off) of the candidates on the chain from their file's start.
 
     ``candidates`` has file, off and succ. A zone's candidates are chained in one task; chains
     over zones double their stride each round, so a file of n zones takes log2(n) rounds.
     """
     ship(candidates.sparkSession)
-    rows = candidates.select("file", "off", F.coalesce("succ", F.lit(-1)).alias("succ"), F.expr(f"off div {ZONE}").alias("zone"))
+    rows = candidates.select("file", "off", F.coalesce("succ", F.lit(-1)).alias("succ"), F.expr(f"off div {zone_bytes}").alias("zone"))
     exits = stored(
-        rows.groupBy("file", "zone").applyInPandas(zone_exits, "file string, off long, leave long"), "warc-exits"
+        rows.groupBy("file", "zone").applyInPandas(lambda z: zone_exits(z, zone_bytes), "file string, off long, leave long"),
+        "warc-exits",
     )
     marked = exits.select("file").distinct().withColumn("off", F.lit(0).cast("long"))
-    zones = (exits.agg(F.max("off")).first()[0] or 0) // ZONE + 1
+    zones = (exits.agg(F.max("off")).first()[0] or 0) // zone_bytes + 1
     if zones > 1:
         targets = exits.filter("leave >= 0").select("file", F.col("leave").alias("off")).unionByName(marked).distinct()
         jumps = exits.join(targets, ["file", "off"], "left_semi")
@@ -266,7 +267,7 @@ def reachable(candidates: DataFrame) -> DataFrame:
     return found.filter("reached").select("file", "off")
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, with_payload: bool = False, zone_bytes: int = ZONE) -> DataFrame:
     """The true records of the archives in ``path``: file, off and the fields of RECORD.
 
     Payloads themselves come along only when asked for; their sizes and digests always do.
@@ -279,7 +280,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
         .filter("off >= 0")
         .withColumn("succ", F.col("off") + len(MAGIC) + F.col("size"))
     )
-    true = stored(reachable(placed), "warc-reachable")
+    true = stored(reachable(placed, zone_bytes), "warc-reachable")
     records = placed.join(true, ["file", "off"])
     whole = records.filter("complete").select("file", "off", *RECORD_NAMES)
     broken = records.filter(~F.col("complete") & F.col("size").isNotNull()).select("file", "off", "succ")
