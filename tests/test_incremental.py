@@ -119,3 +119,15 @@ def test_streamed_files_equal_one_ingest(spark, tmp_path):
     assert sorted(r.post_id for r in tables["posts"].collect()) == list(range(5))
     ids = [r.word_id for r in tables["words"].collect()]
     assert sorted(ids) == list(range(1, len(ids) + 1))
+
+
+def test_new_rules_see_post_0(spark):
+    sentences = spark.createDataFrame(
+        [(p, 0, ["a", "b"]) for p in range(4)], "post_id long, sentence_seq int, words array<string>"
+    )
+    rules = spark.createDataFrame([(1, 1, ["a"]), (2, 1, ["b"]), (3, 1, ["a", "b"])], "rule_id long, gap int, words array<string>")
+    marks = spark.createDataFrame([(2, 0), (3, 2)], "rule_id long, last_post_id long")
+    found = incremental_matches(sentences, rules, marks, 3).collect()
+    assert sorted((r.rule_id, r.post_id) for r in found) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 3)]
+    run = run_rules(sentences, rules, marks, spark.createDataFrame([], "rule_id long, post_id long, sentence_seq int"), 3)
+    assert run.new_matches.count() == 8

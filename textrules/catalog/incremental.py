@@ -89,7 +89,7 @@ def stream_ingest_files(c):
 def incremental_sql(high):
     return sql("matches watermark posts", f"""
 SELECT m.rule_id, m.post_id, m.sentence_seq FROM matches m LEFT JOIN watermark w USING (rule_id)
-WHERE m.post_id > coalesce(last_post_id, 0) AND m.post_id {high} (SELECT max(post_id) FROM posts)""")
+WHERE m.post_id > coalesce(last_post_id, -1) AND m.post_id {high} (SELECT max(post_id) FROM posts)""")
 
 
 _BEFORE = """
@@ -102,7 +102,7 @@ ENTRIES = {
     "advance_watermark": (
         rule_run_marks,
         sql("packed_rules watermark posts", """
-SELECT rule_id, greatest((SELECT max(post_id) FROM posts), coalesce(last_post_id, 0)) AS last_post_id
+SELECT rule_id, greatest((SELECT max(post_id) FROM posts), coalesce(last_post_id, -1)) AS last_post_id
 FROM packed_rules LEFT JOIN watermark USING (rule_id)"""),
     ),
     "idempotent_append": (
@@ -115,14 +115,14 @@ FROM packed_rules LEFT JOIN watermark USING (rule_id)"""),
         ).new_matches,
         sql("matches watermark", f"""{_BEFORE}
 SELECT rule_id, post_id, sentence_seq FROM matches ANTI JOIN before USING (rule_id, post_id, sentence_seq)
-LEFT JOIN watermark USING (rule_id) WHERE post_id > coalesce(last_post_id, 0)"""),
+LEFT JOIN watermark USING (rule_id) WHERE post_id > coalesce(last_post_id, -1)"""),
     ),
     "analyze": (
         analyze_counts,
         sql("matches watermark posts shown_posts packed_rules", """
 known AS (SELECT max(post_id) AS until FROM posts WHERE topic_id = 1 AND source_id BETWEEN 0 AND 14),
 run AS (SELECT rule_id, post_id FROM matches LEFT JOIN watermark USING (rule_id), known
-  WHERE post_id <= last_post_id OR (post_id > coalesce(last_post_id, 0) AND post_id <= until)),
+  WHERE post_id <= last_post_id OR (post_id > coalesce(last_post_id, -1) AND post_id <= until)),
 counts AS (SELECT rule_id, count(*) AS n FROM run JOIN shown_posts USING (post_id) GROUP BY rule_id)
 SELECT rule_id, coalesce(n, 0) AS count FROM packed_rules LEFT JOIN counts USING (rule_id)
 WHERE topic_id = 1"""),

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrules.operators.incremental import advance_marks, incremental_matches
+from textrules.operators.incremental import NO_MARK, advance_marks, incremental_matches
 from textrules.operators.matching import KEYS, max_post_id
 from textrules.operators.posts import filter_posts, posts_page
 from textrules.operators.reports import counts_by_post_ruleset, counts_by_rule, zero_filled
 from textrules.operators.rules import pack_rules
-from textrules.session import checked_broadcast
+from textrules.session import checked_broadcast, written
 
 
 @dataclass
@@ -32,9 +32,10 @@ def run_rules(
     a death. So what is compared is little, and the new matches, unique already, stay put.
     """
     found = incremental_matches(sentences, rules, marks, until)
-    above = F.col("post_id") > F.coalesce("last_post_id", F.lit(0))
+    above = F.col("post_id") > F.coalesce("last_post_id", F.lit(NO_MARK))
     again = stored.join(checked_broadcast(marks), "rule_id", "left").filter(above).select(*KEYS)
-    new = found.join(checked_broadcast(again), list(KEYS), "left_anti")
+    again = checked_broadcast(written(again, "matches-again"))
+    new = written(found.join(again, list(KEYS), "left_anti"), "new-matches")  # matched once
     return RuleRun(new, advance_marks(rules, marks, until))
 
 
@@ -56,7 +57,8 @@ def analyze(
     Returns the run, the counts per rule (0 for rules without a match) and the counts per
     post and category of one page.
     """
-    until = max_post_id(posts, topic_id, source_ids).first()["max_post_id"] or 0
+    until = max_post_id(posts, topic_id, source_ids).first()["max_post_id"]
+    until = NO_MARK if until is None else until
     run = run_rules(sentences, pack_rules(rules, rule_words), marks, stored, until)
     matches = stored.select(*KEYS).unionByName(run.new_matches)
     mine = rules.filter(F.col("topic_id") == topic_id)
