@@ -4,6 +4,7 @@ from textrules.operators import posts as p
 from textrules.operators import reports as r
 from textrules.operators import rules as rl
 from textrules.plans.dashboard import dashboard
+from textrules.session import new_folder
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +58,6 @@ def test_filter(store):
 
 
 def test_stored_posts_are_pruned(store, spark):
-    from textrules.session import new_folder
     from textrules.sources.tables import write_posts
 
     stored = write_posts(store["posts"], new_folder(spark, "posts"))
@@ -176,3 +176,26 @@ def test_source_reset(store, spark):
     assert ids(left["posts"]) == [2, 4, 5]
     assert sorted({x.post_id for x in left["sentences"].collect()}) == [2, 4]
     assert [x.source_id for x in left["sources"].collect()] == [5]
+
+
+def test_months_agree_across_time_zones(spark):
+    """Posts stored in one session's zone are read whole in another's."""
+    from textrules.sources.tables import write_posts
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    path = new_folder(spark, "zoned")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        rows = spark.sql(
+            "SELECT id AS post_id, 1 AS topic_id, 2 AS source_id, "
+            "timestamp'2024-01-31 00:00:00' + make_dt_interval(0, int(id)) AS ts FROM range(72)"
+        )
+        stored = write_posts(rows, path)
+        for other in ("Asia/Seoul", "America/Los_Angeles", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            for bounds in (("2024-02-01", None), (None, "2024-01-31"), ("2024-02-01", "2024-02-01")):
+                plain = p.filter_posts(rows, 1, [2], *bounds).select("post_id").collect()
+                assert sorted(plain) == sorted(p.filter_posts(stored, 1, [2], *bounds).select("post_id").collect())
+                assert plain
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textrules.sources.tables import month_of
+
 PER_PAGE = 10
 
 
@@ -24,15 +26,17 @@ def filter_posts(
     """
     inside = (F.col("topic_id") == topic_id) & F.col("source_id").isin(*source_ids)
     inside &= F.col("ts").isNotNull()
+    first = F.lit(f"{from_date} 00:00:00").cast("timestamp")
+    last = F.lit(f"{to_date} 23:59:59").cast("timestamp")
     if from_date:
-        inside &= F.col("ts") >= F.lit(f"{from_date} 00:00:00").cast("timestamp")
+        inside &= F.col("ts") >= first
     if to_date:
-        inside &= F.col("ts") <= F.lit(f"{to_date} 23:59:59").cast("timestamp")
+        inside &= F.col("ts") <= last
     if "month" in posts.columns:
         if from_date:
-            inside &= F.col("month") >= from_date[:7]
+            inside &= F.col("month") >= month_of(first)
         if to_date:
-            inside &= F.col("month") <= to_date[:7]
+            inside &= F.col("month") <= month_of(last)
     return posts.filter(inside)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,13 +10,18 @@ MONTH = "yyyy-MM"
 PARTITIONS = ["topic_id", "month"]
 
 
+def month_of(ts: Column) -> Column:
+    """The month of a moment in UTC, whatever the session's time zone: writers and readers agree."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), MONTH)
+
+
 def write_posts(posts: DataFrame, path: str) -> DataFrame:
     """Write posts and read them back with a ``month`` column that filters can prune by.
 
     Ranges over (topic, month, id) are even however large one topic or month is; each file
     covers a narrow range of ids, so bounds on the id skip row groups.
     """
-    monthly = posts.withColumn("month", F.date_format("ts", MONTH))
+    monthly = posts.withColumn("month", month_of(F.col("ts")))
     order = [*PARTITIONS, "post_id"]
     monthly.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(
         *PARTITIONS
