@@ -73,7 +73,7 @@ URL = re.compile(
 @pytest.mark.parametrize(
     "text",
     [
-        "도구가 https: //t .co /jjokPTAtRg",
+        "링크는 https: //ex .org /AbCdEf",
         "see http://a.b/c%20d… and more",
         "http: /x",
         "a http://x /y z",
@@ -100,17 +100,15 @@ def test_scrub_rows_drops_broken_rows_and_lists_changes(spark):
 
 
 def test_normalize(spark):
-    text = "{(romeo and juliet 2013),(romeo and juliet),(douglas booth),(hailee steinfeld)}"
-    assert value(spark, tx.normalize, text) == (
-        "romeo and juliet 2013 romeo and juliet douglas booth hailee steinfeld"
-    )
+    text = "{(red apples 2020),(red apples),(green pears)}"
+    assert value(spark, tx.normalize, text) == "red apples 2020 red apples green pears"
     assert value(spark, tx.normalize, "Über  naïve☃ straße😀!") == (
         "Uber naive _emoticon_ strasse _emoticon_"
     )
 
 
 def test_match_key(spark):
-    assert value(spark, tx.match_key, "[2016-06-24 16:52 :01] 곧 7월") == "곧7월"
+    assert value(spark, tx.match_key, "[2020-01-02 03:04 :05] 곧 봄") == "곧봄"
 
 
 def test_word_and_tag(spark):
@@ -153,3 +151,22 @@ def test_page(spark):
     assert value(spark, lambda t: h.page_date(h.visible(t)), page) == "2016.04.10"
     assert value(spark, lambda t: h.page_body(h.visible(t)), page) == "one\ntwo! three"
     assert value(spark, lambda t: h.entry_links(h.visible(t)), page) == ["/a", "/c"]
+
+
+@pytest.mark.parametrize(
+    ("text", "sentences"),
+    [
+        ("...wait what? 3.14 ok", ["...wait what?", " 3.14 ok"]),
+        ("v1.2.3.4 is out. Yes!", ["v1.2.3.4 is out.", " Yes!"]),
+        ("end.\n?!\n!start", ["end.", "?!", "!start"]),
+        ("a.b 1.x 2.", ["a.", "b 1.", "x 2."]),
+        ("1a" * 30000, ["1a" * 30000]),
+    ],
+)
+def test_marks_and_numbers_in_sentences(spark, text, sentences):
+    assert value(spark, tx.plain_sentences, text) == sentences
+
+
+def test_characters_of_pages(spark):
+    text = "&amp;lt; &#65;&#x42; &hellip; &nbsp;| &bogus; &#0; &#xD800; AT&T &#39;&quot;"
+    assert value(spark, h.characters, text) == "&lt; AB …  | &bogus; &#0; &#xD800; AT&T '\""

@@ -107,6 +107,34 @@ def ingested_words(c):
     )
 
 
+# Pages with what the test pages lack: (html, title, date, body).
+MADE_PAGES = (
+    ('<h1>A</h1><p class="d" id="date_text">written : 2024.01.02</p><article class="x"><p>one</p>'
+     "<div>pic</div><p>two three</p></article>after", "A", "2024.01.02", "onepictwo three"),
+    ('<div id="a" class="wide par"><div><div>in</div>ner</div> end</div><div class="parts">no</div>', "", None, "inner end"),
+    ("<article>caf&eacute; &#8217;&#x1F600; &amp;lt; &nope; &hellip;</article>", "", None, "café ’😀 &lt; &nope; …"),
+    ("<div>nothing</div>", "", None, ""),
+    (None, None, None, None),
+)
+
+
+def pages_and_made(c):
+    made = [(-1 - k, "made", html) for k, (html, *_) in enumerate(MADE_PAGES)]
+    rows = c.spark.createDataFrame(made, "page_id long, url string, html string")
+    return c.pages.select("page_id", "url", "html").unionByName(rows)
+
+
+def _made_sql():
+    def text(value):
+        return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+    rows = [
+        f"({-1 - k}, 'made', {text(title)}, {text(date)}, {text(body)})"
+        for k, (_, title, date, body) in enumerate(MADE_PAGES) if body
+    ]
+    return f"SELECT * FROM (VALUES {', '.join(rows)})"
+
+
 def event_batches(c):
     return records.chunk_batches(c.table("events"), "ts", "event_id", "event_type").select(
         "folder", F.date_format("day", "yyyy-MM-dd").alias("day"), "batch_no", "n", "label", "lines"
@@ -195,14 +223,15 @@ SELECT post_id, sentence_seq, {sql_strip('full_text')} AS full_text FROM sentenc
 SELECT doc_id, text FROM documents WHERE {sql_normal('text')} <> '' ORDER BY doc_id LIMIT 75000"""),
     ),
     "html_articles": (
-        lambda c: pages.html_articles(c.pages),
+        lambda c: pages.html_articles(pages_and_made(c)),
         sql("", f"""{_VISIBLE},
 made AS (SELECT page_id, url,
   {sql_strip(sql_to_text("regexp_extract(page, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)"))} AS title,
   {sql_strip("array_to_string(list_transform(regexp_extract_all(page, "
              "'(?is)<(?:article|div class=\"par\")>(.*?)</(?:article|div)>', 1), lambda b: "
              + sql_to_text("b") + "), '')")} AS body FROM seen)
-SELECT page_id, title, url, CAST(NULL AS VARCHAR) AS date, body FROM made WHERE body <> ''"""),
+SELECT page_id, url, title, CAST(NULL AS VARCHAR) AS date, body FROM made WHERE body <> ''
+UNION ALL {_made_sql()}"""),
     ),
     "html_links": (
         lambda c: pages.html_links(c.pages),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrules.catalog.sql import sql
+from textrules.catalog.sql import sql, sql_plain_sentences
 from textrules.functions import text as tx
 from textrules.operators import rules as op
 from textrules.operators.vocabulary import vocab_upsert
@@ -160,11 +160,11 @@ FROM rules r JOIN rule_words w ON w.rule_id = r.rule_id GROUP BY r.rule_id"""),
     ),
     "rules_add": (
         rules_add,
-        sql("rules rule_words", """
+        sql("rules rule_words", f"""
 fresh AS (
   SELECT (SELECT max(rule_id) FROM rules) + row_number() OVER (ORDER BY conv_id) AS rule_id,
     CAST(conv_id % 2 + 1 AS INTEGER) AS topic_id, CAST(conv_id % 5 + 1 AS INTEGER) AS category_seq,
-    regexp_extract_all(lower(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')[1]), '[\\p{L}\\p{N}]+') AS l
+    regexp_extract_all(lower(({sql_plain_sentences('text')})[1]), '[\\p{{L}}\\p{{N}}]+') AS l
   FROM conversations WHERE turn = 0)
 SELECT rule_id, topic_id, category_seq, word_seq, word FROM rules JOIN rule_words USING (rule_id)
 UNION ALL SELECT * FROM (
@@ -173,9 +173,9 @@ UNION ALL SELECT * FROM (
     ),
     "rules_add_vocabulary": (
         vocabulary_after_rules_add,
-        sql("rule_words tokens", """
-fresh AS (SELECT regexp_extract_all(lower(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')[1]),
-    '[\\p{L}\\p{N}]+') AS l FROM conversations WHERE turn = 0)
+        sql("rule_words tokens", f"""
+fresh AS (SELECT regexp_extract_all(lower(({sql_plain_sentences('text')})[1]),
+    '[\\p{{L}}\\p{{N}}]+') AS l FROM conversations WHERE turn = 0)
 SELECT word FROM tokens UNION SELECT word FROM rule_words
 UNION SELECT word FROM (SELECT unnest(range(len(l))) AS i, unnest(l) AS word FROM fresh)
 WHERE i IN (0, 1, 3)"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textrules.catalog.sql import sql
+from textrules.catalog.sql import sql, sql_plain_sentences
 from textrules.functions import text as tx
 from textrules.operators import sentences as op
 
@@ -27,7 +27,7 @@ SQL_PIECES += """|[^\\x{{3131}}-\\x{{3163}}]+|[\\x{{3131}}-\\x{{3163}}]+')"""
 
 
 def sql_cut(line):
-    return f"""list_filter(list_transform(regexp_extract_all({line}, '[^.!?\\n]+[.!?]*'),
+    return f"""list_filter(list_transform({sql_plain_sentences(line)},
       lambda s: {sql_strip('s')}), lambda s: s <> '')"""
 
 

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textrules.functions.text import extract_all, strip
 
-# Fixed values. The ampersand comes last, so that "&amp;lt;" stays "&lt;".
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-)
+# Names of characters, by Python's table of the HTML standard; a fixed blank becomes a plain one.
+ENTITIES = {**name2codepoint, "apos": 0x27, "nbsp": 0x20}
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 BREAK = r"(?i)<br\s*/?>"
 TAG = r"(?s)<[^>]*>"
 TITLE = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 DATE = r'(?is)<p\b[^>]*id="date_text"[^>]*>(.*?)</p>'
-BODY = r'(?is)<(?:article|div class="par")>(.*?)</(?:article|div)>'
+# Where content blocks and what nests in them begin and end.
+EDGE = r"(?i)(?=</?(?:article|div)\b)"
+CONTENT = r"""(?is)^<(?:article\b|div\b[^>]*\bclass\s*=\s*(?:"(?:[^"]*\s)?par(?:\s[^"]*)?"|'(?:[^']*\s)?par(?:\s[^']*)?'))"""
 ENTRY = r"(?is)<(?:li|dt)\b[^>]*>(.*?)</(?:li|dt)>"
 HREF = r'(?i)href="([^"]*)"'
 
@@ -28,11 +29,32 @@ def visible(html: Column) -> Column:
 
 
 def to_text(html: Column) -> Column:
-    """Line breaks kept, tags removed, known entities replaced."""
-    text = F.regexp_replace(F.regexp_replace(html, BREAK, "\n"), TAG, "")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Line breaks kept, tags removed, named and numbered characters replaced once."""
+    return characters(F.regexp_replace(F.regexp_replace(html, BREAK, "\n"), TAG, ""))
+
+
+def characters(text: Column) -> Column:
+    """``&name;``, ``&#n;`` and ``&#xn;`` as the characters they stand for; others stay."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def first(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^#([0-9]{1,7});", 1)
+        hexadecimal = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = (
+            F.when(number != "", number.cast("int"))
+            .when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int"))
+            .otherwise(names[F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)])
+        )
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(char, F.regexp_replace(part, "^[^;]*;", ""))).otherwise(
+            F.concat(F.lit("&"), part)
+        )
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), first)
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def page_title(page: Column) -> Column:
@@ -46,8 +68,25 @@ def page_date(page: Column) -> Column:
 
 
 def page_body(page: Column) -> Column:
-    """All content blocks, joined."""
-    return strip(F.array_join(F.transform(extract_all(page, BODY, 1), to_text), ""))
+    """All content blocks, joined. A block ends where its own tag closes: blocks nest in it."""
+
+    def state(depth: Column, text: Column) -> Column:
+        return F.struct(depth.cast("int").alias("depth"), text.alias("text"))
+
+    def step(s: Column, piece: Column) -> Column:
+        more = F.concat(s["text"], piece)
+        opens, closes = piece.rlike(r"(?i)^<(?:article|div)\b"), piece.startswith("</")
+        return (
+            F.when((s["depth"] == 0) & piece.rlike(CONTENT), state(F.lit(1), more))
+            .when(s["depth"] == 0, s)
+            .when(opens, state(s["depth"] + 1, more))
+            .when(closes & (s["depth"] == 1), state(F.lit(0), s["text"]))
+            .when(closes, state(s["depth"] - 1, more))
+            .otherwise(state(s["depth"], more))
+        )
+
+    blocks = F.aggregate(F.split(page, EDGE), state(F.lit(0), F.lit("")), step, lambda s: s["text"])
+    return strip(to_text(blocks))
 
 
 def entry_links(html: Column) -> Column:
