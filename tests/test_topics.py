@@ -44,7 +44,7 @@ def test_argmax_keeps_ties_and_compares_numbers(spark):
 
 def test_alignment(spark):
     stored = spark.createDataFrame(
-        [(3, 0, "a b"), (3, 1, "[2016-06-24 16:52 :01] a b"), (7, 0, "c")],
+        [(3, 0, "a b"), (3, 1, "[2020-01-02 03:04 :05] a b"), (7, 0, "c")],
         "post_id long, sentence_seq int, full_text string",
     )
     labelled = spark.createDataFrame(
@@ -54,12 +54,15 @@ def test_alignment(spark):
     )
     labels = spark.createDataFrame([(1, "L"), (2, "M")], "label_id int, label string")
     training, index = al.training_set(labelled), al.key_index(stored)
-    assert training.count() == 4
+    assert training.count() == 6  # what a sentence says never makes it a header
     found = sorted(tuple(r) for r in al.labels_found(training, index, labels).collect())
     assert found == [(3, 0, 3, 1, "L", 2), (3, 1, 3, 1, "L", 2)]
     new = [tuple(r) for r in al.labels_new(training, index, labels).collect()]
-    assert new == [(8, 0, 3, 2, "M", "newone")]
+    assert sorted(r[3:] for r in new) == [(1, "L", "label"), (1, "L", "sentence"), (2, "M", "newone")]
+    assert sorted(r[:3] for r in new) == [(8, 0, 3), (8, 1, 3), (8, 2, 3)]
     assert [tuple(r) for r in al.labels_unknown(training, labels).collect()] == [("N", 1)]
+    apart = sorted(tuple(r) for r in al.labels_found(training, index, labels, limit=1).collect())
+    assert apart == found
 
 
 def test_one_table_per_label(spark):
@@ -67,7 +70,9 @@ def test_one_table_per_label(spark):
     rows = al.labelled_rows({"L": sheet, "M": sheet.filter("sentence = 'a b'").limit(1)})
     assert rows.select("row_key").distinct().count() == rows.count() == 5
     training = al.training_set(rows)
-    assert sorted((r.label, r.key) for r in training.collect()) == [("L", "ab"), ("L", "ab"), ("M", "ab")]
+    assert sorted((r.label, r.key) for r in training.collect()) == [
+        ("L", "ab"), ("L", "ab"), ("L", "label"), ("L", "sentence"), ("M", "ab")
+    ]
 
 
 def test_exports(spark):

@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from textrules.functions import text as tx
 from textrules.operators.numbering import number_words
 from textrules.operators.skew import join_skewed
-from textrules.session import checked_broadcast, fits_broadcast
+from textrules.session import BROADCAST_BYTES, checked_broadcast, fits_broadcast
 
 # Fixed value: the third column of every label row.
 LABEL_SOURCE = 3
-HEADER_CELLS = ("label", "sentence")
 
 
 def labelled_rows(tables: dict[str, DataFrame], sentence: str = "sentence") -> DataFrame:
-    """row_key, label, sentence of one table per label. Equal rows stay apart by copy number."""
+    """row_key, label, sentence of one table per label. Equal rows stay apart by copy number.
+
+    Header rows are the reader's business (``csv_source(header=True)`` drops the first row);
+    here every row is a sentence, whatever it says.
+    """
     rows = [t.select(F.lit(label).alias("label"), F.col(sentence).alias("sentence"))
             for label, t in tables.items()]
     counted = reduce(DataFrame.unionByName, rows).filter("sentence IS NOT NULL").groupBy(
@@ -34,10 +37,10 @@ def labelled_rows(tables: dict[str, DataFrame], sentence: str = "sentence") -> D
 
 
 def training_set(labelled: DataFrame) -> DataFrame:
-    """row_key, label, key from (row_key, label, sentence); empty and header cells are dropped."""
-    return labelled.filter(
-        F.col("sentence").isNotNull() & ~F.col("sentence").isin(*HEADER_CELLS)
-    ).select("row_key", "label", tx.match_key(F.col("sentence")).alias("key"))
+    """row_key, label, key from (row_key, label, sentence); empty cells are dropped."""
+    return labelled.filter(F.col("sentence").isNotNull()).select(
+        "row_key", "label", tx.match_key(F.col("sentence")).alias("key")
+    )
 
 
 def key_index(sentences: DataFrame) -> DataFrame:
@@ -47,7 +50,9 @@ def key_index(sentences: DataFrame) -> DataFrame:
     )
 
 
-def labels_found(training: DataFrame, index: DataFrame, labels: DataFrame) -> DataFrame:
+def labels_found(
+    training: DataFrame, index: DataFrame, labels: DataFrame, limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """One row per label and stored sentence with the same key.
 
     Equal training rows are folded to one with their number in ``copies``, so a common
@@ -55,7 +60,7 @@ def labels_found(training: DataFrame, index: DataFrame, labels: DataFrame) -> Da
     """
     folded = training.groupBy("label", "key").agg(F.count(F.lit(1)).alias("copies"))
     known = folded.join(checked_broadcast(labels), "label")
-    small = fits_broadcast(known)
+    small = fits_broadcast(known, limit)
     pairs = index.join(F.broadcast(known), "key") if small else join_skewed(index, known, "key")
     return pairs.select(
         "post_id", "sentence_seq", F.lit(LABEL_SOURCE).alias("source"), "label_id", "label", "copies"

@@ -12,10 +12,20 @@ _QUOTING = {"quote": '"', "escape": '"', "header": "false"}
 
 
 def csv_source(
-    spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ","
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    delimiter: str = ",",
+    header: bool = False,
+    line_breaks: bool = True,
 ) -> DataFrame:
-    """Typed columns by position; quoted fields may hold line breaks."""
-    return spark.read.options(**_QUOTING, sep=delimiter, multiLine="true").csv(path, schema=schema)
+    """Typed columns by position; quoted fields may hold line breaks.
+
+    ``header`` drops the first row of each file, whatever it says. A file whose fields may hold
+    line breaks is read by one task; without ``line_breaks`` large files are split.
+    """
+    options = _QUOTING | {"header": str(header).lower(), "multiLine": str(line_breaks).lower()}
+    return spark.read.options(**options, sep=delimiter, enforceSchema="true").csv(path, schema=schema)
 
 
 def csv_sink(df: DataFrame, path: str, update: bool = False) -> None:
