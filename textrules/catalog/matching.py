@@ -25,11 +25,7 @@ def match_candidates(c):
 
 def match_ordered_gap(c):
     """The test itself, applied to every candidate."""
-    found = op.match_candidates(c.sentences, c.packed_rules).drop("word_seqs", "hit_words")
-    matched = c.matches.withColumn("valid", F.lit(True))
-    return found.join(matched, list(op.KEYS), "left").select(
-        *op.KEYS, F.coalesce("valid", F.lit(False)).alias("valid")
-    )
+    return op.tested_candidates(c.sentences, c.packed_rules)
 
 
 def rule_matches_rnum(c):
@@ -84,9 +80,14 @@ WHERE topic_id = 1 AND source_id BETWEEN 0 AND 14 GROUP BY rule_id"""),
     ),
     "match_ordered_gap": (
         match_ordered_gap,
-        sql("matches", """
-SELECT c.rule_id, c.post_id, c.sentence_seq, m.rule_id IS NOT NULL AS valid
-FROM candidates c LEFT JOIN matches m USING (rule_id, post_id, sentence_seq)"""),
+        sql("candidates", """
+SELECT rule_id, post_id, sentence_seq, list_reduce(toks, lambda s, t: CASE
+    WHEN s.i < len(rule_words) AND t.w = rule_words[s.i + 1] AND (s.i = 0 OR t.p - s.p <= gap)
+      THEN {'p': t.p, 'w': t.w, 'i': s.i + 1}
+    WHEN s.i < len(rule_words) AND s.i > 0 AND t.w = rule_words[s.i]
+      THEN {'p': t.p, 'w': t.w, 'i': s.i}
+    ELSE s END, {'p': -1, 'w': '', 'i': 0}).i = len(rule_words) AS valid
+FROM candidates"""),
     ),
     "rule_matches_rnum": (
         rule_matches_rnum,

@@ -87,17 +87,40 @@ def rule_matches(
     )
 
 
+def tested_candidates(
+    sentences: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """(rule_id, post_id, sentence_seq, valid): every candidate and what the ordered test says."""
+    valid = ordered_gap_match(F.col("words"), F.col("rule_words"), F.col("gap"))
+    return _candidates(sentences, rules, limit).select(*KEYS, F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
 def match_candidates(
     sentences: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Sentences with at least as many occurrences of rule words as the rule has words.
 
-    Gives the positions and words of just those occurrences, in sentence order. A pair is
-    reached through each word it shares; it is kept only for the first of them, so no
-    de-duplicating shuffle is needed.
+    Gives the positions and words of just those occurrences, in sentence order.
+    """
+    hits = F.filter(
+        F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))),
+        lambda x: F.array_contains(F.col("rule_words"), x["w"]),
+    )
+    return _candidates(sentences, rules, limit).select(
+        *KEYS,
+        F.transform(hits, lambda h: h["p"]).alias("word_seqs"),
+        F.col("shared").alias("hit_words"),
+    )
+
+
+def _candidates(sentences: DataFrame, rules: DataFrame, limit: int) -> DataFrame:
+    """Pairs with their words, the rule's words and gap, and the words they share.
+
+    A pair is reached through each word it shares; it is kept only for the first of them, so
+    no de-duplicating shuffle is needed.
     """
     by_word = rules.select(
-        "rule_id", F.col("words").alias("rule_words"),
+        "rule_id", "gap", F.col("words").alias("rule_words"),
         F.explode(F.array_distinct("words")).alias("word"),
     )
     held = sentences.select(
@@ -108,19 +131,10 @@ def match_candidates(
         [held.join(part, "word") for part in broadcast_parts(by_word, "rule_id", limit)],
     )
     shared = F.filter("words", lambda w: F.array_contains(F.col("rule_words"), w))
-    hits = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))),
-        lambda x: F.array_contains(F.col("rule_words"), x["w"]),
-    )
     return (
         pairs.withColumn("shared", shared)
         .filter(F.col("word") == F.get("shared", F.lit(0)))
         .filter(F.size("shared") >= F.size("rule_words"))
-        .select(
-            *KEYS,
-            F.transform(hits, lambda h: h["p"]).alias("word_seqs"),
-            F.col("shared").alias("hit_words"),
-        )
     )
 
 
