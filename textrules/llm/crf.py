@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from textrules.llm.common import WordHasher, blank_words, in_arrow, mix, row_blocks, shingle_hashes, text_arrays
 from textrules.llm.language import remainder
+from textrules.session import checked_broadcast
 
 
 @dataclass(frozen=True)
@@ -254,10 +255,18 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), flat], names=["label", "lines"])
 
 
-def train(labelled: DataFrame, fit: Fit = Fit()) -> tuple[LineField | None, float]:
-    """Fit to (key, label, text) rows: the field, and the share of good rows in the sample."""
-    rows = labelled.filter(F.col("label").isNotNull() & (F.length("text") <= fit.sample_chars))
-    sample = rows.orderBy(F.xxhash64("key"), "key").limit(fit.sample_rows).select(F.col("label").cast("int"), "text")
+def train(docs: DataFrame, marks: DataFrame, fit: Fit = Fit()) -> tuple[LineField | None, float]:
+    """Fit to the texts of ``docs`` (doc_id, text) that ``marks`` (doc_id, label) label.
+
+    Gives the field, and the share of good rows in the sample. The sample is drawn from the labels
+    by a hash of the id, so only the texts it takes are moved.
+    """
+    marks = marks.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "label")
+    share = min(1.0, 1.2 * fit.sample_rows / max(1, marks.count()))
+    drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    rows = docs.select("doc_id", "text").join(checked_broadcast(drawn), "doc_id")
+    rows = rows.filter(F.length("text") <= fit.sample_chars)
+    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.sample_rows).select(F.col("label").cast("int"), "text")
     table = sample.transform(in_arrow, _line_rows, "label int, lines array<double>").toArrow()
     if not table.num_rows:
         return None, 0.5
@@ -295,9 +304,8 @@ def score(docs: DataFrame, field: LineField | None, prior: float, text: str = "t
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """What op8 returns."""
-    learned = docs.filter(remainder(5) != 0).select(F.col("doc_id"), "text")
-    marks = labels.select("doc_id", F.col("quality").alias("label"))
-    field, prior = train(learned.join(marks, "doc_id").select(F.col("doc_id").alias("key"), "label", "text"))
+    marks = labels.filter(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    field, prior = train(docs, marks)
     held = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")
     found = score(docs.select("doc_id", "text"), field, prior)
     return found.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
