@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAD_BLOCK = 1 << 14
+LEAD_BITS = 14
+# Blocks of blocks: a prefix sum runs over at most 2^21 of them, and over 256 at the top.
+UPPER_BITS = 21
 TAIL_BLOCK = 1 << 16
 
 
@@ -26,28 +28,45 @@ def number_rows(
     by: Sequence[str] = (),
     start: int = 0,
     out: str = "rnum",
-    lead_block: int = LEAD_BLOCK,
+    lead_bits: int = LEAD_BITS,
     tail_block: int = TAIL_BLOCK,
 ) -> DataFrame:
     """Number rows from ``start`` in (lead, tail) order, separately for each ``by`` group.
 
     (by, lead, tail) must be unique and both order columns integral. Rows are sorted only
     within a cell of at most ``tail_block`` tail values of one lead value, so neither one
-    hot group nor one hot lead value ends in a single task. Offsets come from two small
-    prefix sums: cells within a block of lead values, and blocks within the group.
+    hot group nor one hot lead value ends in a single task. Offsets come from prefix sums of
+    counts: cells within a block of lead values, blocks within blocks of blocks, and so on up to
+    at most 256 of a group. So however sparse the lead values are, no sum runs over all of them.
     """
     by = list(by)
     celled = df.withColumn("_cell", F.expr(f"`{tail}` div {tail_block}"))
     cells = celled.groupBy(*by, lead, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_block", F.expr(f"`{lead}` div {lead_block}"))
-    blocks = cells.groupBy(*by, "_block").agg(F.sum("_n").alias("_n"))
-    blocks = _before(blocks, by, ["_block"]).select(
-        *by, "_block", F.col("_before").alias("_block_before")
-    )
-    cells = _before(cells, [*by, "_block"], [lead, "_cell"]).drop("_n")
+    cells = cells.withColumn("_block0", F.shiftright(F.col(lead).cast("long"), lead_bits))
+    levels, shift = [], lead_bits
+    below = cells
+    while True:
+        k = len(levels)
+        level = below.groupBy(*by, f"_block{k}").agg(F.sum("_n").alias("_n"))
+        shift += UPPER_BITS
+        if shift < 64:
+            level = level.withColumn(f"_block{k + 1}", F.shiftright(f"_block{k}", UPPER_BITS))
+        levels.append(level)
+        if shift >= 64:
+            break
+        below = level
+    above = None
+    for k in range(len(levels) - 1, -1, -1):
+        part = [*by, f"_block{k + 1}"] if k + 1 < len(levels) else by
+        level = _before(levels[k], part, [f"_block{k}"])
+        if above is not None:
+            level = level.join(above, part, "left")
+        total = F.col("_before") + (F.col("_above") if above is not None else F.lit(0))
+        above = level.select(*by, f"_block{k}", total.alias("_above"))
+    cells = _before(cells, [*by, "_block0"], [lead, "_cell"]).drop("_n")
     # Every key is found; left joins add no null checks, so the counts are computed once.
-    cells = cells.join(blocks, [*by, "_block"], "left").select(
-        *by, lead, "_cell", (F.col("_before") + F.col("_block_before")).alias("_offset")
+    cells = cells.join(above, [*by, "_block0"], "left").select(
+        *by, lead, "_cell", (F.col("_before") + F.col("_above")).alias("_offset")
     )
     within = F.row_number().over(Window.partitionBy(*by, lead, "_cell").orderBy(tail))
     numbered = celled.withColumn("_row", within).join(cells, [*by, lead, "_cell"], "left")

@@ -12,7 +12,6 @@ from textrules.sources.text_files import file_name
 # Fixed value: new order of the six words of a range label ("a b - c d (n)" to "c d - a b (n)").
 RANGE_ORDER = (3, 4, 2, 0, 1, 5)
 PER_BATCH = 100
-MINUTE = 60_000_000  # microseconds
 
 
 def _parts(files: DataFrame) -> DataFrame:
@@ -62,7 +61,7 @@ def chunk_batches(rows: DataFrame, ts: str, key: str, text: str, per: int = PER_
         F.col(key).cast("long").alias("key"),
         tx.stamped_line(F.col(ts), F.col(text)).alias("line"),
     ).withColumn("micros", F.unix_micros("ts"))
-    numbered = number_rows(stamped, lead="micros", tail="key", by=["day"], lead_block=MINUTE)
+    numbered = number_rows(stamped, lead="micros", tail="key", by=["day"])
     moment = "yyyy-MM-dd HH:mm:ss"
     lines = F.array_sort(F.collect_list(F.struct("rnum", "line")))  # at most ``per``
     return (
