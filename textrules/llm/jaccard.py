@@ -12,8 +12,10 @@ The join bounds overlaps by summed coordinate minima of count vectors, twice:
   The order puts coordinates that a sample of texts has often last, so hot shingles (a line or
   passage that very many texts have) are tiles only of texts that consist of little else. The
   order changes cost, never results.
-* Over 64 groups of shingles as coordinates (dense vectors): pairs in a tile are dropped when the
-  sum of minima over the groups is too small. In tiles with many texts the vectors stand in a
+* Over groups of shingles as coordinates (dense vectors, about as many groups as shingles, and a
+  power of two of them so that two vectors fold to one length): pairs in a tile are dropped when
+  the sum of minima over the groups is too small. So few shingles share a group by chance that
+  hardly any pair below the limit survives. In tiles with many texts the vectors stand in a
   packed R-tree, whose leaves' maxima bound all pairs of two leaves at once.
 
 Equal sets are one node throughout. Links are searched in two rounds so that a tile of m copies
@@ -37,15 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textrules.llm.common import WordHasher, blank_words, in_arrow, mix, row_blocks, shingle_hashes, text_arrays
+from textrules.llm.common import WordHasher, blank_words, in_arrow, mix, row_blocks, set_aside, shingle_hashes, text_arrays
 from textrules.llm.components import components
 from textrules.llm.store import stored
 from textrules.operators.skew import join_skewed
 from textrules.session import checked_broadcast
 
 SHINGLE = 5
-GROUPS = 64
+#: Least groups of a count vector, and groups that the tree and its leaves work with.
+GROUPS, COARSE = 64, 64
 LEAF = 32
+#: Tiles of so many sets are searched pair by pair, larger ones by a tree.
+SMALL = 24
 #: One text in so many is looked at for the order of coordinates; at most so many go last.
 SAMPLE, LATE = 16, 300_000
 #: Orders by min-hash, dealt to the tiles.
@@ -96,7 +101,57 @@ def tile_keys(shingles: np.ndarray, late: tuple[np.ndarray, np.ndarray]) -> np.n
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((shingles >> np.uint64(20)) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16)
+    """Sizes of the groups that a set's shingles fall into, each below 16, two in a byte."""
+    n = max(GROUPS, 1 << int(round(np.log2(max(1, len(shingles))))))
+    while True:
+        counts = np.bincount((shingles >> np.uint64(20)) & np.uint64(n - 1), minlength=n)
+        if counts.max() < 16:
+            return (counts[0::2] | counts[1::2] << 4).astype(np.uint8)
+        n *= 2
+
+
+def unpacked(vectors: list[bytes]) -> np.ndarray:
+    """Vectors of one length as rows of counts."""
+    flat = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1)
+    return np.stack([flat & 15, flat >> 4], axis=2).reshape(len(vectors), -1).astype(np.uint16)
+
+
+def fold(counts: np.ndarray, n: int) -> np.ndarray:
+    """Count vectors (rows) over ``n`` groups, fewer than they have."""
+    while counts.shape[1] > n:
+        half = counts.shape[1] // 2
+        counts = counts[:, :half] + counts[:, half:]
+    return counts
+
+
+def folded(vectors: list[bytes], most: int = 1 << 62) -> np.ndarray:
+    """Vectors of any lengths as rows over the fewest groups that one of them has, or ``most``."""
+    size = np.array([len(v) for v in vectors])
+    n = min(2 * int(size.min()), most)
+    out = np.zeros((len(vectors), n), np.uint16)
+    for s in np.unique(size):
+        at = np.flatnonzero(size == s)
+        out[at] = fold(unpacked([vectors[i] for i in at]), n)
+    return out
+
+
+def may_link(n1: np.ndarray, n2: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    return 9 * overlap >= 4 * (n1 + n2)
+
+
+def bounded(n: np.ndarray, vectors: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y) of sets have a sum of minima that leaves room for a link."""
+    size = np.array([len(v) for v in vectors])
+    groups = 2 * np.minimum(size[x], size[y])
+    keep = np.zeros(len(x), bool)
+    for g in np.unique(groups):  # pairs of like length go together, some MB at a time
+        pairs = np.flatnonzero(groups == g)
+        for at in np.array_split(pairs, 1 + len(pairs) * int(g) // (1 << 22)):
+            used, place = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+            rows = folded([vectors[i] for i in used], int(g))
+            overlap = np.minimum(rows[place[: len(at)]], rows[place[len(at) :]]).sum(axis=1, dtype=np.int64)
+            keep[at] = may_link(n[x[at]], n[y[at]], overlap)
+    return keep
 
 
 def _signs(shingles: np.ndarray) -> list[int]:
@@ -201,33 +256,21 @@ def _vectors(sets: DataFrame) -> DataFrame:
     return given.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
 
 
-def _may_link(n1: np.ndarray, n2: np.ndarray, overlap: np.ndarray) -> np.ndarray:
-    return 9 * overlap >= 4 * (n1 + n2)
-
-
-def _counts(column: pa.Array) -> np.ndarray:
-    flat = b"".join(column.to_pylist())
-    return np.frombuffer(flat, np.uint16).reshape(-1, GROUPS).astype(np.int32)
-
-
 def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """The pairs (x, y) whose group counts leave room for a link."""
-    side = lambda name: vectors.select(
-        F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("counts").alias(f"c_{name}")
-    )
-    wide = pairs.join(side("x"), "x").join(side("y"), "y")
-    wide = wide.filter("9 * least(n_x, n_y) >= 4 * (n_x + n_y)")
+    side = lambda name, c, short: vectors.select(F.col("node").alias(name), F.col(c).alias(f"{short}_{name}"))
+    # Sizes first: they drop most pairs, so that few vectors are moved.
+    sized = pairs.join(side("x", "n", "n"), "x").join(side("y", "n", "n"), "y")
+    sized = stored(sized.filter("9 * least(n_x, n_y) >= 4 * (n_x + n_y)"), "jaccard-sized")
+    wide = sized.join(side("x", "counts", "c"), "x").join(side("y", "counts", "c"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n1, n2 = (batch.column(k).to_numpy() for k in (2, 3))
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                overlap = np.minimum(_counts(part.column(4)), _counts(part.column(5))).sum(axis=1)
-                keep = _may_link(n1[lo : lo + 4096], n2[lo : lo + 4096], overlap)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["x", "y"]
-                )
+            n = np.concatenate([batch.column(k).to_numpy() for k in (2, 3)])
+            vectors = batch.column(4).to_pylist() + batch.column(5).to_pylist()
+            at = np.arange(batch.num_rows)
+            keep = pa.array(bounded(n, vectors, at, at + batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["x", "y"])
 
     node = "struct<a:long,b:long>"
     return wide.select("x", "y", "n_x", "n_y", "c_x", "c_y").transform(in_arrow, run, f"x {node}, y {node}")
@@ -259,9 +302,8 @@ def _wanted_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFram
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(docs: DataFrame, sets: DataFrame, vectors: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def verified(docs: DataFrame, sets: DataFrame, left: DataFrame, name: str) -> DataFrame:
     """The pairs (x, y) that link, by their whole sets."""
-    left = stored(_bounded(pairs, vectors), f"{name}-bounded")
     whole = stored(_wanted_sets(docs, sets, left), f"{name}-sets")
     side = lambda c: whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
     wide = left.join(side("x"), "x").join(side("y"), "y").select("x", "y", "s_x", "s_y")
@@ -297,13 +339,13 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray, group: np.ndarray) -> tuple[np
         # sizes of linked sets differ by a quarter at most; leaves are in the order of sizes
         stop = int(np.searchsorted(small, large[i] * 5 / 4 + 1, "right"))
         leaves = np.arange(i, max(stop, i + 1))
-        bound = np.minimum(top[i], top[leaves]).sum(axis=1)
-        leaves = leaves[_may_link(small[i], small[leaves], bound)]
+        bound = np.minimum(top[i], top[leaves]).sum(axis=1, dtype=np.int64)
+        leaves = leaves[may_link(small[i], small[leaves], bound)]
         a = np.arange(begin[i], min(begin[i] + LEAF, len(n)))
         for j in leaves.tolist():
             b = np.arange(begin[j], min(begin[j] + LEAF, len(n)))
-            overlap = np.minimum(counts[a][:, None], counts[b][None]).sum(axis=2)
-            fits = _may_link(n[a][:, None], n[b][None], overlap) & (group[a][:, None] != group[b][None])
+            overlap = np.minimum(counts[a][:, None], counts[b][None]).sum(axis=2, dtype=np.int64)
+            fits = may_link(n[a][:, None], n[b][None], overlap) & (group[a][:, None] != group[b][None])
             if i == j:
                 fits &= a[:, None] < b[None]
             x, y = np.nonzero(fits)
@@ -312,21 +354,55 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray, group: np.ndarray) -> tuple[np
     return np.concatenate(one), np.concatenate(two)
 
 
-def _tile_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole tiles, one after another, from rows in the order of their tile."""
+def _tile_runs(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their tile as batches of whole tiles, some thousand rows at a time."""
     kept: list[pa.RecordBatch] = []
     for batch in batches:
-        key = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        bounds = [0, *cuts.tolist(), len(key)]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            if kept and (lo > 0 or (len(key) and kept[-1].column(0)[0].as_py() != int(key[0]))):
-                yield pa.Table.from_batches(kept)
-                kept = []
-            if hi > lo:
-                kept.append(batch.slice(lo, hi - lo))
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) < rows:
+            continue
+        whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        tile = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on
+        if cut:
+            yield whole.slice(0, cut)
+        kept = [whole.slice(cut)]
     if kept:
-        yield pa.Table.from_batches(kept)
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
+def tile_pairs(
+    tile: np.ndarray, n: np.ndarray, vectors: list[bytes], group: np.ndarray, upper: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one tile, of different groups, whose counts leave room for a link.
+
+    ``upper`` marks rows that stand in the band above their own: two of them meet elsewhere.
+    """
+    begin = np.flatnonzero(np.diff(tile, prepend=tile[0] - 1))
+    size = np.diff(np.append(begin, len(tile)))
+    of_tile = np.repeat(size, size)
+    one, two = [], []
+    for step in range(1, SMALL):
+        at = np.flatnonzero((tile[step:] == tile[:-step]) & (of_tile[step:] <= SMALL))
+        if not len(at):
+            break
+        one.append(at)
+        two.append(at + step)
+    for k in np.flatnonzero(size > SMALL).tolist():
+        rows = slice(begin[k], begin[k] + size[k])
+        x, y = tree_pairs(n[rows], folded(vectors[rows], COARSE), group[rows])
+        one.append(begin[k] + x)
+        two.append(begin[k] + y)
+    if not one:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = np.concatenate(one), np.concatenate(two)
+    near = (group[x] != group[y]) & ~(upper[x] & upper[y])
+    near &= may_link(n[x], n[y], np.minimum(n[x], n[y]))
+    x, y = x[near], y[near]
+    keep = bounded(n, vectors, x, y)
+    return x[keep], y[keep]
 
 
 def _rest_pairs(tiles: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataFrame:
@@ -343,25 +419,36 @@ def _rest_pairs(tiles: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataF
         .select("key")
     )
     # A tile is cut by size: linked sets are in the same or in neighbouring bands of a quarter.
+    # Most sets that share a tile by chance stand alone in their bands; vectors go to the rest only.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    wide = (
+    banded = (
         rows.join(mixed, "key", "left_semi")
-        .join(vectors, "node")
-        .withColumn("band", F.explode(F.array(band, band + 1)))
-        .withColumn("tile", F.xxhash64("key", "band"))
-        .select("tile", "node", F.xxhash64("root").alias("root"), "n", "counts")
+        .join(vectors.select("node", "n"), "node")
+        .withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("tile", F.xxhash64("key", band + F.col("upper").cast("int")))
+        .select("tile", "node", "root", "n", "upper")
+    )
+    met = (
+        banded.groupBy("tile")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("upper").alias("all_upper"))
+        .filter("low <> high and not all_upper")
+        .select("tile")
+    )
+    picked = stored(banded.join(met, "tile", "left_semi"), "jaccard-picked")
+    wide = picked.join(vectors.select("node", "counts"), "node").select(
+        "tile", "node", F.xxhash64("root").alias("root"), "n", "counts", "upper"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in _tile_runs(batches):
-            if tile.num_rows < 2:
-                continue
-            tile = tile.combine_chunks().to_batches()[0]
-            counts = _counts(tile.column(4))
-            x, y = tree_pairs(tile.column(3).to_numpy(), counts, tile.column(2).to_numpy())
+        for part in _tile_runs(batches):
+            x, y = tile_pairs(
+                part.column(0).to_numpy(), part.column(3).to_numpy(), part.column(4).to_pylist(),
+                part.column(2).to_numpy(), part.column(5).to_numpy(zero_copy_only=False),
+            )
             if len(x):
-                nodes = tile.column(1)
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["x", "y"])
+                nodes = part.column(1)
+                both = pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["x", "y"])
+                yield both
 
     node = "struct<a:long,b:long>"
     in_order = wide.repartition("tile").sortWithinPartitions("tile")
@@ -379,11 +466,12 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     vectors = stored(_vectors(sets), "jaccard-vectors")
     tiles = stored(_tiles(sets), "jaccard-tiles")
     near = _ordered(tiles.filter(F.col("next").isNotNull()).select(F.col("node").alias("x"), F.col("next").alias("y")))
-    links = verified(docs, sets, vectors, near, "jaccard-near")
+    bounded = stored(_bounded(near, vectors), "jaccard-bounded")
+    links = verified(docs, sets, bounded, "jaccard-near")
     roots = components(links, "jaccard-roots")
     rest = stored(_rest_pairs(tiles, vectors, roots).join(near, ["x", "y"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = verified(docs, sets, vectors, rest, "jaccard-rest")
+        more = verified(docs, sets, rest, "jaccard-rest")
         if not more.isEmpty():
             roots = components(links.unionByName(more), "jaccard-roots-2")
     return sets, roots
@@ -395,10 +483,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows = sets.drop("keys", "signs", "counts")
     ids = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
     ids = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = Window.partitionBy("root")
-    named = ids.select(
-        "node", F.min("id").over(several).alias("component_id"), F.sum("rows").over(several).alias("members")
-    ).filter("members > 1").drop("members")
+    several = ids.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("rows").alias("members"))
+    several = several.filter("members > 1").select("root", "component_id")
+    named = join_skewed(ids.select("node", "root"), several, "root").select("node", "component_id")
     named = stored(named, "jaccard-names")
     in_groups = join_skewed(rows, named, "node")
     alone = rows.join(named, "node", "left_anti").withColumn("component_id", F.col("doc_id"))
@@ -412,6 +499,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one of each component: that with the least id."""
+    docs, back = set_aside(docs, ("doc_id", "text"))
     found = stored(jaccard_join(docs.select("doc_id", "text")), "jaccard-kept")
     first = F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")
     full = found.filter("n_shingles > 0")
@@ -435,7 +523,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         same = left["doc_id"].eqNullSafe(again["_again_id"]) & (left["_hash"] == again["_again_hash"])
         twice = left.join(checked_broadcast(again), same, "left_semi").dropDuplicates(["doc_id", "_hash"])
         left = left.join(checked_broadcast(again), same, "left_anti").unionByName(twice)
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return back(left)
 
 
 ORACLE = """
