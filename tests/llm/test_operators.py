@@ -281,11 +281,28 @@ def test_folded_vectors_bound_overlaps():
     pool = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
     sets = [np.unique(rng.choice(pool, k)) for k in (3, 400, 700, 5000, 8000)]
     counts = jaccard.folded([jaccard.group_counts(x).tobytes() for x in sets])
-    assert counts.shape == (5, 64) and (counts.sum(axis=1) == [len(x) for x in sets]).all()
+    assert counts.shape == (5, 64) and (counts.sum(axis=1, dtype=int) == [len(x) for x in sets]).all()
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
             two = jaccard.folded([jaccard.group_counts(z).tobytes() for z in (x, y)])
-            assert len(np.intersect1d(x, y)) <= np.minimum(*two).sum() <= np.minimum(counts[i], counts[j]).sum()
+            assert len(np.intersect1d(x, y)) <= np.minimum(*two).sum(dtype=int) <= np.minimum(counts[i], counts[j]).sum(dtype=int)
+
+
+def test_pairs_of_tiles():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 63, k, dtype=np.uint64)) for k in (80, 85, 200)]
+    sets = [np.unique(np.append(b[rng.random(len(b)) < 0.93], rng.integers(0, 1 << 63, 3, dtype=np.uint64))) for b in base for _ in range(30)]
+    tile = np.sort(np.append(rng.integers(0, 12, 50), np.full(40, 20)))
+    n, vectors = np.array([len(x) for x in sets]), [jaccard.group_counts(x).tobytes() for x in sets]
+    group, upper = rng.integers(0, 60, 90), rng.random(90) < 0.3
+    found = set(zip(*[x.tolist() for x in jaccard.tile_pairs(tile, n, vectors, group, upper)], strict=True))
+    found = {tuple(sorted(p)) for p in found}
+    for i in range(90):
+        for j in range(i + 1, 90):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if tile[i] == tile[j] and group[i] != group[j] and not (upper[i] and upper[j]) and 100 * both >= 80 * (n[i] + n[j] - both):
+                assert (i, j) in found
+    assert all(tile[i] == tile[j] and group[i] != group[j] for i, j in found) and found
 
 
 def test_tree_bounds_lose_no_pair():
