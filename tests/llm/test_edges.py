@@ -114,3 +114,13 @@ def test_pages_with_odd_rows(spark):
         (5, "response", None), (None, "response", None),
     ])
     assert warc.query(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_one_of_each_keeps_unlinked_rows_without_ids_or_with_one_id(spark, docs_of):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(30))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (None, text("d") + " e"),
+        (1, text("f")), (1, text("g")), (2, text("d")), (3, None), (None, None), (None, ""),
+    ]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs_of(rows)).collect())
+    assert kept == Counter({*rows} - {(None, text("d") + " e")})

@@ -498,14 +498,16 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of each component: that with the least id."""
+    """The rows of ``docs`` with one of each component: that with the least id.
+
+    Components are told apart by their root node, so null or repeated ids join nothing.
+    """
     docs, back = set_aside(docs, ("doc_id", "text"))
-    found = stored(jaccard_join(docs.select("doc_id", "text")), "jaccard-kept")
+    sets, roots = linked_sets(docs.select("doc_id", "text"))
+    full = sets.filter(F.col("node").isNotNull()).select("doc_id", "text_hash", "node")
     first = F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")
-    full = found.filter("n_shingles > 0")
-    # A component is named by its least id; rows of that id stay, by one text.
-    mine = full.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = mine.groupBy("component_id").agg(F.min(F.struct(*first)).alias("k"))
+    keep = full.groupBy("node").agg(F.min(F.struct(*first)).alias("k")).join(roots, "node", "left")
+    keep = keep.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
     texts = keep.select(F.col("k.id").alias("doc_id"), F.col("k.hash").alias("text_hash"))
     others = full.select("doc_id", "text_hash").distinct().exceptAll(texts)
     others = checked_broadcast(stored(others, "jaccard-gone")).select(
