@@ -124,3 +124,38 @@ def test_one_of_each_keeps_unlinked_rows_without_ids_or_with_one_id(spark, docs_
     ]
     kept = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs_of(rows)).collect())
     assert kept == Counter({*rows} - {(None, text("d") + " e")})
+
+
+def test_items_without_blanks_and_short_items_are_searched(spark, docs_of):
+    asked = "水的沸点在标准大气压下是多少摄氏度？请写出你的推理过程。"
+    thai = "น้ำเดือดที่อุณหภูมิเท่าไร"
+    items = [(1, asked), (2, thai), (3, "Four words, no more"), (4, "東京"), (5, "？！"), (6, None), (7, "four words no less")]
+    rows = [
+        (1, f"前面的话。{asked}后面的话。"), (2, f"前面的话{asked.replace('标准', '正常').replace('？', '')}"), (3, f"x{thai}y"),
+        (4, "here are four words no more of them"), (5, "four words"), (6, "私は東京に住む"), (7, "東の京、？！"), (8, None),
+        (9, "水在多少度会沸腾"), (10, "four words no more; four words no more"),
+    ]
+    found = decontaminate.query(docs_of(rows), bench(spark, items)).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in found) == Counter([(1, 1), (2, 1), (3, 2), (4, 3), (6, 4), (10, 3)])
+    by = {r["doc_id"]: r for r in found}
+    assert (by[1]["first_word"], by[1]["end_word"], by[1]["distance"], by[1]["item_words"]) == (4, 30, 0, 26)
+    assert by[2]["distance"] == 2 and (by[4]["first_word"], by[4]["end_word"], by[4]["item_words"]) == (2, 6, 4)
+    assert (by[10]["first_word"], by[6]["first_word"], by[6]["end_word"]) == (0, 2, 4)
+    assert {r["doc_id"] for r in decontaminate.clean_documents(docs_of(rows), bench(spark, items)).collect()} == {5, 7, 8, 9}
+
+
+def test_lone_characters_part_words_and_nothing_else():
+    import numpy as np
+
+    from textrules.llm.common import WordHasher, letter_words
+
+    cut = WordHasher(letter_words(), alone=True)
+    for text, want in {
+        "abc日本，def": ["abc", "日", "本", "def"], "𠀀a𠀁": ["𠀀", "a", "𠀁"], "é한국어 ñ": ["é한국어", "ñ"], "日": ["日"], "、": [], "a、b": ["a", "b"],
+    }.items():
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, hashes, _ = cut.words(data, np.array([0, len(data)]))
+        assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == want
+        for word, h in zip(want, hashes.tolist(), strict=True):
+            raw = np.frombuffer(word.encode(), np.uint8)
+            assert cut.words(raw, np.array([0, len(raw)]))[2].tolist() == [h]

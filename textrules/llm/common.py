@@ -96,17 +96,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words of many texts at once.
 
-    ``letters`` tells which bytes belong to words; A-Z are lower-cased when ``fold`` is set.
+    ``letters`` tells which bytes belong to words; A-Z are lower-cased when ``fold`` is set. With
+    ``alone``, characters of scripts without blanks are a word each, and their marks part words.
     A word's hash is a polynomial of its bytes' random values, taken apart at word starts.
     """
 
     BASE = 0x9E3779B97F4A7C15 | 1
 
-    def __init__(self, letters: np.ndarray, fold: bool = True):
+    def __init__(self, letters: np.ndarray, fold: bool = True, alone: bool = False):
         values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         if fold:
             values[0x41:0x5B] = values[0x61:0x7B]
-        self.letters = letters
+        self.letters, self.alone = letters, alone
         self.values = np.where(letters, values, np.uint64(0))
         self.power = self.inverse = np.ones(1, np.uint64)
 
@@ -120,7 +121,11 @@ class WordHasher:
                 self.inverse = np.cumprod(step, dtype=np.uint64)
 
     def _block(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mask = self.letters[data]
+        mask, marks = self.letters[data], np.zeros(0, np.int64)
+        if self.alone and (data >= 0xE0).any():
+            cuts, marks = lone_characters(data)
+            breaks = np.concatenate([breaks, cuts])
+            mask[marks] = False
         before = np.empty_like(mask)
         before[0] = False
         before[1:] = mask[:-1]
@@ -138,6 +143,7 @@ class WordHasher:
         with np.errstate(over="ignore"):
             terms = self.values[data]
             terms *= self.power[: len(data)]
+            terms[marks] = 0
             hashes = np.add.reduceat(terms, starts) * self.inverse[starts]
             hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
         return starts, ends, hashes
@@ -167,6 +173,41 @@ class WordHasher:
         return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
+#: Scripts that are written without blanks: Thai and Lao, Tibetan, Myanmar, Khmer, kana and Bopomofo,
+#: Han, Yi, further Myanmar letters, halfwidth kana, and the Han planes.
+_LONE = np.array([
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF),
+    (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+    (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+])
+#: Ideographic and full-width punctuation.
+_MARKS = np.array([
+    (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF01, 0xFF0F),
+    (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65),
+])
+
+
+def _within(codes: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(ranges[:, 0], codes, "right") - 1
+    return (at >= 0) & (codes <= ranges[at, 1])
+
+
+def lone_characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in UTF-8 where characters of scripts without blanks begin and end, and the bytes of their marks."""
+    at = np.flatnonzero(data >= 0xE0)
+    size = np.where(data[at] >= 0xF0, 4, 3)
+    whole = at + size <= len(data)
+    at, size = at[whole], size[whole]
+    byte = lambda k: data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F
+    codes = (data[at].astype(np.int64) & 0x0F) << 12 | byte(1) << 6 | byte(2)
+    codes = np.where(size == 4, (codes & 0x7FFF) << 6 | byte(3), codes)
+    lone, mark = _within(codes, _LONE), _within(codes, _MARKS)
+    cuts = np.concatenate([at[lone], at[lone] + size[lone]])
+    marks = np.concatenate([at[mark] + k for k in range(3)])
+    return cuts[cuts < len(data)], marks
+
+
 def blank_words() -> np.ndarray:
     """Bytes of words that are cut at blanks only: all but 20 and 09 to 0D."""
     letters = np.ones(256, bool)

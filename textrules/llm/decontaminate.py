@@ -1,7 +1,8 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH, verified by edit distance.
 
-Texts are words (lower-cased, cut at ASCII punctuation and blanks). A text holds an item of L words
-when some run of its words is within k = floor((1 - similarity) * L) word edits of the item.
+Texts are words (lower-cased, cut at ASCII, ideographic and full-width punctuation and blanks; each
+character of a script without blanks is a word). A text holds an item of L words when some run of
+its words is within k = floor((1 - similarity) * L) word edits of the item.
 
 * Windows: of an item cut into k + 1 pieces, one piece stays whole under k edits, so every window
   that could pass starts within k words of where one of the pieces' first words say. Only such
@@ -14,11 +15,11 @@ when some run of its words is within k = floor((1 - similarity) * L) word edits
   edited copies of the items themselves are found with the target recall.
 * Verification: the exact edit distance between the item and the best run of words around the
   candidate windows.
+* Items of fewer than ``least_words`` words are found as whole runs, by their hashes.
 
 Items go to the tasks in blocks of bounded size; texts pass each block in place, so nothing is
 shuffled and no document meets another. Null and empty texts hold nothing, null item ids are kept
-as they are, items of fewer than ``least_words`` words match nothing (ordinary text has them),
-repeated documents or items give repeated rows, and empty tables give an empty table. Texts go
+as they are, items without words match nothing, repeated documents or items give repeated rows, and empty tables give an empty table. Texts go
 through whole.
 """
 
@@ -96,14 +97,16 @@ class ItemIndex:
 
     def __init__(self, ids: list, texts: list[str], search: Search):
         self.search = search
-        hasher = WordHasher(letter_words())
-        kept, self.words = [], []
+        hasher = WordHasher(letter_words(), alone=True)
+        kept, self.words, short = [], [], []
         for item, text in zip(ids, texts, strict=True):
             data = np.frombuffer((text or "").encode(), np.uint8)
             words = hasher.words(data, np.array([0, len(data)]))[2]
             if len(words) >= search.least_words:
                 kept.append(item)
                 self.words.append(words)
+            elif len(words):
+                short.append((item, words))
         self.ids = kept
         self.length = np.array([len(w) for w in self.words], np.int64)
         self.slack = np.array([allowed(n, search.similarity) for n in self.length], np.int64)
@@ -111,6 +114,39 @@ class ItemIndex:
         self.kinds = np.unique(self.length)  # the window sizes
         self.kind_of = np.searchsorted(self.kinds, self.length)
         self._repetitions()
+        self._short(short)
+
+    def _short(self, items: list[tuple]) -> None:
+        """Items that no edit is allowed in, numbered after the others: sorted hashes by length."""
+        first = len(self.ids)
+        self.ids = self.ids + [item for item, _ in items]
+        size = np.array([len(words) for _, words in items], np.int64)
+        self.length = np.concatenate([self.length, size])
+        self.whole = {}
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            keys = np.concatenate([shingle_hashes(items[i][1], n) for i in at])
+            order = np.argsort(keys, kind="stable")
+            self.whole[n] = keys[order], first + at[order]
+
+    def short_matches(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """What ``matches`` gives, for the items of ``_short``: the first run of each row."""
+        found = []
+        for n, (keys, items) in self.whole.items():
+            runs = shingle_hashes(words, n)
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs)
+            row = np.searchsorted(rows, at, "right") - 1
+            inside = at + n <= rows[row + 1]
+            at, row = at[inside], row[inside]
+            _, once = np.unique(np.stack([row.astype(np.uint64), runs[at]]), axis=1, return_index=True)
+            at, row = at[once], row[once]
+            lo, hi = np.searchsorted(keys, runs[at], "left"), np.searchsorted(keys, runs[at], "right")
+            which, key = expand(lo, hi)
+            begin = at[which] - rows[row[which]]
+            found += zip(
+                row[which].tolist(), items[key].tolist(), [0] * len(which), begin.tolist(), (begin + n).tolist(), strict=True
+            )
+        return found
 
     def _anchors(self) -> None:
         """For q = 2 and 3: sorted hashes of the first q words of each piece, and whose they are."""
@@ -284,21 +320,22 @@ def _clusters(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
 
 
 def _batch_matches(index: ItemIndex, hasher: WordHasher, column) -> list[tuple[int, int, int, int, int]]:
-    """Matches in one batch of texts. Only rows with an anchored window go on, all at once."""
+    """Matches in one batch of texts. Only rows with an anchored window go on to the longer items, all at once."""
     data, offsets = text_arrays(column)
-    kept, sizes, numbers = [], [], []
+    kept, sizes, numbers, short = [], [], [], []
     for lo, hi in row_blocks(offsets):
         begin, end = offsets[lo], offsets[hi]
         _, _, words, rows = hasher.words(data[begin:end], offsets[lo : hi + 1] - begin)
+        short += [(lo + r, *rest) for r, *rest in index.short_matches(words, rows)]
         starts, _ = index.anchored(words, rows)
         for r in np.unique(np.searchsorted(rows, starts, "right") - 1).tolist():
             kept.append(words[rows[r] : rows[r + 1]])
             sizes.append(len(kept[-1]))
             numbers.append(lo + r)
     if not kept:
-        return []
+        return short
     rows = np.concatenate([[0], np.cumsum(sizes)])
-    return [(numbers[r], *rest) for r, *rest in index.matches(np.concatenate(kept), rows)]
+    return short + [(numbers[r], *rest) for r, *rest in index.matches(np.concatenate(kept), rows)]
 
 
 def item_blocks(items: DataFrame, search: Search, limit: int = ITEM_BYTES) -> Iterator[ItemIndex]:
@@ -318,7 +355,7 @@ def _scan(docs: DataFrame, index: ItemIndex, text: str, clean: bool) -> DataFram
         at = docs.columns.index(text)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = WordHasher(letter_words())
+            hasher = WordHasher(letter_words(), alone=True)
             for batch in batches:
                 held = np.ones(batch.num_rows, bool)
                 held[[m[0] for m in _batch_matches(shared.value, hasher, batch.column(at))]] = False
@@ -330,7 +367,7 @@ def _scan(docs: DataFrame, index: ItemIndex, text: str, clean: bool) -> DataFram
     schema = docs.select(*rest).schema
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(letter_words())
+        hasher = WordHasher(letter_words(), alone=True)
         for batch in batches:
             index = shared.value
             found = _batch_matches(index, hasher, batch.column(len(schema)))
