@@ -159,3 +159,26 @@ def test_lone_characters_part_words_and_nothing_else():
         for word, h in zip(want, hashes.tolist(), strict=True):
             raw = np.frombuffer(word.encode(), np.uint8)
             assert cut.words(raw, np.array([0, len(raw)]))[2].tolist() == [h]
+
+
+def test_language_grams_stay_apart():
+    import numpy as np
+
+    codes = np.arange(400_000, dtype=np.uint64)
+    hashes = language.hash_grams([0x4E00 + codes % 700, 0x4E00 + codes // 700, 0x4E00 + codes % 11, 0x4E00 + codes % 13])
+    assert len(np.unique(hashes)) == len(codes)
+
+
+def test_language_tables_score_as_arrays_do(spark, docs_of, odd_rows):
+    rows = [*odd_rows, (20, "zwei und drei sind fünf", "de"), (21, "two and three are five", "en"), (22, "漢字と仮名", "ja")]
+    docs = docs_of(rows, clashes=True)
+    arrays, tables = language.train(docs), language.train(docs, limit=0)
+    assert type(arrays) is language.LanguageModel and type(tables) is language.LanguageTables
+    a, b = (
+        sorted((r.asDict() for r in language.identify(docs, m).collect()), key=lambda r: (str(r["doc_id"]), str(r["text"])))
+        for m in (arrays, tables)
+    )
+    assert len(a) == len(b) == len(rows)
+    for x, y in zip(a, b, strict=True):
+        assert {k: v for k, v in x.items() if k not in ("score", "cross_entropy")} == {k: y[k] for k in y if k not in ("score", "cross_entropy")}
+        assert (y["score"], y["cross_entropy"]) == pytest.approx((x["score"], x["cross_entropy"]), rel=1e-4)

@@ -6,9 +6,9 @@ Words (runs of letters, lower-cased) are padded with start and end marks. Traini
 of grams seen once and twice, and every order is interpolated with the one below, down to a uniform
 share over the alphabet; all that are joins and aggregates over gram tables.
 
-The finished model is small: hashes of ``HASH_BITS`` bits, so at most 2^HASH_BITS entries an order
-however large the corpus is. It is kept as sorted hash arrays with log-probability and back-off
-weight by language, and goes to the tasks by broadcast.
+The finished model has every gram of the corpus, told apart by 64-bit hashes. Its size is measured:
+when it fits a broadcast, it goes to the tasks as sorted hash arrays with log-probability and back-off
+weight by language; when it does not, it stays a set of tables, and the grams of the texts join them.
 
 A text gets the language with the lowest cross-entropy per symbol. It is rejected when that
 exceeds what the language's own training text has by more than chance and a share of the way to a
@@ -28,15 +28,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textrules.llm.common import in_arrow, mix, row_blocks, set_aside, text_arrays
 from textrules.llm.store import stored
+from textrules.operators.skew import join_skewed
+from textrules.session import BROADCAST_BYTES, checked_broadcast
 
 ORDER = 4
-HASH_BITS = 22
 START, END = "\x02", "\x03"
 #: Letters for nearly all texts; other alphanumerics are sorted out word by word.
 WORD = re.compile(r"[^\W\d_]+")
@@ -146,8 +148,8 @@ def _level(grams: DataFrame, order: int, below: DataFrame, uniform: float) -> Da
     )
 
 
-def train(training: DataFrame) -> LanguageModel:
-    """Fit the models of all languages of (lang, text) rows."""
+def train(training: DataFrame, limit: int = BROADCAST_BYTES) -> LanguageModel:
+    """Fit the models of all languages of (lang, text) rows; ``limit`` is for what is broadcast."""
     top = stored(gram_table(training), "language-grams")
     tables = {ORDER: top}
     for order in range(ORDER - 1, 0, -1):
@@ -171,24 +173,28 @@ def train(training: DataFrame) -> LanguageModel:
     spread = np.sqrt(np.maximum(0, np.array([r["q"] / r["n"] for r in stats]) - mean**2))
     grams, contexts = {}, {}
     for order in range(1, ORDER + 1):
-        grams[order] = _arrays(levels[order].select("lang", "gram", F.log("p").alias("v")), langs)
+        grams[order] = levels[order].select("lang", "gram", F.log("p").alias("v"))
         if order > 1:
             left = levels[order].groupBy("lang", F.col("context").alias("gram")).agg(F.log(F.max("left")).alias("v"))
-            contexts[order - 1] = _arrays(left, langs)
+            contexts[order - 1] = stored(left, f"language-left-{order}")
+    entries = sum(table.count() for table in (*grams.values(), *contexts.values()))
+    fits = entries * (8 + 4 * len(langs)) <= limit
+    if fits:
+        grams = {order: _arrays(table, langs) for order, table in grams.items()}
+        contexts = {order: _arrays(table, langs) for order, table in contexts.items()}
     base = levels[1].groupBy("lang").agg(F.log(F.max("left")).alias("v")).orderBy("lang").collect()  # a row a language
     none = np.array([r["v"] for r in base])
-    return LanguageModel(langs, grams, contexts, mean, spread, float(np.log(alphabet + 1)), none)
+    kind = LanguageModel if fits else LanguageTables
+    return kind(langs, grams, contexts, mean, spread, float(np.log(alphabet + 1)), none)
 
 
 def _arrays(rows: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and a value by language (nan: none); grams of one hash have their largest."""
-    hashed = rows.transform(in_arrow, _hash_rows, "lang string, hash int, v double")
-    table = hashed.groupBy("lang", "hash").agg(F.max("v").alias("v")).toArrow()  # at most 2^HASH_BITS a language
-    hashes = table["hash"].to_numpy().astype(np.uint32)
-    column = np.searchsorted(np.array(langs), np.array(table["lang"].to_pylist(), dtype=str)) if len(table) else np.zeros(0, int)
+    """Sorted hashes and a value by language (nan: none) of rows that were measured."""
+    table = rows.transform(in_arrow, _hash_rows, "lang string, hash long, v double").toArrow()
+    hashes = table["hash"].to_numpy().astype(np.int64).view(np.uint64)
     keys, row = np.unique(hashes, return_inverse=True)
     values = np.full((len(keys), len(langs)), np.nan, np.float32)
-    values[row, column] = table["v"].to_numpy()
+    values[row, pc.index_in(table["lang"], pa.array(langs, pa.string())).to_numpy()] = table["v"].to_numpy()
     return keys, values
 
 
@@ -197,19 +203,19 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = batch.column(1).to_pylist()
         n = len(grams[0]) if grams else 0
         codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(grams), n)
-        hashes = hash_grams([codes[:, k] for k in range(n)]) if grams else np.zeros(0, np.uint32)
+        hashes = hash_grams([codes[:, k] for k in range(n)]) if grams else np.zeros(0, np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(hashes.astype(np.int32)), batch.column(2)], names=["lang", "hash", "v"]
+            [batch.column(0), pa.array(hashes.view(np.int64)), batch.column(2)], names=["lang", "hash", "v"]
         )
 
 
 def hash_grams(codes: list[np.ndarray]) -> np.ndarray:
-    """Hashes of grams given as one array of code points a place."""
+    """64-bit hashes of grams given as one array of code points a place."""
     with np.errstate(over="ignore"):
         total = np.full(len(codes[0]), np.uint64(0x2545F4914F6CDD1D + len(codes)))
         for c in codes:
             total = (total + c) * np.uint64(0x9E3779B97F4A7C15)
-        return (mix(total) >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
+        return mix(total)
 
 
 # -- scoring ------------------------------------------------------------------------------
@@ -260,6 +266,59 @@ class LanguageModel:
         return best, score, low, low > limit
 
 
+class LanguageTables(LanguageModel):
+    """The same model as tables (lang, gram, v), for one that is too large to be broadcast."""
+
+    def gram_scores(self, grams: DataFrame) -> DataFrame:
+        """(gram, p_0, p_1, ...): log-probabilities of 4-grams in each language."""
+        none = [(lang, float(v)) for lang, v in zip(self.langs, self.unseen - self.uniform, strict=True)]
+        scores = grams.crossJoin(F.broadcast(grams.sparkSession.createDataFrame(none, "lang string, p double")))  # a row a language
+        for order in range(1, ORDER + 1):
+            if order > 1:
+                scores = _beside(scores, self.contexts[order - 1], ORDER - order + 1, order - 1)
+                scores = scores.select("gram", "lang", (F.col("p") + F.coalesce("v", F.lit(0.0))).alias("p"))
+            scores = _beside(scores, self.grams[order], ORDER - order + 1, order)
+            scores = scores.select("gram", "lang", F.coalesce("v", "p").alias("p"))
+        one = [F.max(F.when(F.col("lang") == lang, F.col("p"))).alias(f"p_{k}") for k, lang in enumerate(self.langs)]
+        return scores.groupBy("gram").agg(*one)
+
+    def totals(self, texts: DataFrame) -> DataFrame:
+        """(row, symbols, t_0, t_1, ...) of the (row, text) rows with letters: summed log-probabilities."""
+        grams = stored(texts.select("row", "text").transform(in_arrow, _text_grams, "row long, gram string, n long"), "language-text-grams")
+        scores = stored(self.gram_scores(grams.select("gram").distinct()), "language-gram-scores")
+        sums = [F.sum(F.col("n") * F.col(f"p_{k}")).alias(f"t_{k}") for k in range(len(self.langs))]
+        return join_skewed(grams, scores, "gram").groupBy("row").agg(F.sum("n").alias("symbols"), *sums)
+
+
+def _beside(scores: DataFrame, table: DataFrame, at: int, size: int) -> DataFrame:
+    """``scores`` with the value of a part of each gram, null where the table has none."""
+    part = table.select("lang", F.col("gram").alias("part"), "v")
+    return scores.withColumn("part", F.substring("gram", at, size)).join(checked_broadcast(part), ["lang", "part"], "left")
+
+
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, gram, n): distinct 4-grams of each text."""
+    for batch in batches:
+        rows = batch.column(0).to_numpy()
+        data, offsets = text_arrays(batch.column(1))
+        for lo, hi in row_blocks(offsets):
+            own, grams, counts = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+            for i in range(lo, hi):
+                words = Counter(WORD.findall(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace").lower()))
+                clean: Counter = Counter()
+                for word, n in words.items():
+                    if letters := letters_of(word):
+                        clean[letters] += n
+                found, n = gram_counts(clean)
+                own.append(np.full(len(found), rows[i]))
+                grams += found
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(own)), pa.array(grams, pa.string()), pa.array(np.concatenate(counts))],
+                names=["row", "gram", "n"],
+            )
+
+
 def _look(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
     keys, values = table
     at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
@@ -312,7 +371,10 @@ def identify(docs: DataFrame, model: LanguageModel, rule: Rejection = Rejection(
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *NAMES)]
     wide = docs.select(*rest, F.col(f"`{text}`"))
     schema = wide.schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by HASH_BITS
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
+    if isinstance(model, LanguageTables):
+        return _identify_joined(wide, model, rule, text, ", ".join([*columns, FOUND]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # measured by ``train``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -331,28 +393,50 @@ def identify(docs: DataFrame, model: LanguageModel, rule: Rejection = Rejection(
                     [np.bincount(rows, weights=scores[:, k], minlength=len(split)) for k in range(scores.shape[1])], axis=1
                 )
                 symbols = sums[:, -1].astype(np.int64)
-                known = (symbols > 0) & bool(model.langs)
-                if model.langs:
-                    best, score, loss, far = model.decide(sums[:, :-1], symbols, rule)
-                    names = np.array(model.langs, object)[best]
-                else:
-                    score = loss = np.zeros(len(split))
-                    far, names = np.ones(len(split), bool), np.array(["und"] * len(split), object)
+                found = _verdicts(model, sums[:, :-1], symbols, rule)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.slice(lo, hi - lo).columns,
-                        pa.array(np.where(known, names, "und"), pa.string()),
-                        pa.array(np.where(known, score, 0.0), pa.float64()),
-                        pa.array(np.where(known, loss, 0.0), pa.float64()),
-                        pa.array(~known | far, pa.bool_()),
-                    ],
-                    names=[*schema.names, *NAMES],
+                    [*batch.slice(lo, hi - lo).columns, *found], names=[*schema.names, *NAMES]
                 )
 
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
     return wide.transform(in_arrow, run, ", ".join([*columns, FOUND]))
 
 
+def _verdicts(model: LanguageModel, totals: np.ndarray, symbols: np.ndarray, rule: Rejection) -> list[pa.Array]:
+    """The columns of FOUND."""
+    known = (symbols > 0) & bool(model.langs)
+    if model.langs:
+        best, score, loss, far = model.decide(totals, symbols, rule)
+        names = np.array(model.langs, object)[best]
+    else:
+        score = loss = np.zeros(len(symbols))
+        far, names = np.ones(len(symbols), bool), np.array(["und"] * len(symbols), object)
+    return [
+        pa.array(np.where(known, names, "und"), pa.string()),
+        pa.array(np.where(known, score, 0.0), pa.float64()),
+        pa.array(np.where(known, loss, 0.0), pa.float64()),
+        pa.array(~known | far, pa.bool_()),
+    ]
+
+
+def _identify_joined(wide: DataFrame, model: LanguageTables, rule: Rejection, text: str, columns: str) -> DataFrame:
+    """``identify`` by joins of the texts' grams with the model's tables."""
+    names = wide.columns
+    own = wide.toDF(*(f"_column_{k}" for k in range(len(names))))
+    own = stored(own.withColumn("row", F.monotonically_increasing_id()), "language-texts")  # stored: rows keep their numbers
+    totals = model.totals(own.select("row", F.col(f"_column_{names.index(text)}").alias("text")))
+    sums = [f"t_{k}" for k in range(len(model.langs))]
+    both = own.join(totals, "row", "left").select(*own.columns[:-1], "symbols", *sums).fillna(0, ["symbols", *sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, *totals = (batch.column(k).to_numpy() for k in range(len(names), batch.num_columns))
+            found = _verdicts(model_, np.stack(totals, axis=1), symbols, rule)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found], names=[*names, *NAMES])
+
+    model_ = LanguageModel(model.langs, {}, {}, model.mean, model.spread, model.uniform, model.unseen)  # without tables
+    return both.transform(in_arrow, run, columns)
+
+
 def keep_known(docs: DataFrame, model: LanguageModel, rule: Rejection = Rejection()) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language, as they are."""
     docs, back = set_aside(docs, ("text",))
