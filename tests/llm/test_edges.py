@@ -182,3 +182,21 @@ def test_language_tables_score_as_arrays_do(spark, docs_of, odd_rows):
     for x, y in zip(a, b, strict=True):
         assert {k: v for k, v in x.items() if k not in ("score", "cross_entropy")} == {k: y[k] for k in y if k not in ("score", "cross_entropy")}
         assert (y["score"], y["cross_entropy"]) == pytest.approx((x["score"], x["cross_entropy"]), rel=1e-4)
+
+
+def test_rejection_does_not_depend_on_other_scripts(spark, docs_of):
+    import random
+
+    rng = random.Random(6)
+    text = lambda letters, n, size: " ".join("".join(rng.choices(letters, k=size)) for _ in range(n))
+    common = ["".join(rng.choices("abcdefghijklmnopqrst", k=6)) for _ in range(60)]
+    latin = [(k, " ".join(rng.choices(common, k=200)), "aa") for k in range(10)]
+    han = [(100 + k, text([chr(0x4E00 + i) for i in range(5000)], 100, 50), "bb") for k in range(4)]
+    stray = [(200, text([chr(0x0400 + i) for i in range(48, 80)], 1, 32), "aa")]
+    third = [w for k in range(30) for w in (common[k], common[-1 - k], text("abcdefghijklmnopqrst", 1, 6))]
+    asked = docs_of([(1, " ".join(third)), (2, " ".join(rng.choices(common, k=60)))])
+    few, many = language.train(docs_of([*latin])), language.train(docs_of([*latin * 20, *han, *stray]))
+    assert many.own[0] == few.own[0] and many.uniform > few.uniform + 2
+    for model in (few, many):
+        found = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language.identify(asked, model).collect()}
+        assert found == {1: ("aa", True), 2: ("aa", False)}

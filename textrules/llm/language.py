@@ -12,7 +12,9 @@ weight by language; when it does not, it stays a set of tables, and the grams of
 
 A text gets the language with the lowest cross-entropy per symbol. It is rejected when that
 exceeds what the language's own training text has by more than chance and a share of the way to a
-uniform draw; mean and spread come from all training counts.
+uniform draw from the language's own letters (those that are one in ``RARE`` of its symbols at least,
+so that neither other scripts nor stray characters move it); mean and spread come from all training
+counts.
 
 Null texts and texts without letters are ``und`` (and rejected); without training rows all texts
 are. Ties go to the first language in order. Repeated rows are scored alike and count as often as
@@ -39,6 +41,7 @@ from textrules.operators.skew import join_skewed
 from textrules.session import BROADCAST_BYTES, checked_broadcast
 
 ORDER = 4
+RARE = 10_000
 START, END = "\x02", "\x03"
 #: Letters for nearly all texts; other alphanumerics are sorted out word by word.
 WORD = re.compile(r"[^\W\d_]+")
@@ -157,7 +160,7 @@ def train(training: DataFrame, limit: int = BROADCAST_BYTES) -> LanguageModel:
         tables[order] = tables[order + 1].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n"))
     alphabet = tables[1].agg(F.countDistinct("gram")).first()[0]
     if not alphabet:
-        return LanguageModel([], {}, {}, np.zeros(0), np.zeros(0), 1.0, np.zeros(0))
+        return LanguageModel([], {}, {}, np.zeros(0), np.zeros(0), 1.0, np.zeros(0), np.zeros(0))
     uniform, levels = 1.0 / (alphabet + 1), {}
     for order in range(1, ORDER + 1):
         levels[order] = stored(_level(tables[order], order, levels.get(order - 1), uniform), f"language-order-{order}")
@@ -184,8 +187,15 @@ def train(training: DataFrame, limit: int = BROADCAST_BYTES) -> LanguageModel:
         contexts = {order: _arrays(table, langs) for order, table in contexts.items()}
     base = levels[1].groupBy("lang").agg(F.log(F.max("left")).alias("v")).orderBy("lang").collect()  # a row a language
     none = np.array([r["v"] for r in base])
+    letters = top.groupBy("lang", F.substring("gram", ORDER, 1).alias("letter")).agg(F.sum("n").alias("n"))
+    own = (
+        letters.join(top.groupBy("lang").agg(F.sum("n").alias("total")), "lang")
+        .groupBy("lang").agg(F.sum((F.col("n") * RARE >= F.col("total")).cast("long")).alias("n"))
+        .orderBy("lang").collect()  # a row a language
+    )
+    own = np.log(np.array([r["n"] for r in own]) + 1)
     kind = LanguageModel if fits else LanguageTables
-    return kind(langs, grams, contexts, mean, spread, float(np.log(alphabet + 1)), none)
+    return kind(langs, grams, contexts, mean, spread, float(np.log(alphabet + 1)), none, own)
 
 
 def _arrays(rows: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +234,11 @@ def hash_grams(codes: list[np.ndarray]) -> np.ndarray:
 class LanguageModel:
     """Sorted hash arrays of all orders; a column a language."""
 
-    def __init__(self, langs, grams, contexts, mean, spread, uniform, unseen):
+    def __init__(self, langs, grams, contexts, mean, spread, uniform, unseen, own):
         self.langs, self.grams, self.contexts = langs, grams, contexts
         self.mean, self.spread, self.uniform = mean, spread, uniform
         self.unseen = unseen  # what each language's letters leave to unseen ones
+        self.own = own  # cross-entropy of a uniform draw from each language's own letters
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word (its letters and the end) in each language."""
@@ -261,7 +272,7 @@ class LanguageModel:
         score = 1.0 / np.exp(-(loss - low[:, None]) * np.minimum(n, 50)[:, None]).sum(axis=1)
         limit = (
             self.mean[best] + rule.spreads * self.spread[best] / np.sqrt(n)
-            + rule.share * np.maximum(0, self.uniform - self.mean[best])
+            + rule.share * np.maximum(0, self.own[best] - self.mean[best])
         )
         return best, score, low, low > limit
 
@@ -433,7 +444,7 @@ def _identify_joined(wide: DataFrame, model: LanguageTables, rule: Rejection, te
             found = _verdicts(model_, np.stack(totals, axis=1), symbols, rule)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found], names=[*names, *NAMES])
 
-    model_ = LanguageModel(model.langs, {}, {}, model.mean, model.spread, model.uniform, model.unseen)  # without tables
+    model_ = LanguageModel(model.langs, {}, {}, model.mean, model.spread, model.uniform, model.unseen, model.own)  # without tables
     return both.transform(in_arrow, run, columns)
 
 
