@@ -21,9 +21,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the corpus; those that the models reject go.
 
-    The models learn from the documents themselves, as far as they are not held out.
+    The models learn from all documents that have a language.
     """
-    return language.keep_known(docs, language.trained_on(docs))
+    return language.keep_known(docs, language.train(docs.select("lang", "text")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

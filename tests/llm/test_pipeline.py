@@ -1,6 +1,7 @@
 """The pipeline at the smallest folder, stage by stage against plain versions."""
 
 import hashlib
+import zlib
 
 import corpus_pipeline
 import oracle
@@ -53,3 +54,13 @@ def test_run_applies_all_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
     rows = corpus_pipeline.run(spark, SF)
     assert {"ids", "n_tokens", *COLUMNS} <= set(rows.columns) and rows.count() > 100
+
+
+def test_languages_are_learned_from_all_documents(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2][:6]
+    rest = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:6]
+    rows = [(i, "the quick brown fox jumps over the lazy dog " * 5, "en", "s", 1) for i in rest]
+    rows += [(i, "съешь ещё этих мягких французских булок да выпей чаю " * 5, "ru", "s", 1) for i in held]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.known_languages(spark, docs, SF).collect()
+    assert {r["doc_id"] for r in kept} == {*held, *rest}
