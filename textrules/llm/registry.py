@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textrules.llm import bpe_tree, crf, decontaminate, fertility, jaccard, language, passages, secrets, token_counts, warc
+from textrules.llm import (
+    bpe_tree,
+    circulant,
+    crf,
+    decontaminate,
+    fertility,
+    jaccard,
+    language,
+    passages,
+    piece_table,
+    secrets,
+    spelling,
+    token_counts,
+    warc,
+)
 from textrules.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +41,9 @@ QUERIES: dict[str, Query] = {
     "op8_crf": lambda spark, d: crf.query(read(spark, d, "documents"), read(spark, d, "labels")),
     "op9_language": _over("documents", language.query),
     "op10_secrets": _over("documents", secrets.query),
+    "op11_circulant": _over("documents", circulant.query),
+    "op12_piece_table": _over("documents", piece_table.query),
+    "op13_spelling": _over("documents", spelling.query),
 }
 
 
@@ -37,4 +54,10 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = _pipeline
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op7_jaccard": jaccard.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
+    "op7_jaccard": jaccard.ORACLE,
+    "op11_circulant": circulant.ORACLE,
+    "op12_piece_table": piece_table.ORACLE,
+    "op13_spelling": spelling.ORACLE,
+}
