@@ -25,18 +25,6 @@ def test_dictionary_and_bags(spark, docs):
     assert packed == {1: ([sun], [2]), 2: ([], [])}  # all words out of vocabulary
 
 
-def test_topics(docs):
-    terms, model = op.lda_fit(docs, k=2, passes=20)
-    assert len(terms.vocabulary) == 6
-    found = op.lda_assign(docs, terms, model, ["doc_id"])
-    dists = {r.doc_id: r.dist for r in found.collect()}
-    assert len(dists) == 41 and dists[40] is None
-    assert all(len(d) == 2 and abs(sum(d) - 1) < 1e-9 for d in dists.values() if d)
-    best = {r.doc_id: r.topic for r in op.topic_argmax(found, ["doc_id"]).collect()}
-    assert len({best[i] for i in range(0, 40, 2)}) == 1
-    assert best[0] != best[1]
-
-
 def test_argmax_keeps_ties_and_compares_numbers(spark):
     df = spark.createDataFrame([(1, [0.5, 9e-05, 0.5]), (2, [9e-05, 0.1])], "id long, dist array<double>")
     assert sorted(tuple(r) for r in op.topic_argmax(df, ["id"]).collect()) == [(1, 0), (1, 2), (2, 1)]
