@@ -201,8 +201,8 @@ def _classes(table: pa.Table) -> Iterator[pa.Table]:
     ends, lo = np.cumsum(size), 0
     while lo < len(m):  # tiles until the share is full or the class ends
         stop = int(np.searchsorted(m, m[lo], "right"))
-        k = int(np.searchsorted(ends, lo, "right"))
-        hi = max(int(ends[k]), int(ends[np.searchsorted(ends, min(stop, lo + SHARED), "right") - 1]))
+        own = np.searchsorted(ends, lo, "right")
+        hi = int(ends[max(own, np.searchsorted(ends, min(stop, lo + SHARED), "right") - 1)])
         yield table.slice(lo, hi - lo)
         lo = hi
 
