@@ -89,18 +89,22 @@ GROUP BY m.post_id, r.category_seq"""),
 }
 
 
-def sql(needs: str, body: str) -> str:
-    """A query over the shared tables; ``body`` may start with further ``name AS (…)`` parts."""
+def sql(needs: str, body: str, **own: tuple[str, str]) -> str:
+    """A query over the shared tables; ``body`` may start with further ``name AS (…)`` parts.
+
+    ``own`` gives some of the tables another definition, for all that need them.
+    """
+    tables = TABLES | own
     order: list[str] = []
 
     def add(names: str) -> None:
         for name in names.split():
-            add(TABLES[name][0])
+            add(tables[name][0])
             if name not in order:
                 order.append(name)
 
     add(needs)
-    parts = [f"{name} AS ({TABLES[name][1].strip()})" for name in order]
+    parts = [f"{name} AS ({tables[name][1].strip()})" for name in order]
     if not parts:
         return body.strip() if body.lstrip().upper().startswith("SELECT") else f"WITH {body.strip()}"
     glue = " " if body.lstrip().upper().startswith("SELECT") else ", "

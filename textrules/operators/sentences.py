@@ -20,9 +20,12 @@ def sentence_rows(
     return posts.select(key, F.posexplode(split(F.col(text))).alias("sentence_seq", "full_text"))
 
 
-def with_words(sentences: DataFrame) -> DataFrame:
-    """Add the ordered words as one array, the packed form the matcher reads."""
-    return sentences.withColumn("words", tx.words(F.col("full_text")))
+def with_words(sentences: DataFrame, words: Callable[[Column], Column] = tx.words) -> DataFrame:
+    """Add the ordered words as one array, the packed form the matcher reads.
+
+    ``words`` cuts a sentence: into bare words, or with ``tagged_words`` into words and their classes.
+    """
+    return sentences.withColumn("words", words(F.col("full_text")))
 
 
 def word_rows(sentences: DataFrame, key: str = "post_id") -> DataFrame:

@@ -17,16 +17,22 @@ def vocab_build(words: DataFrame) -> DataFrame:
     return number_words(words.select("word").distinct()).select("word_id", "word")
 
 
-def vocab_upsert(vocab: DataFrame, words: DataFrame) -> DataFrame:
-    """Add unseen words; known words keep their ids, new ids go on from the largest."""
+def added_words(vocab: DataFrame, words: DataFrame, top: int | None = None) -> DataFrame:
+    """The unseen words alone, with ids that go on from ``top``, or from the largest known one."""
     unseen = words.select("word").distinct().join(vocab, "word", "left_anti")
-    top = vocab.agg(F.coalesce(F.max("word_id"), F.lit(0)).cast("long").alias("_top"))
-    added = (
+    if top is not None:
+        return number_words(unseen, start=top + 1).select("word_id", "word")
+    largest = vocab.agg(F.coalesce(F.max("word_id"), F.lit(0)).cast("long").alias("_top"))
+    return (
         number_words(unseen)
-        .join(F.broadcast(top))  # one row
+        .join(F.broadcast(largest))  # one row
         .select((F.col("word_id") + F.col("_top")).alias("word_id"), "word")
     )
-    return vocab.select("word_id", "word").unionByName(added)
+
+
+def vocab_upsert(vocab: DataFrame, words: DataFrame) -> DataFrame:
+    """Add unseen words; known words keep their ids, new ids go on from the largest."""
+    return vocab.select("word_id", "word").unionByName(added_words(vocab, words))
 
 
 def dim_upsert(dim: DataFrame, names: DataFrame, key: str) -> DataFrame:

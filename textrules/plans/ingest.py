@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrules.functions import text as tx
 from textrules.operators.numbering import number_words
 from textrules.operators.sentences import sentence_rows, with_words, word_rows
-from textrules.operators.vocabulary import encode_words, vocab_upsert
+from textrules.operators.vocabulary import added_words, encode_words
 from textrules.session import checked_broadcast, written
 
 
@@ -23,12 +23,12 @@ class Ingested:
     sentence_words: DataFrame
 
 
-def give_post_ids(posts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Dense ids after the largest stored one, in the order of the hashed paths.
+def give_post_ids(posts: DataFrame, stored: DataFrame | None = None, first: int = 0) -> DataFrame:
+    """Dense ids from ``first``, or after the largest stored one, in the order of the hashed paths.
 
     Only paths are numbered; texts move for it only when the paths outgrow a broadcast.
     """
-    ids = number_words(posts.select("path"), "path", "post_id", start=0)
+    ids = number_words(posts.select("path"), "path", "post_id", start=first)
     if stored is not None:
         top = stored.agg((F.coalesce(F.max("post_id"), F.lit(-1)) + 1).cast("long").alias("_next"))
         ids = ids.join(F.broadcast(top)).select(  # one row
@@ -37,25 +37,28 @@ def give_post_ids(posts: DataFrame, stored: DataFrame | None = None) -> DataFram
     return posts.join(checked_broadcast(ids), "path")
 
 
-def post_sentences(posts: DataFrame) -> DataFrame:
+def post_sentences(posts: DataFrame, words: Callable[[Column], Column] = tx.words) -> DataFrame:
     """Sentences with packed words of posts that have post_id and text."""
-    return with_words(sentence_rows(posts, split=tx.text_sentences))
+    return with_words(sentence_rows(posts, split=tx.text_sentences), words)
 
 
 def ingest(
     posts: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | Callable[[DataFrame], DataFrame],
     store: Callable[[DataFrame, str], DataFrame] = written,
+    top: int | None = None,
+    words: Callable[[Column], Column] = tx.words,
 ) -> Ingested:
-    """``posts``: post_id and text besides its other columns; ``vocab``: what is known so far.
+    """``posts``: post_id and text besides its other columns; ``vocab``: what is known so far, or a
+    function that looks up distinct words, with ``top``, the largest id given so far.
 
     ``store`` writes a table and reads it back. Sentences are stored before the vocabulary is
     made from them, and new words before words are looked up, so no text is cut twice.
     """
     stored_posts = store(posts.drop("text"), "posts")
-    sentences = store(post_sentences(posts), "sentences")
-    words = word_rows(sentences)
-    grown = vocab_upsert(vocab, words)
-    new = store(grown.join(vocab.select("word_id"), "word_id", "left_anti"), "words")
-    encoded = encode_words(words, vocab.select("word_id", "word").unionByName(new))
+    sentences = store(post_sentences(posts, words), "sentences")
+    rows = word_rows(sentences)
+    known = vocab(rows.select("word").distinct()) if callable(vocab) else vocab
+    new = store(added_words(known, rows, top), "words")
+    encoded = encode_words(rows, known.select("word_id", "word").unionByName(new))
     return Ingested(stored_posts, sentences, new, store(encoded, "sentence_words"))

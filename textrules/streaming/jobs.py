@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from textrules.operators.matching import ANCHOR_SAMPLE, rule_matches
@@ -14,11 +12,12 @@ from textrules.operators.sentences import sentence_rows, with_words
 from textrules.plans.ingest import give_post_ids, ingest
 from textrules.schemas import TABLES
 from textrules.session import spread
+from textrules.streaming.state import BatchState, bucket_of
 
 EVERY = "20 minutes"
 
 
-def _start(
+def start(
     stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool
 ) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
@@ -26,15 +25,6 @@ def _start(
     return writer.trigger(**trigger).start()
 
 
-def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """What batches before this one have written; a half-written retry of this one is not read."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
-    table = spark.read.schema(stored).parquet(path)
-    return table.filter(F.col("batch_id") < batch_id).drop("batch_id")
-
-
 def stream_rule_matches(
     posts: DataFrame,
     rules: Callable[[], DataFrame],
@@ -54,7 +44,17 @@ def stream_rule_matches(
         found = rule_matches(with_words(sentence_rows(arrived)), rules(), sample)
         found.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _start(posts, each, checkpoint, once)
+    return start(posts, each, checkpoint, once)
+
+
+def batch_vocabulary(state: BatchState) -> Callable[[DataFrame], DataFrame]:
+    """A look-up of a batch's words among those of earlier batches, by their buckets."""
+
+    def known(words: DataFrame) -> DataFrame:
+        wanted = state.put(words.select("word", bucket_of("word")), "batch_words")
+        return state.earlier_of_keys("words", TABLES["words"], wanted, "word")
+
+    return known
 
 
 def stream_ingest_files(
@@ -62,25 +62,28 @@ def stream_ingest_files(
 ) -> StreamingQuery:
     """Turn arriving posts (path, text, …) into posts, sentences, sentence_words and words.
 
-    Ids go on from what earlier batches have written.
+    Ids go on from the log of the batch before; of earlier words only the buckets of the batch's
+    own words are read. No earlier post is.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        state = BatchState(batch.sparkSession, path, batch_id, ("posts", "words"))
 
         def store(table: DataFrame, name: str) -> DataFrame:
-            target = f"{path}/{name}/batch_id={batch_id}"
-            table.write.mode("overwrite").parquet(target)
-            return spark.read.schema(table.schema).parquet(target)
+            if name == "words":
+                return state.put(table.withColumn("bucket", bucket_of("word")), name).drop("bucket")
+            return state.put(table, name)
 
-        stored = _earlier(spark, f"{path}/posts", TABLES["posts"], batch_id)
-        known = _earlier(spark, f"{path}/words", TABLES["words"], batch_id)
-        ingest(give_post_ids(spread(batch), stored), known, store)
+        arrived = give_post_ids(spread(batch), first=state.last["posts"])
+        done = ingest(arrived, batch_vocabulary(state), store, top=state.last["words"])
+        state.commit(
+            posts=state.last["posts"] + done.posts.count(), words=state.last["words"] + done.new_words.count()
+        )
 
-    return _start(posts, each, checkpoint, once)
+    return start(posts, each, checkpoint, once)
 
 
 def streamed(spark: SparkSession, path: str) -> DataFrame:
     """A table the batches have written."""
-    return spark.read.parquet(path).drop("batch_id")
+    return spark.read.parquet(path).drop("batch_id", "bucket")
 
