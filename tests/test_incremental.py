@@ -5,7 +5,7 @@ import pytest
 from textrules.operators.incremental import advance_marks, append_new, incremental_matches
 from textrules.operators.matching import rule_matches
 from textrules.operators.sentences import sentence_rows, with_words
-from textrules.plans.ingest import give_post_ids, ingest
+from textrules.plans.ingest import give_post_ids, ingest, post_sentences
 from textrules.plans.rule_run import run_rules
 from textrules.schemas import TABLES
 from textrules.session import new_folder, written
@@ -80,7 +80,7 @@ def test_scan_is_bounded_by_the_lowest_mark(spark, sentences, rules):
     assert "GreaterThan(post_id,50)" in plan and "LessThanOrEqual(post_id,60)" in plan
 
 
-def test_stream_equals_batch(spark, posts, sentences, rules):
+def test_stream_equals_batch(spark, posts, rules):
     source, path, state = (new_folder(spark, n) for n in ("in", "out", "state"))
     posts.repartition(3).write.parquet(source)
 
@@ -91,7 +91,7 @@ def test_stream_equals_batch(spark, posts, sentences, rules):
         jobs.stream_rule_matches(stream, lambda: rules, path, state, once=True).awaitTermination()
         return keys(jobs.streamed(spark, path))
 
-    assert run() == keys(rule_matches(sentences, rules))
+    assert run() == keys(rule_matches(post_sentences(posts), rules))  # numbered as the ingest does
     more = spark.createDataFrame([(99, "f. a b")], posts.schema)
     more.write.mode("append").parquet(source)
     assert [k for k in run() if k[1] == 99] == [(1, 99, 1), (3, 99, 0)]

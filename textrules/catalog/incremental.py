@@ -198,6 +198,10 @@ SELECT doc_id AS post_id, lang, source, 'posts/' || lang || '/' || source || '/'
 _FILE_SENTENCES = ("file_posts", f"""
 WITH {sql_text_sentences('post_id', 'body', 'file_posts')} SELECT post_id, sentence_seq, full_text FROM spoken""")
 
+# Sentences of whole posts as the ingest cuts them.
+_POST_SENTENCES = ("posts", f"""
+WITH {sql_text_sentences('post_id', 'text', 'posts')} SELECT post_id, sentence_seq, full_text FROM spoken""")
+
 
 def file_sql(needs, body):
     """A query over posts and sentences as the ingest of article files cuts them."""
@@ -241,7 +245,7 @@ WHERE topic_id = 1"""),
     ),
     "stream_rule_matches": (
         stream_rule_matches,
-        sql("matches", "SELECT rule_id, post_id, sentence_seq FROM matches"),
+        sql("matches", "SELECT rule_id, post_id, sentence_seq FROM matches", sentences=_POST_SENTENCES),
     ),
     "stream_ingest_files": (stream_ingest_files, INGESTED_SQL),
     "file_report": (

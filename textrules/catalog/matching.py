@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textrules.catalog.sql import sql
+from textrules.catalog.sql import sql, sql_plain_sentences
+from textrules.functions import text as tx
 from textrules.operators import matching as op
 from textrules.operators.posts import filter_posts
+from textrules.operators.rule_trie import rule_trie, trie_matches
+from textrules.operators.rules import pack_rules
 from textrules.session import checked_broadcast
 
 
@@ -58,6 +61,37 @@ def match_candidates_filtered(c):
     )
 
 
+def wide_rules(c):
+    """A rule from every sentence of every example text: its first 1 to 6 words at steps of 1 to 3."""
+    spoken = c.table("benchmark").select("item_id", F.posexplode(tx.plain_sentences(F.col("text"))).alias("k", "full_text"))
+    n, step = (F.col("item_id") + F.col("k")) % 6 + 1, (F.col("item_id") + F.col("k")) % 3 + 1
+    rules = spoken.select(
+        (F.col("item_id") * 1000 + F.col("k")).alias("rule_id"), F.lit(1).alias("topic_id"), F.lit(1).alias("category_seq"),
+        n.alias("n"), step.alias("step"), F.posexplode(tx.words(F.col("full_text"))).alias("word_seq", "word"),
+    ).filter((F.col("word_seq") % F.col("step") == 0) & (F.col("word_seq") < F.col("n") * F.col("step")))
+    return pack_rules(rules.select("rule_id", "topic_id", "category_seq").distinct(), rules)
+
+
+def rule_matches_trie(c):
+    """All rules of ``wide_rules`` at once, over the stored sentences."""
+    return trie_matches(c.sentences, rule_trie(wide_rules(c)))
+
+
+_WIDE = {
+    "spoken_rules": ("", f"""
+SELECT item_id, k - 1 AS k, l[k] AS full_text FROM (
+  SELECT item_id, l, unnest(range(1, len(l) + 1)) AS k FROM (
+    SELECT item_id, {sql_plain_sentences('text')} AS l FROM benchmark))"""),
+    "rules": ("spoken_rules", """
+SELECT item_id * 1000 + k AS rule_id, 1 AS topic_id, 1 AS category_seq, full_text,
+  (item_id + k) % 6 + 1 AS n, (item_id + k) % 3 + 1 AS step FROM spoken_rules"""),
+    "rule_words": ("rules", """
+SELECT rule_id, word_seq, word FROM (
+  SELECT rule_id, n, step, CAST(unnest(range(len(l))) AS INTEGER) AS word_seq, unnest(l) AS word
+  FROM (SELECT *, regexp_extract_all(lower(full_text), '[\\p{L}\\p{N}]+') AS l FROM rules))
+WHERE word_seq % step = 0 AND word_seq < n * step"""),
+}
+
 ENTRIES = {
     "rule_matches": (
         match_from_documents,
@@ -89,6 +123,10 @@ SELECT rule_id, post_id, sentence_seq, list_reduce(toks, lambda s, t: CASE
     ELSE s END, {'p': -1, 'w': '', 'i': 0}).i = len(rule_words) AS valid
 FROM candidates"""),
     ),
+    "rule_matches_trie": (
+        rule_matches_trie,
+        sql("matches", "SELECT rule_id, post_id, sentence_seq FROM matches", **_WIDE),
+    ),
     "rule_matches_rnum": (
         rule_matches_rnum,
         sql("matches numbers", """

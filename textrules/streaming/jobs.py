@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from textrules.operators.matching import ANCHOR_SAMPLE, rule_matches
-from textrules.operators.sentences import sentence_rows, with_words
-from textrules.plans.ingest import give_post_ids, ingest
+from textrules.operators.matching import rule_matches
+from textrules.plans.ingest import give_post_ids, ingest, post_sentences
 from textrules.schemas import TABLES
-from textrules.session import spread
+from textrules.session import spread, written
 from textrules.streaming.state import BatchState, bucket_of
 
 EVERY = "20 minutes"
@@ -35,14 +34,13 @@ def stream_rule_matches(
     """Match every sentence of arriving posts (post_id, text) against the rules as they are
     when its batch starts.
 
-    Rules added later see older posts through ``incremental_matches``.
+    Sentences are cut as the ingest cuts them, so their numbers are those of stored sentences.
+    ``streaming.reports`` also shows rules that are added later the older posts.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        arrived = spread(batch)
-        sample = with_words(sentence_rows(arrived.sample(ANCHOR_SAMPLE, seed=7)))
-        found = rule_matches(with_words(sentence_rows(arrived)), rules(), sample)
-        found.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        sentences = written(post_sentences(spread(batch)).drop("full_text"), "stream-sentences")  # cut once
+        rule_matches(sentences, rules()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return start(posts, each, checkpoint, once)
 
