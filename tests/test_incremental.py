@@ -131,3 +131,16 @@ def test_new_rules_see_post_0(spark):
     assert sorted((r.rule_id, r.post_id) for r in found) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 3)]
     run = run_rules(sentences, rules, marks, spark.createDataFrame([], "rule_id long, post_id long, sentence_seq int"), 3)
     assert run.new_matches.count() == 8
+
+
+def test_stored_matches_are_read_above_the_lowest_mark(spark, sentences, rules):
+    from textrules.plans.rule_run import above_marks
+
+    stored = written(rule_matches(sentences, rules), "stored")
+    marks = spark.createDataFrame([(1, 50), (2, 55), (9, 1)], TABLES["rule_watermark"])
+    found = above_marks(stored, rules.filter("rule_id < 3"), marks)
+    assert "GreaterThan(post_id,50)" in found._jdf.queryExecution().toString()
+    assert keys(found) == [k for k in keys(stored) if k[1] > {1: 50, 2: 55, 3: 99}[k[0]]]
+    everything = above_marks(stored, rules, marks)  # rule 3 has no mark
+    assert keys(everything) == [k for k in keys(stored) if k[1] > {1: 50, 2: 55, 3: -1}[k[0]]]
+    assert keys(above_marks(stored, rules, marks.filter("false"))) == keys(stored)

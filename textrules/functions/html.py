@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ ENTRY = r"(?is)<(?:li|dt)\b[^>]*>(.*?)</(?:li|dt)>"
 HREF = r'(?i)href="([^"]*)"'
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def visible(html: Column) -> Column:
     """Without comments, scripts and styles."""
     return F.regexp_replace(html, HIDDEN, "")
@@ -51,10 +57,10 @@ def characters(text: Column) -> Column:
             F.concat(F.lit("&"), part)
         )
 
-    parts = F.split(text, "&")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), first)
-    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    def replaced(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(first(part))), "")
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), replaced(F.split(t, "&"))).otherwise(t))
 
 
 def page_title(page: Column) -> Column:
@@ -68,25 +74,41 @@ def page_date(page: Column) -> Column:
 
 
 def page_body(page: Column) -> Column:
-    """All content blocks, joined. A block ends where its own tag closes: blocks nest in it."""
-
-    def state(depth: Column, text: Column) -> Column:
-        return F.struct(depth.cast("int").alias("depth"), text.alias("text"))
-
-    def step(s: Column, piece: Column) -> Column:
-        more = F.concat(s["text"], piece)
-        opens, closes = piece.rlike(r"(?i)^<(?:article|div)\b"), piece.startswith("</")
-        return (
-            F.when((s["depth"] == 0) & piece.rlike(CONTENT), state(F.lit(1), more))
-            .when(s["depth"] == 0, s)
-            .when(opens, state(s["depth"] + 1, more))
-            .when(closes & (s["depth"] == 1), state(F.lit(0), s["text"]))
-            .when(closes, state(s["depth"] - 1, more))
-            .otherwise(state(s["depth"], more))
-        )
-
-    blocks = F.aggregate(F.split(page, EDGE), state(F.lit(0), F.lit("")), step, lambda s: s["text"])
-    return strip(to_text(blocks))
+    """All content blocks, joined. A block ends where its own tag closes: blocks nest in it.
+
+    The fold notes the numbers of the pieces that are inside; these are joined once.
+    """
+
+    def state(depth: Column, kept: Column) -> Column:
+        return F.struct(depth.cast("int").alias("depth"), kept.alias("kept"))
+
+    def blocks(pieces: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            piece = F.get(pieces, k)
+            more = F.concat(s["kept"], F.array(k))
+            opens, closes = piece.rlike(r"(?i)^<(?:article|div)\b"), piece.startswith("</")
+            return (
+                F.when((s["depth"] == 0) & piece.rlike(CONTENT), state(F.lit(1), more))
+                .when(s["depth"] == 0, s)
+                .when(opens, state(s["depth"] + 1, more))
+                .when(closes & (s["depth"] == 1), state(F.lit(0), s["kept"]))
+                .when(closes, state(s["depth"] - 1, more))
+                .otherwise(state(s["depth"], more))
+            )
+
+        start = state(F.lit(0), F.array().cast("array<int>"))
+        numbers = F.sequence(F.lit(0), F.size(pieces) - 1)
+        inside = F.aggregate(numbers, start, step, lambda s: s["kept"])
+        return F.array_join(F.transform(inside, lambda k: F.get(pieces, k)), "")
+
+    return strip(to_text(let(F.split(page, EDGE), blocks)))
+
+
+def article(html: Column) -> Column:
+    """title, date and body of a page as one struct."""
+    return let(visible(html), lambda page: F.struct(
+        page_title(page).alias("title"), page_date(page).alias("date"), page_body(page).alias("body")
+    ))
 
 
 def entry_links(html: Column) -> Column:

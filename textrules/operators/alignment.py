@@ -68,8 +68,17 @@ def labels_found(
 
 
 def labels_new(training: DataFrame, index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows not stored yet: they become sentences 0, 1, … of one new post."""
-    unseen = training.join(index.select("key").distinct(), "key", "left_anti")
+    """Training rows not stored yet: they become sentences 0, 1, … of one new post.
+
+    Training keys are few next to stored sentences: the stored ones among them are picked out where
+    they lie, so no key of the corpus is shuffled but those.
+    """
+    asked = training.select("key").distinct()
+    if fits_broadcast(asked):
+        stored = index.select("key").join(F.broadcast(asked), "key", "left_semi").distinct()
+        unseen = training.join(checked_broadcast(stored), "key", "left_anti")
+    else:
+        unseen = training.join(index.select("key").distinct(), "key", "left_anti")
     numbered = number_words(unseen, "row_key", "_n", start=0)
     top = index.agg(F.coalesce(F.max("post_id"), F.lit(-1)).cast("long").alias("_top"))
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +30,30 @@ def run_rules(
     a run that dies in between is repeated and stores nothing twice.
 
     Only matches above their rule's mark can be found again, and those exist only after such
-    a death. So what is compared is little, and the new matches, unique already, stay put.
+    a death. So what is compared is little, and the new matches, unique already, stay put. The
+    lowest mark is a literal that reaches the scan of what is stored; matches of rules without a mark
+    are looked for by their rules.
     """
     found = incremental_matches(sentences, rules, marks, until)
-    above = F.col("post_id") > F.coalesce("last_post_id", F.lit(NO_MARK))
-    again = stored.join(checked_broadcast(marks), "rule_id", "left").filter(above).select(*KEYS)
-    again = checked_broadcast(written(again, "matches-again"))
+    again = checked_broadcast(written(above_marks(stored, rules, marks), "matches-again"))
     new = written(found.join(again, list(KEYS), "left_anti"), "new-matches")  # matched once
     return RuleRun(new, advance_marks(rules, marks, until))
 
 
+def above_marks(stored: DataFrame, rules: DataFrame, marks: DataFrame) -> DataFrame:
+    """Stored matches in posts that their rules have not seen yet, by the marks."""
+    mine = marks.join(rules.select("rule_id"), "rule_id", "left_semi")
+    low = mine.agg(F.min("last_post_id").alias("low")).first()["low"]
+    fresh = written(rules.select("rule_id").join(marks.select("rule_id"), "rule_id", "left_anti"), "rules-without-mark")
+    found = []
+    if low is not None:
+        late = stored.filter(F.col("post_id") > low).join(checked_broadcast(mine), "rule_id")
+        found.append(late.filter("post_id > last_post_id").select(*KEYS))
+    if low is None or not fresh.isEmpty():
+        found.append(stored.join(checked_broadcast(fresh), "rule_id", "left_semi").select(*KEYS))
+    return reduce(DataFrame.unionByName, found)
+
+
 def analyze(
     posts: DataFrame,
     sentences: DataFrame,

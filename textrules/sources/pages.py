@@ -10,16 +10,10 @@ from textrules.functions import html as h
 
 def html_articles(pages: DataFrame) -> DataFrame:
     """page_id, title, url, date, body; pages without a body are dropped."""
-    page = h.visible(F.col("html"))
-    return (
-        pages.select(
-            "page_id", "url",
-            h.page_title(page).alias("title"),
-            h.page_date(page).alias("date"),
-            h.page_body(page).alias("body"),
-        )
-        .filter("body <> ''")
-        .select("page_id", "title", "url", "date", "body")
+    # One array of one article or none: a filter on the body would work each page out twice.
+    found = F.filter(F.array(h.article(F.col("html"))), lambda a: a["body"] != "")
+    return pages.select("page_id", "url", F.explode(found).alias("a")).select(
+        "page_id", "a.title", "url", "a.date", "a.body"
     )
 
 
