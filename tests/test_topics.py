@@ -88,3 +88,33 @@ def test_exports(spark):
     assert [tuple(r) for r in rest.collect()] == [(3, 0, "y")]
     words = {r.word: (r.tag, r["count"]) for r in ex.export_words(relations, vocab, **slice_).collect()}
     assert words == {"x": ("Alpha", 3), "y": ("Alpha", 2)}
+
+
+def test_alignment_on_stored_keys(spark):
+    common = [(p, s, "read on") for p in range(30) for s in range(40)]
+    stored = spark.createDataFrame(
+        [(3, 0, "a b"), (3, 1, "[2020-01-02 03:04 :05] a b"), (7, 0, "c"), *((100 + p, s, t) for p, s, t in common)],
+        "post_id long, sentence_seq int, full_text string",
+    )
+    labelled = spark.createDataFrame(
+        [("1", "L", "label"), ("2", "L", "sentence"), ("3", "L", "ab"), ("4", "L", "a b"), ("5", "M", "new one"),
+         ("6", "M", None), ("7", "N", "c"), ("8", "M", "read on"), ("9", "M", "new one")],
+        "row_key string, label string, sentence string",
+    )
+    labels = spark.createDataFrame([(1, "L"), (2, "M")], "label_id int, label string")
+    training, keys = al.training_set(labelled), al.store_keys(stored)
+    folded = al.store_training(training)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for limit in (1 << 20, 1):
+        found = al.stored_labels_found(folded, keys, labels, limit)
+        assert rows(found) == rows(al.labels_found(training, al.key_index(stored), labels)) and found.count() == 2 + 1200
+    assert rows(al.stored_labels_new(folded, keys, labels)) == rows(al.labels_new(training, al.key_index(stored), labels))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # keys meet bucket by bucket: nothing is exchanged
+        plan = folded.drop("row_keys").join(keys.keys.select("key", "key_id"), "key")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert "Exchange" not in folded.join(keys.keys.select("key"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    empty = al.store_keys(stored.filter("false"))
+    assert empty.top == -1 and rows(al.stored_labels_found(folded, empty, labels)) == []

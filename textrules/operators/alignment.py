@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from textrules.functions import text as tx
 from textrules.operators.numbering import number_words
-from textrules.operators.skew import join_skewed
-from textrules.session import BROADCAST_BYTES, checked_broadcast, fits_broadcast
+from textrules.operators.skew import hot_of, join_skewed
+from textrules.operators.vocabulary import encode_words
+from textrules.session import BROADCAST_BYTES, bucketed, checked_broadcast, fits_broadcast, written
 
 # Fixed value: the third column of every label row.
 LABEL_SOURCE = 3
@@ -93,6 +95,70 @@ def labels_new(training: DataFrame, index: DataFrame, labels: DataFrame) -> Data
     )
 
 
+# -- on stored keys -----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class StoredKeys:
+    """``keys``: key, key_id, n, by key; ``places``: key_id, post_id, sentence_seq, in the order of key_id;
+    ``top``: the largest post id, -1 if there is none.
+
+    A key of very many sentences is one row of ``keys``, and a run of rows over several files of
+    ``places``: no bucket and no task has to hold it.
+    """
+
+    keys: DataFrame
+    places: DataFrame
+    top: int
+
+
+def store_keys(sentences: DataFrame) -> StoredKeys:
+    """Make each stored sentence's key once, and lay keys and places out for alignment."""
+    index = written(key_index(sentences), "key-rows")
+    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keys = bucketed(number_words(counts, "key", "key_id"), "keys", "key")
+    ids = keys.select(F.col("key").alias("word"), F.col("key_id").alias("word_id"))
+    hot = hot_of(keys, "key", "n").withColumnRenamed("key", "word")
+    places = encode_words(index.withColumnRenamed("key", "word"), ids, hot).withColumnRenamed("word_id", "key_id")
+    order = ["key_id", "post_id", "sentence_seq"]
+    places = written(places.select(*order).repartitionByRange(*order).sortWithinPartitions(*order), "key-places")
+    top = index.agg(F.max("post_id").alias("top")).first()["top"]
+    return StoredKeys(keys, places, -1 if top is None else top)
+
+
+def store_training(training: DataFrame) -> DataFrame:
+    """label, key, copies, row_keys of a training set, by key; equal rows are folded."""
+    folded = training.groupBy("key", "label").agg(
+        F.count(F.lit(1)).alias("copies"), F.collect_list("row_key").alias("row_keys")
+    )
+    return bucketed(folded.select("label", "key", "copies", "row_keys"), "training", "key")
+
+
+def stored_labels_found(
+    training: DataFrame, stored: StoredKeys, labels: DataFrame, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``labels_found`` over ``store_training`` and ``store_keys``: keys meet bucket by bucket."""
+    met = training.drop("row_keys").join(stored.keys.select("key", "key_id"), "key")
+    known = met.join(checked_broadcast(labels), "label").select("key_id", "label_id", "label", "copies")
+    known = written(known, "keys-met")
+    places = stored.places
+    pairs = places.join(F.broadcast(known), "key_id") if fits_broadcast(known, limit) else join_skewed(places, known, "key_id")
+    return pairs.select(
+        "post_id", "sentence_seq", F.lit(LABEL_SOURCE).alias("source"), "label_id", "label", "copies"
+    )
+
+
+def stored_labels_new(training: DataFrame, stored: StoredKeys, labels: DataFrame) -> DataFrame:
+    """``labels_new`` over the same: no key of the corpus moves."""
+    unseen = training.join(stored.keys.select("key"), "key", "left_anti")
+    rows = unseen.select("label", "key", F.explode("row_keys").alias("row_key"))
+    numbered = number_words(rows, "row_key", "_n", start=0)
+    return numbered.join(checked_broadcast(labels), "label").select(
+        F.lit(stored.top + 1).cast("long").alias("post_id"), F.col("_n").alias("sentence_seq"),
+        F.lit(LABEL_SOURCE).alias("source"), "label_id", "label", F.col("key").alias("text"),
+    )
+
+
 def labels_unknown(training: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels without an id, with how many training rows carry them."""
     counts = training.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
