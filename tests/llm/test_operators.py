@@ -151,6 +151,39 @@ def test_planted_passages_are_found_and_others_left(spark, docs_of):
         assert plain.linked(plain.shingles(a), plain.shingles(b)) and len(a.split()) >= 50
 
 
+def test_passages_that_repeat_themselves_are_found(spark, docs_of):
+    """A line or word that stands many times in a row: its signatures are at many places of each text."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    rows, want = [], set()
+    for period, times in ((1, 120), (7, 40), (13, 25), (30, 9)):
+        line = text(period)
+        for _ in range(6):
+            want.add(len(rows))
+            before, after = text(rng.randrange(60, 400)), text(rng.randrange(60, 400))
+            rows.append((len(rows), " ".join(before + line * (times + rng.randrange(9)) + after)))
+    rows += [(100 + k, " ".join(text(300))) for k in range(10)]
+    found = passages.query(docs_of(rows)).collect()
+    assert {r["doc_id"] for r in found} | {r["other_id"] for r in found} == want
+
+
+def test_shared_runs_of_all_pairs_are_found(spark, docs_of):
+    rng = random.Random(9)
+    runs = [[f"r{k}w{rng.randrange(40)}" for _ in range(rng.randrange(52, 90))] for k in range(12)]
+    rows = []
+    for k in range(90):
+        own = [f"d{k}w{i}" for i in range(rng.randrange(20, 200))]
+        for run in rng.sample(runs, rng.randrange(3)):
+            at = rng.randrange(len(own))
+            own[at:at] = run
+        rows.append((k, " ".join(own)))
+    sets = {i: plain.shingles(t, 52) if len(t.split()) >= 52 else set() for i, t in rows}
+    want = {i for i in sets for j in sets if i != j and sets[i] & sets[j]}
+    found = passages.query(docs_of(rows)).collect()
+    assert want <= {r["doc_id"] for r in found} | {r["other_id"] for r in found} and len(want) > 40
+
+
 # -- 4 and 5: tokens ----------------------------------------------------------------------
 
 ODD = [
@@ -238,6 +271,32 @@ def test_decontamination_against_brute_force(spark, docs_of, duck):
     assert clean == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_what_a_task_holds_is_bounded(spark, docs_of, duck, monkeypatch):
+    import pyarrow as pa
+
+    items = [(k, t) for k, t in duck.execute("SELECT item_id, text FROM benchmark").fetchall()]
+    rows = [(k, f"w{k} " * (k % 50) + items[k % len(items)][1] + " end" * (k % 9)) for k in range(200)]
+    index = decontaminate.ItemIndex([i for i, _ in items], [t for _, t in items], decontaminate.Search())
+    hasher, column = decontaminate.WordHasher(decontaminate.letter_words(), alone=True), pa.array([t for _, t in rows])
+    whole, sizes, matches = sorted(decontaminate._batch_matches(index, hasher, column)), [], index.matches
+    monkeypatch.setattr(decontaminate, "HELD_WORDS", 300)
+    monkeypatch.setattr(decontaminate, "row_blocks", lambda offsets: decontaminate_blocks(offsets, 500))
+    monkeypatch.setattr(index, "matches", lambda words, rows: sizes.append(len(words)) or matches(words, rows))
+    assert sorted(decontaminate._batch_matches(index, hasher, column)) == whole and len(whole) >= 200
+    longest = max(len(t.split()) for _, t in rows)
+    assert len(sizes) > 10 and max(sizes) < 300 + 500 + longest
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 900] * 50)], names=["text"])
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 4000)
+    parts = list(decontaminate._parts(iter([batch])))
+    assert sum(p.num_rows for p in parts) == 50 and max(p.nbytes for p in parts) <= 4000
+
+
+def decontaminate_blocks(offsets, limit):
+    from textrules.llm.common import row_blocks
+
+    return row_blocks(offsets, limit)
+
+
 def test_decontamination_in_blocks_of_items(spark, docs_of, duck, monkeypatch):
     items = spark.createDataFrame(duck.execute("SELECT item_id, text FROM benchmark").fetchall(), "item_id long, text string")
     docs = docs_of(duck.execute("SELECT doc_id, text FROM documents").fetchall())
