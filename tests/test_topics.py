@@ -3,6 +3,7 @@ import pytest
 from textrules.operators import alignment as al
 from textrules.operators import exports as ex
 from textrules.operators import topics as op
+from textrules.operators import vocabulary as vo
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +87,13 @@ def test_exports(spark):
     assert [tuple(r) for r in labelled.collect()] == [(1, 0, "5 5 6", "x y x")]
     rest = ex.export_sentences_unlabeled(matches, posts, sentences, relations, **slice_)
     assert [tuple(r) for r in rest.collect()] == [(3, 0, "y")]
+    packed = vo.with_word_ids(sentences, relations)
+    assert [tuple(r) for r in ex.export_sentences_labeled(matches, rules, posts, packed, **slice_).collect()] == [(1, 0, "5 5 6", "x y x")]
+    assert [tuple(r) for r in ex.export_sentences_unlabeled(matches, posts, packed, **slice_).collect()] == [(3, 0, "y")]
+    everything = ex.export_sentences_labeled(matches, rules, posts, packed)
+    assert sorted(tuple(r) for r in everything.collect()) == sorted(
+        tuple(r) for r in ex.export_sentences_labeled(matches, rules, posts, sentences, relations).collect()
+    )
     words = {r.word: (r.tag, r["count"]) for r in ex.export_words(relations, vocab, **slice_).collect()}
     assert words == {"x": ("Alpha", 3), "y": ("Alpha", 2)}
 

@@ -1,6 +1,7 @@
 import random
 
 from textrules.operators import vocabulary as v
+from textrules.operators.numbering import number_rows
 from textrules.operators.skew import hot_keys, join_skewed
 
 
@@ -50,3 +51,23 @@ def test_bitmaps_read_back(spark):
     lists = v.posting_lists(df).collect()
     assert {(r.word_id, n) for r in lists for n in r.rnums} == postings
     assert all(n // v.SEGMENT == r.segment for r in lists for n in r.rnums)
+
+
+def test_packed_postings_equal_those_of_rows(spark):
+    sentences = spark.createDataFrame(
+        [(1, 0, ["x", "y", "x"]), (1, 1, []), (2, 0, ["z"]), (5, 3, ["y", "z", "y"])],
+        "post_id long, sentence_seq int, words array<string>",
+    )
+    ids = {"x": 1, "y": 2, "z": 3}
+    relations = spark.createDataFrame(
+        [(r.post_id, r.sentence_seq, i, ids[w]) for r in sentences.collect() for i, w in enumerate(r.words)],
+        "post_id long, sentence_seq int, word_seq int, word_id long",
+    )
+    packed = v.with_word_ids(sentences, relations)
+    assert {(r.post_id, r.sentence_seq): r.word_ids for r in packed.collect()} == {
+        (1, 0): [1, 2, 1], (1, 1): [], (2, 0): [3], (5, 3): [2, 3, 2]
+    }
+    numbers = number_rows(sentences.select("post_id", "sentence_seq"))
+    rows = lambda df: sorted((r.word_id, r.segment, tuple(r.rnums)) for r in df.collect())
+    want = rows(v.posting_lists(v.posting_rows(relations, numbers)))
+    assert rows(v.posting_lists(v.packed_posting_rows(packed))) == want == [(1, 0, (0,)), (2, 0, (0, 3)), (3, 0, (2, 3))]

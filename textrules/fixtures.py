@@ -13,7 +13,7 @@ from textrules.operators.matching import ANCHOR_SAMPLE, rule_matches
 from textrules.operators.numbering import number_rows
 from textrules.operators.rules import pack_rules
 from textrules.operators.sentences import sentence_rows, with_words, word_rows
-from textrules.operators.vocabulary import encode_words, vocab_build
+from textrules.operators.vocabulary import encode_words, vocab_build, with_word_ids
 from textrules.session import new_folder, spread, written
 from textrules.sources.tables import write_posts
 
@@ -119,6 +119,11 @@ class Corpus:
     def sentence_words(self) -> DataFrame:
         return self.stored("sentence_words", lambda: encode_words(self.word_rows, self.vocab))
 
+    @cached_property
+    def packed_sentences(self) -> DataFrame:
+        """Sentences with words and their ids side by side."""
+        return self.stored("packed_sentences", lambda: with_word_ids(self.sentences, self.sentence_words))
+
     @cached_property
     def numbers(self) -> DataFrame:
         return number_rows(self.sentences.select("post_id", "sentence_seq"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrules.operators.numbering import number_words
+from textrules.operators.numbering import number_rows, number_words
 from textrules.operators.skew import hot_keys
 from textrules.session import BROADCAST_BYTES, fits_broadcast
 
@@ -74,6 +74,28 @@ def encode_words(
     return keyed.join(ids, "_key", "left").select(*rest, word_id).filter("word_id IS NOT NULL")
 
 
+def with_word_ids(sentences: DataFrame, sentence_words: DataFrame) -> DataFrame:
+    """Sentences with their words' ids packed beside the words, in the same order.
+
+    Stored once, so that what needs the words of a sentence never puts them together again.
+    """
+    keys = ["post_id", "sentence_seq"]
+    packed = sentence_words.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("word_seq", "word_id"))), lambda x: x["word_id"]).alias("word_ids")
+    )
+    none = F.array().cast("array<bigint>")
+    return sentences.join(packed, keys, "left").withColumn("word_ids", F.coalesce("word_ids", none))
+
+
+def packed_posting_rows(sentences: DataFrame) -> DataFrame:
+    """word_id, rnum of every word of every sentence, once each, from packed ids.
+
+    Sentences are numbered as they are, one row each; words come out after that.
+    """
+    numbered = number_rows(sentences.select("post_id", "sentence_seq", F.array_distinct("word_ids").alias("word_ids")))
+    return numbered.select(F.explode("word_ids").alias("word_id"), "rnum")
+
+
 def posting_rows(sentence_words: DataFrame, numbers: DataFrame) -> DataFrame:
     """word_id, rnum of every occurrence. A sentence repeating a word gives a pair twice;
     lists and bitmaps take it once, so no shuffle is spent on that here."""
