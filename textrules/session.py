@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Buckets of tables that are stored by a key; raise it with the size of the corpus.
-BUCKETS = int(os.environ.get("TEXTRULES_BUCKETS", "32"))
+# Buckets of tables that are stored by a key, unless the caller asks for more.
+BUCKETS = 32
 # Upper bound on what may be hinted as a broadcast side.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
