@@ -12,6 +12,7 @@ characters each, so fitting is bounded; scoring covers all texts whole, in block
 Null and empty texts, and texts without a word, are scored as one empty line. With no labelled
 rows, or one label only, every text gets the share of good rows (1/2 if there are none). Null
 labels are not learned from; rows labelled twice count twice; an empty table gives an empty table.
+A column ``score`` of the input is replaced; all others may have any names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ can judge: they are spans of a document when live.
 
 Null and empty texts have no spans; null owners and repositories count as one of their own;
 repeated rows are judged alone but count once as a place; an empty table gives an empty table.
-Texts go through whole, whatever their length. Only hashes of values leave the scan.
+Texts go through whole, whatever their length. Only hashes of values leave the scan. Spans that begin at
+one place go by kind; a value at the limits of owners and repositories counts as an example. Other
+columns may have any names: ``redact`` sets them aside, the scan gives those it is told to keep.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ jumping first inside zones of a few MB of a file, then over the zones, retains o
 that are reachable. Records whose payload holds magic are put together from their pieces.
 
 Null payloads are empty ones; null ids never are or have revisits; repeated rows with the smallest
-id are all responses; an empty table gives empty archives. One record (page) must fit a task.
+id are all responses (a tie on the smallest id makes no revisit); an empty table gives empty archives.
+One record (page) must fit a task. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
