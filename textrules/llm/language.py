@@ -18,7 +18,8 @@ counts.
 
 Null texts and texts without letters are ``und`` (and rejected); without training rows all texts
 are. Ties go to the first language in order. Repeated rows are scored alike and count as often as
-they occur in training; an empty table gives an empty table. Texts go through whole.
+they occur in training; an empty table gives an empty table. Texts go through whole. Columns of the
+input that have a name of ``NAMES`` are replaced by ``identify``; ``keep_known`` keeps all as they are.
 """
 
 from __future__ import annotations
