@@ -20,7 +20,8 @@ its words is within k = floor((1 - similarity) * L) word edits of the item.
 Items go to the tasks in blocks of bounded size; texts pass each block in place, so nothing is
 shuffled and no document meets another. Null and empty texts hold nothing, null item ids are kept
 as they are, items without words match nothing, repeated documents or items give repeated rows, and empty tables give an empty table. Texts go
-through whole.
+through whole. ``contaminated`` replaces columns of the input that have a name of ``FOUND``; all others,
+and all columns in ``clean_documents``, may have any names. Of runs at the same distance the first counts.
 """
 
 from __future__ import annotations
@@ -319,23 +320,44 @@ def _clusters(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield lo, hi
 
 
+#: Words of rows with an anchored window that are searched at a time, and bytes of a batch's part.
+HELD_WORDS, PART_BYTES = 1 << 18, 4 << 20
+
+
 def _batch_matches(index: ItemIndex, hasher: WordHasher, column) -> list[tuple[int, int, int, int, int]]:
-    """Matches in one batch of texts. Only rows with an anchored window go on to the longer items, all at once."""
+    """Matches in one batch of texts. Only rows with an anchored window go on to the longer items, many at once."""
     data, offsets = text_arrays(column)
-    kept, sizes, numbers, short = [], [], [], []
+    kept, sizes, numbers, found = [], [], [], []
+
+    def search() -> None:
+        if kept:
+            rows = np.concatenate([[0], np.cumsum(sizes)])
+            found.extend((numbers[r], *rest) for r, *rest in index.matches(np.concatenate(kept), rows))
+        for held in (kept, sizes, numbers):
+            held.clear()
+
     for lo, hi in row_blocks(offsets):
         begin, end = offsets[lo], offsets[hi]
         _, _, words, rows = hasher.words(data[begin:end], offsets[lo : hi + 1] - begin)
-        short += [(lo + r, *rest) for r, *rest in index.short_matches(words, rows)]
+        found += [(lo + r, *rest) for r, *rest in index.short_matches(words, rows)]
         starts, _ = index.anchored(words, rows)
         for r in np.unique(np.searchsorted(rows, starts, "right") - 1).tolist():
-            kept.append(words[rows[r] : rows[r + 1]])
+            kept.append(words[rows[r] : rows[r + 1]].copy())
             sizes.append(len(kept[-1]))
             numbers.append(lo + r)
-    if not kept:
-        return short
-    rows = np.concatenate([[0], np.cumsum(sizes)])
-    return short + [(numbers[r], *rest) for r, *rest in index.matches(np.concatenate(kept), rows)]
+        if sum(sizes) >= HELD_WORDS:
+            search()
+    search()
+    return found
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to parts of bounded bytes (one row at least); what they leave goes back at the end."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def item_blocks(items: DataFrame, search: Search, limit: int = ITEM_BYTES) -> Iterator[ItemIndex]:
@@ -356,7 +378,7 @@ def _scan(docs: DataFrame, index: ItemIndex, text: str, clean: bool) -> DataFram
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = WordHasher(letter_words(), alone=True)
-            for batch in batches:
+            for batch in _parts(batches):
                 held = np.ones(batch.num_rows, bool)
                 held[[m[0] for m in _batch_matches(shared.value, hasher, batch.column(at))]] = False
                 yield batch.filter(pa.array(held))
@@ -368,7 +390,7 @@ def _scan(docs: DataFrame, index: ItemIndex, text: str, clean: bool) -> DataFram
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(letter_words(), alone=True)
-        for batch in batches:
+        for batch in _parts(batches):
             index = shared.value
             found = _batch_matches(index, hasher, batch.column(len(schema)))
             part = batch.take(pa.array([m[0] for m in found], pa.int64()))
