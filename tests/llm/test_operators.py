@@ -364,6 +364,41 @@ def test_pairs_of_tiles():
     assert all(tile[i] == tile[j] and group[i] != group[j] for i, j in found) and found
 
 
+def test_spanning_forest_of_groups():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        group = rng.integers(-(10**12), 10**12, 12)[rng.integers(0, 12, 40)]
+        x, y = rng.integers(0, 40, 60), rng.integers(0, 40, 60)
+        apart = group[x] != group[y]
+        x, y = x[apart], y[apart]
+        keep = jaccard.spanning(group, x, y)
+
+        def parts(a, b, group=group):
+            up = {g: g for g in group.tolist()}
+            for _ in up:
+                for i, j in zip(group[a].tolist(), group[b].tolist(), strict=True):
+                    up[i] = up[j] = min(up[i], up[j])
+            return up
+
+        assert parts(x[keep], y[keep]) == parts(x, y)
+        assert keep.sum() == len(set(group.tolist())) - len(set(parts(x, y).values()))
+
+
+def test_jaccard_of_one_large_group(spark, docs_of):
+    """Near copies around the limit: many components in every tile, joined by links that no neighbours have."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(160)]
+    texts = {}
+    for i in range(160):
+        share = rng.uniform(0, 0.07)
+        texts[i] = " ".join(f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in base)
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.query(docs_of(rows).repartition(5)).collect()}
+    want = plain.components(texts)
+    assert got == want and 2 < len({c for _, c in want.values()}) < 120
+
+
 def test_tree_bounds_lose_no_pair():
     rng = np.random.default_rng(2)
     n = rng.integers(20, 60, 150)

@@ -21,12 +21,16 @@ The join bounds overlaps by summed coordinate minima of count vectors, twice:
 Equal sets are one node throughout. Links are searched in two rounds so that a tile of m copies
 does not give m * m pairs: first each node meets its neighbours in its tiles, in an order by
 min-hashes that puts like sets side by side; verified links make components. Then every pair of
-nodes of *different* components in a tile is bounded, and survivors are verified. Pairs inside a
-component need no look: they change nothing.
+nodes of *different* components in a tile is bounded. The survivors are verified in two goes: first a
+spanning forest of the components that a task has at hand, m - 1 pairs at most, which joins nearly all
+that links; then, in the tiles whose components are still apart, all that have not been looked at.
+Pairs inside a component need no look: they change nothing.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Texts of
 fewer than five words have one shingle, the whole sequence. Null ids never are a component's name
 unless all its ids are null. Repeated rows are in one component. Empty tables give empty tables.
+``jaccard_join`` takes the columns it is given; ``one_of_each`` sets all others aside, so they may have
+any names and come back as they were. Of equal ids and texts one row is kept.
 """
 
 from __future__ import annotations
@@ -55,6 +59,8 @@ SMALL = 24
 SAMPLE, LATE = 16, 300_000
 #: Orders by min-hash, dealt to the tiles.
 SIGNS = 4
+#: Nodes that a task remembers to have given; a node given twice does no harm.
+REMEMBERED = 50_000
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -214,7 +220,7 @@ def set_table(docs: DataFrame, text: str = "text") -> DataFrame:
                     signs.append(_signs(shingles) if new else None)
                     counts.append(group_counts(shingles).tobytes() if new else None)
                     if new:
-                        if len(given) > 500_000:  # bounded; a node given twice does no harm
+                        if len(given) >= REMEMBERED:
                             given.clear()
                         given.add(node)
                 part = batch.slice(lo, hi - lo)
@@ -235,20 +241,24 @@ def set_table(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _tiles(sets: DataFrame) -> DataFrame:
-    """(key, node, next) of tiles with two nodes or more; next is the neighbour by min-hash.
+    """(key, half, next) of tiles with two nodes or more; next is the neighbour by min-hash.
 
-    Rows of one node lie side by side. The last of them has the next node, the first one another
-    node before it, so each node of such a tile is kept once at least.
+    Nodes go by the first half of their 128 bits here, as most of these rows are met by none;
+    ``_bounded`` and ``_rest_pairs`` look up all nodes that have it. Rows of one node lie side by side.
+    The last of them has the next node, the first one another node before it, so each node of such
+    a tile is kept once at least.
     """
-    rows = sets.filter(F.col("keys").isNotNull()).select("node", "signs", F.explode("keys").alias("key"))
-    rows = rows.select("key", "node", F.element_at("signs", (F.pmod("key", F.lit(SIGNS)) + 1).cast("int")).alias("sign"))
-    order = Window.partitionBy("key").orderBy("sign", "node")
+    rows = sets.filter(F.col("keys").isNotNull()).select(
+        F.col("node.a").alias("half"), "signs", F.explode("keys").alias("key")
+    )
+    rows = rows.select("key", "half", F.element_at("signs", (F.pmod("key", F.lit(SIGNS)) + 1).cast("int")).alias("sign"))
+    order = Window.partitionBy("key").orderBy("sign", "half")
     near = rows.select(
-        "key", "node", F.lead("node").over(order).alias("next"), F.lag("node").over(order).alias("before")
+        "key", "half", F.lead("half").over(order).alias("next"), F.lag("half").over(order).alias("before")
     )
-    other = F.coalesce(F.col("next") != F.col("node"), F.lit(False))
-    after = F.coalesce(F.col("before") != F.col("node"), F.lit(False))
-    return near.filter(other | after).select("key", "node", F.when(other, F.col("next")).alias("next"))
+    other = F.coalesce(F.col("next") != F.col("half"), F.lit(False))
+    after = F.coalesce(F.col("before") != F.col("half"), F.lit(False))
+    return near.filter(other | after).select("key", "half", F.when(other, F.col("next")).alias("next"))
 
 
 def _vectors(sets: DataFrame) -> DataFrame:
@@ -256,11 +266,14 @@ def _vectors(sets: DataFrame) -> DataFrame:
     return given.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
 
 
-def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose group counts leave room for a link."""
+def _bounded(halves: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs (x, y) of nodes with halves (half_x, half_y) whose group counts leave room for a link."""
     side = lambda name, c, short: vectors.select(F.col("node").alias(name), F.col(c).alias(f"{short}_{name}"))
+    named = lambda name: vectors.select(
+        F.col("node.a").alias(f"half_{name}"), F.col("node").alias(name), F.col("n").alias(f"n_{name}")
+    )
     # Sizes first: they drop most pairs, so that few vectors are moved.
-    sized = pairs.join(side("x", "n", "n"), "x").join(side("y", "n", "n"), "y")
+    sized = halves.join(named("x"), "half_x").join(named("y"), "half_y").select("x", "y", "n_x", "n_y")
     sized = stored(sized.filter("9 * least(n_x, n_y) >= 4 * (n_x + n_y)"), "jaccard-sized")
     wide = sized.join(side("x", "counts", "c"), "x").join(side("y", "counts", "c"), "y")
 
@@ -293,6 +306,8 @@ def _wanted_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFram
                 for shingles in maker.sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
                     node = node_of(shingles)
                     if len(shingles) and node not in given:
+                        if len(given) >= REMEMBERED:
+                            given.clear()
                         given.add(node)
                         nodes.append(node)
                         values.append(shingles.tobytes())
@@ -405,26 +420,49 @@ def tile_pairs(
     return x[keep], y[keep]
 
 
-def _rest_pairs(tiles: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (x, y) of different components that meet in a tile and whose counts leave room."""
-    rows = (
-        tiles.select("key", "node").distinct()
-        .join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-    )
+def spanning(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y) of rows make a spanning forest of the groups that they join."""
+    up: dict[int, int] = {}
+
+    def top(g: int) -> int:
+        while (above := up.get(g, g)) != g:
+            up[g] = up.get(above, above)
+            g = above
+        return g
+
+    keep = np.zeros(len(x), bool)
+    _, once = np.unique(np.sort(np.stack([group[x], group[y]]), axis=0), axis=1, return_index=True)
+    for k in np.sort(once).tolist():
+        a, b = top(int(group[x[k]])), top(int(group[y[k]]))
+        if a != b:
+            up[b] = a
+            keep[k] = True
+    return keep
+
+
+def _mixed(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """The (key, node, n) rows of tiles that hold several components, with their roots."""
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = (
-        rows.groupBy("key")
+        rooted.groupBy("key")
         .agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
         .filter("size > 2 and low <> high")
         .select("key")
     )
+    return stored(rooted.select("key", "node", "n", "root").join(mixed, "key", "left_semi"), name)
+
+
+def _rest_pairs(rows: DataFrame, vectors: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (x, y) of different components that meet in a tile and whose counts leave room for a link.
+
+    ``rows``: key, node, n, root. With ``forest`` a task leaves out pairs whose components it has
+    joined by others.
+    """
     # A tile is cut by size: linked sets are in the same or in neighbouring bands of a quarter.
     # Most sets that share a tile by chance stand alone in their bands; vectors go to the rest only.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
     banded = (
-        rows.join(mixed, "key", "left_semi")
-        .join(vectors.select("node", "n"), "node")
-        .withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
+        rows.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
         .withColumn("tile", F.xxhash64("key", band + F.col("upper").cast("int")))
         .select("tile", "node", "root", "n", "upper")
     )
@@ -445,8 +483,11 @@ def _rest_pairs(tiles: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataF
                 part.column(0).to_numpy(), part.column(3).to_numpy(), part.column(4).to_pylist(),
                 part.column(2).to_numpy(), part.column(5).to_numpy(zero_copy_only=False),
             )
+            nodes = part.column(1)
+            half = nodes.field(0).to_numpy()
+            keep = spanning(part.column(2).to_numpy(), x, y) if forest else _once(half[x], half[y])
+            x, y = x[keep], y[keep]
             if len(x):
-                nodes = part.column(1)
                 both = pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["x", "y"])
                 yield both
 
@@ -455,6 +496,11 @@ def _rest_pairs(tiles: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataF
     return _ordered(in_order.transform(in_arrow, run, f"x {node}, y {node}"))
 
 
+def _once(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first of equal pairs: tiles of the same nodes have the same pairs."""
+    return np.unique(np.sort(np.stack([x, y]), axis=0), axis=1, return_index=True)[1]
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y").distinct()
 
@@ -465,15 +511,22 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = stored(set_table(own), "jaccard-sets")
     vectors = stored(_vectors(sets), "jaccard-vectors")
     tiles = stored(_tiles(sets), "jaccard-tiles")
-    near = _ordered(tiles.filter(F.col("next").isNotNull()).select(F.col("node").alias("x"), F.col("next").alias("y")))
-    bounded = stored(_bounded(near, vectors), "jaccard-bounded")
-    links = verified(docs, sets, bounded, "jaccard-near")
+    ends = F.least("half", "next").alias("half_x"), F.greatest("half", "next").alias("half_y")
+    near = tiles.filter(F.col("next").isNotNull()).select(*ends).distinct()
+    seen = stored(_bounded(near, vectors), "jaccard-bounded")
+    links = verified(docs, sets, seen, "jaccard-near")
     roots = components(links, "jaccard-roots")
-    rest = stored(_rest_pairs(tiles, vectors, roots).join(near, ["x", "y"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
-        more = verified(docs, sets, rest, "jaccard-rest")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more), "jaccard-roots-2")
+
+    named = vectors.select(F.col("node.a").alias("half"), "node", "n")
+    rows = tiles.select("key", "half").distinct().join(named, "half").select("key", "node", "n")
+    for forest in (True, False):
+        rows = _mixed(rows, roots, "jaccard-mixed")
+        rest = stored(_rest_pairs(rows, vectors, forest).join(seen, ["x", "y"], "left_anti"), "jaccard-rest")
+        if not rest.isEmpty():
+            seen = seen.unionByName(rest)
+            links = links.unionByName(verified(docs, sets, rest, "jaccard-rest"))
+            roots = components(links, "jaccard-roots")
+        rows = rows.drop("root")
     return sets, roots
 
 
