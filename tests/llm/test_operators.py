@@ -127,6 +127,12 @@ def test_compact_windows_by_definition():
         assert got == want
 
 
+def test_no_windows_make_no_rows():
+    """A task whose texts are all too short has nothing to link."""
+    none = passages.chained(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 3), np.int64))
+    assert none.num_rows == 0 and none.schema.names == [x.split()[0] for x in passages.WINDOW.split(", ")]
+
+
 def test_planted_passages_are_found_and_others_left(spark, docs_of):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
