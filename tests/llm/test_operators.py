@@ -157,6 +157,21 @@ def test_planted_passages_are_found_and_others_left(spark, docs_of):
         assert plain.linked(plain.shingles(a), plain.shingles(b)) and len(a.split()) >= 50
 
 
+def test_passages_are_found_beyond_unlike_neighbours(spark, docs_of):
+    """Texts between two alike ones hold pieces of their passage that are too short to count."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    passage = text(56)
+    whole = lambda: " ".join(text(70) + passage + text(70))
+    rows = [(0, whole()), (1000, whole())]
+    for k in range(1, 200):
+        at = rng.randrange(len(passage) - 30)
+        rows.append((k, " ".join(text(70) + passage[at : at + 30] + text(70))))
+    found = passages.query(docs_of(rows)).collect()
+    assert {(r["doc_id"], r["other_id"], r["component_id"]) for r in found} == {(0, 1000, 0)}
+
+
 def test_passages_that_repeat_themselves_are_found(spark, docs_of):
     """A line or word that stands many times in a row: its signatures are at many places of each text."""
     rng = random.Random(8)
