@@ -19,6 +19,8 @@ from textrules.sources.text_files import article_posts
 from textrules.streaming import jobs
 from textrules.streaming.reports import StreamTables, stream_reports
 
+ROW_GROUP = 4 << 20
+
 
 def last_post(c) -> int:
     return c.table("documents").agg(F.max("doc_id")).first()[0]
@@ -57,7 +59,8 @@ def analyze_counts(c):
 def document_stream(c, slices: int = 4):
     """The documents arriving as a few files, one per micro-batch."""
     folder = new_folder(c.spark, "arriving")
-    c.documents.repartition(slices, "doc_id").write.parquet(folder)
+    # small row groups: each is read by one task, and a batch is one file
+    c.documents.repartition(slices, "doc_id").write.option("parquet.block.size", ROW_GROUP).parquet(folder)
     return (
         c.spark.readStream.schema(c.documents.schema)
         .option("maxFilesPerTrigger", "1")

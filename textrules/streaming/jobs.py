@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textrules.operators.matching import rule_matches
 from textrules.plans.ingest import give_post_ids, ingest, post_sentences
 from textrules.schemas import TABLES
-from textrules.session import spread, written
+from textrules.session import dealt, written
 from textrules.streaming.state import BatchState, bucket_of
 
 EVERY = "20 minutes"
@@ -39,7 +39,7 @@ def stream_rule_matches(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        sentences = written(post_sentences(spread(batch)).drop("full_text"), "stream-sentences")  # cut once
+        sentences = written(post_sentences(dealt(batch)).drop("full_text"), "stream-sentences")  # cut once
         rule_matches(sentences, rules()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return start(posts, each, checkpoint, once)
@@ -72,7 +72,7 @@ def stream_ingest_files(
                 return state.put(table.withColumn("bucket", bucket_of("word")), name).drop("bucket")
             return state.put(table, name)
 
-        arrived = give_post_ids(spread(batch), first=state.last["posts"])
+        arrived = give_post_ids(dealt(batch), first=state.last["posts"])
         done = ingest(arrived, batch_vocabulary(state), store, top=state.last["words"])
         state.commit(
             posts=state.last["posts"] + done.posts.count(), words=state.last["words"] + done.new_words.count()

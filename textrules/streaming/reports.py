@@ -30,7 +30,7 @@ from textrules.operators.matching import rule_matches
 from textrules.operators.vocabulary import added_words
 from textrules.plans.ingest import give_post_ids, ingest
 from textrules.schemas import TABLES
-from textrules.session import checked_broadcast, spread, written
+from textrules.session import checked_broadcast, dealt, written
 from textrules.sources.text_files import file_stem
 from textrules.streaming.jobs import batch_vocabulary, start
 from textrules.streaming.state import BatchState, bucket_of
@@ -104,7 +104,7 @@ def stream_reports(
                 return state.put(table.withColumn("bucket", bucket_of("word")), name).drop("bucket")
             return state.put(table, name)
 
-        arrived = written(judged(spread(batch)), "stream-arrived")
+        arrived = written(judged(dealt(batch)), "stream-arrived")
         done = ingest(_batch_posts(state, arrived), batch_vocabulary(state), store, state.last["words"], words)
         n_posts = state.last["posts"] + done.posts.count()
 
