@@ -144,3 +144,15 @@ def test_stored_matches_are_read_above_the_lowest_mark(spark, sentences, rules):
     everything = above_marks(stored, rules, marks)  # rule 3 has no mark
     assert keys(everything) == [k for k in keys(stored) if k[1] > {1: 50, 2: 55, 3: -1}[k[0]]]
     assert keys(above_marks(stored, rules, marks.filter("false"))) == keys(stored)
+
+
+def test_runs_are_matched_once_for_both_counts(spark, monkeypatch):
+    from textrules.catalog.incremental import kept_counts
+    from textrules.fixtures import Corpus
+    from textrules.operators import incremental
+
+    calls, real = [], incremental.incremental_matches
+    monkeypatch.setattr(incremental, "incremental_matches", lambda *a: calls.append(1) or real(*a))
+    # a folder under a name of its own: nothing of it is stored yet
+    kept_counts(Corpus(spark, "/root/testdata/sf0.001/."))
+    assert len(calls) == 1

@@ -14,7 +14,7 @@ from textrules.operators import incremental as op
 from textrules.operators import reports as r
 from textrules.operators.rules import delete_ruleset, reset_source
 from textrules.plans.rule_run import analyze, run_rules
-from textrules.session import checked_broadcast, new_folder, written
+from textrules.session import checked_broadcast, new_folder
 from textrules.sources.text_files import article_posts
 from textrules.streaming import jobs
 from textrules.streaming.reports import StreamTables, stream_reports
@@ -150,11 +150,13 @@ def file_matches(c):
 def kept_counts(c) -> cn.MatchCounts:
     """Counts after two runs: what earlier runs have stored, then what a run finds above the marks."""
 
+    def run_matches():
+        return op.incremental_matches(c.sentences, c.packed_rules, c.watermark, last_post(c))
+
     def of_runs(name):
         def build():
             first = cn.deltas_of(stored_before(c), c.stored_posts)
-            found = op.incremental_matches(c.sentences, c.packed_rules, c.watermark, last_post(c))
-            second = cn.deltas_of(written(found, "new-matches"), c.stored_posts)
+            second = cn.deltas_of(c.stored("run-matches", run_matches), c.stored_posts)  # matched once
             return getattr(first.plus(second), name)
 
         return build
