@@ -71,3 +71,10 @@ def test_packed_postings_equal_those_of_rows(spark):
     rows = lambda df: sorted((r.word_id, r.segment, tuple(r.rnums)) for r in df.collect())
     want = rows(v.posting_lists(v.posting_rows(relations, numbers)))
     assert rows(v.posting_lists(v.packed_posting_rows(packed))) == want == [(1, 0, (0,)), (2, 0, (0, 3)), (3, 0, (2, 3))]
+
+
+def test_packed_sentences_leave_the_text_behind(spark):
+    from textrules.fixtures import Corpus
+
+    packed = Corpus(spark, "/root/testdata/sf0.001").packed_sentences
+    assert packed.columns == ["post_id", "sentence_seq", "words", "word_ids"]

@@ -121,8 +121,10 @@ class Corpus:
 
     @cached_property
     def packed_sentences(self) -> DataFrame:
-        """Sentences with words and their ids side by side."""
-        return self.stored("packed_sentences", lambda: with_word_ids(self.sentences, self.sentence_words))
+        """Sentences with words and their ids side by side; their text stays where it is, so it never moves."""
+        return self.stored(
+            "packed_sentences", lambda: with_word_ids(self.sentences.drop("full_text"), self.sentence_words)
+        )
 
     @cached_property
     def numbers(self) -> DataFrame:
