@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+
+from textrules.functions import blocks
 from textrules.operators import vocabulary as v
 from textrules.operators.numbering import number_rows
 from textrules.operators.skew import hot_keys, join_skewed
@@ -33,6 +36,33 @@ def test_encoding_with_hot_and_unknown_words(spark):
     assert {r.word for r in hot_keys(df, "word").collect()} == {"the", "zzz"}
 
 
+def test_blocks_ask_for_each_word_once():
+    rows = pa.RecordBatch.from_pydict({"post_id": range(6), "word": ["a", "b", "a", "a", "b", "c"]})
+    whole = list(blocks.packed("word")(iter([rows, rows])))
+    assert [b["words"].to_pylist() for b in whole] == [[["a", "b", "c"]]]
+    small = list(blocks.packed("word", words=6)(iter([rows, rows])))
+    assert [b["words"].to_pylist() for b in small] == [[["a", "b", "c"]]] * 2
+
+
+def test_lists_are_encoded_in_order(spark):
+    words = [["b", "a", "b"], [], None, ["zzz", "a"], ["c"]]
+    df = spark.createDataFrame(
+        [(i, i % 2, w) for i, w in enumerate(words)] * 3, "post_id long, sentence_seq int, words array<string>"
+    )
+    vocab = spark.createDataFrame([(7, "a"), (8, "b"), (1 << 40, "c")], "word_id long, word string")
+    ids = {r.word: r.word_id for r in vocab.collect()}
+    found = v.encode_lists(df, vocab).collect()
+    want = [(i, i % 2, w or [], [ids.get(x) for x in w or []]) for i, w in enumerate(words)] * 3
+    assert sorted((r.post_id, r.sentence_seq, r.words, r.word_ids) for r in found) == sorted(want, key=lambda x: x[0])
+    for limit in (1 << 20, 0):
+        rows = v.encode_words(df, vocab, limit=limit)
+        assert rows.columns == ["post_id", "sentence_seq", "word_seq", "word_id"]
+        places = [(i, s, k, x) for i, s, _, l in want for k, x in enumerate(l) if x]
+        assert sorted(tuple(r) for r in rows.collect()) == sorted(places)
+    nobody = v.encode_lists(df, vocab.filter("word_id < 0")).collect()
+    assert all(set(r.word_ids) <= {None} and len(r.word_ids) == len(r.words) for r in nobody)
+
+
 def test_skewed_join_equals_plain_join(spark):
     rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, -1, id) as k")
     side = spark.sql("select * from values (-1L, 'x'), (-1L, 'y'), (4L, 'z'), (9999L, 'n') as t(k, label)")

@@ -117,7 +117,7 @@ class Corpus:
 
     @cached_property
     def sentence_words(self) -> DataFrame:
-        return self.stored("sentence_words", lambda: encode_words(self.word_rows, self.vocab))
+        return self.stored("sentence_words", lambda: encode_words(self.sentences.drop("full_text"), self.vocab))
 
     @cached_property
     def packed_sentences(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textrules.functions import text as tx
 from textrules.operators.numbering import number_words
-from textrules.operators.skew import hot_of, join_skewed
+from textrules.operators.skew import join_skewed
 from textrules.operators.vocabulary import encode_words
 from textrules.session import BROADCAST_BYTES, bucketed, checked_broadcast, fits_broadcast, written
 
@@ -118,8 +118,7 @@ def store_keys(sentences: DataFrame) -> StoredKeys:
     counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     keys = bucketed(number_words(counts, "key", "key_id"), "keys", "key")
     ids = keys.select(F.col("key").alias("word"), F.col("key_id").alias("word_id"))
-    hot = hot_of(keys, "key", "n").withColumnRenamed("key", "word")
-    places = encode_words(index.withColumnRenamed("key", "word"), ids, hot).withColumnRenamed("word_id", "key_id")
+    places = encode_words(index.withColumnRenamed("key", "word"), ids).withColumnRenamed("word_id", "key_id")
     order = ["key_id", "post_id", "sentence_seq"]
     places = written(places.select(*order).repartitionByRange(*order).sortWithinPartitions(*order), "key-places")
     top = index.agg(F.max("post_id").alias("top")).first()["top"]

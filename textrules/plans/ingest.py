@@ -60,5 +60,5 @@ def ingest(
     rows = word_rows(sentences)
     known = vocab(rows.select("word").distinct()) if callable(vocab) else vocab
     new = store(added_words(known, rows, top), "words")
-    encoded = encode_words(rows, known.select("word_id", "word").unionByName(new))
+    encoded = encode_words(sentences.drop("full_text"), known.select("word_id", "word").unionByName(new))
     return Ingested(stored_posts, sentences, new, store(encoded, "sentence_words"))
