@@ -13,7 +13,7 @@ from textrules.operators.matching import ANCHOR_SAMPLE, rule_matches
 from textrules.operators.numbering import number_rows
 from textrules.operators.rules import pack_rules
 from textrules.operators.sentences import sentence_rows, with_words, word_rows
-from textrules.operators.vocabulary import encode_words, vocab_build, with_word_ids
+from textrules.operators.vocabulary import encode_lists, encode_words, vocab_build
 from textrules.session import new_folder, spread, written
 from textrules.sources.tables import write_posts
 
@@ -123,7 +123,7 @@ class Corpus:
     def packed_sentences(self) -> DataFrame:
         """Sentences with words and their ids side by side; their text stays where it is, so it never moves."""
         return self.stored(
-            "packed_sentences", lambda: with_word_ids(self.sentences.drop("full_text"), self.sentence_words)
+            "packed_sentences", lambda: encode_lists(self.sentences.drop("full_text"), self.vocab)
         )
 
     @cached_property
