@@ -15,7 +15,7 @@ from textrules.functions import text as tx
 from textrules.operators.numbering import number_words
 from textrules.operators.skew import join_skewed
 from textrules.operators.vocabulary import encode_words
-from textrules.session import BROADCAST_BYTES, bucketed, checked_broadcast, fits_broadcast, written
+from textrules.session import BROADCAST_BYTES, BUCKETS, bucketed, checked_broadcast, fits_broadcast, written
 
 # Fixed value: the third column of every label row.
 LABEL_SOURCE = 3
@@ -126,8 +126,11 @@ def store_keys(sentences: DataFrame) -> StoredKeys:
 
 
 def store_training(training: DataFrame) -> DataFrame:
-    """label, key, copies, row_keys of a training set, by key; equal rows are folded."""
-    folded = training.groupBy("key", "label").agg(
+    """label, key, copies, row_keys of a training set, by key; equal rows are folded.
+
+    Rows are dealt out by key before they are folded: where they lie then, they stay.
+    """
+    folded = training.repartition(BUCKETS, "key").groupBy("key", "label").agg(
         F.count(F.lit(1)).alias("copies"), F.collect_list("row_key").alias("row_keys")
     )
     return bucketed(folded.select("label", "key", "copies", "row_keys"), "training", "key")
