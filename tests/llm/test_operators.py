@@ -420,6 +420,38 @@ def test_jaccard_of_one_large_group(spark, docs_of):
     assert got == want and 2 < len({c for _, c in want.values()}) < 120
 
 
+def test_pairs_of_tiles_come_likest_first():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.append(base[: 100 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64))) for k in (0, 9, 1, 5, 3)]
+    n, vectors = np.full(5, 100), [jaccard.group_counts(x).tobytes() for x in sets]
+    x, y = jaccard.tile_pairs(np.zeros(5, np.int64), n, vectors, np.arange(5), np.zeros(5, bool))
+    sums = jaccard.overlaps(vectors, x, y)
+    assert len(x) == 10 and (np.diff(sums) <= 0).all() and {int(x[0]), int(y[0])} == {0, 2}
+
+
+def test_pairs_that_meet_in_many_tiles_are_given_once(spark):
+    """Sets that are alike, and stay apart, share many tiles; tasks do not each give all their pairs."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    nodes = range(12)
+    rows = [(t, i, -i, 60, i, i % 3 == 0) for t in range(48) for i in nodes if (t + i) % 5]
+    vectors = [((i, -i), 60, bytearray(jaccard.group_counts(base).tobytes())) for i in nodes]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        table = spark.createDataFrame(rows, "tile long, a long, b long, n int, root long, upper boolean")
+        counts = spark.createDataFrame(vectors, "node struct<a:long,b:long>, n long, counts binary")
+        got = [tuple(sorted((r["x"]["a"], r["y"]["a"]))) for r in jaccard._rest_pairs(table, counts).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {(i, j) for i in nodes for j in nodes if i < j and not (i % 3 == 0 and j % 3 == 0)}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_tree_bounds_lose_no_pair():
     rng = np.random.default_rng(2)
     n = rng.integers(20, 60, 150)

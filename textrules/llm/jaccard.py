@@ -21,9 +21,10 @@ The join bounds overlaps by summed coordinate minima of count vectors, twice:
 Equal sets are one node throughout. Links are searched in two rounds so that a tile of m copies
 does not give m * m pairs: first each node meets its neighbours in its tiles, in an order by
 min-hashes that puts like sets side by side; verified links make components. Then every pair of
-nodes of *different* components in a tile is bounded. The survivors are verified in two goes: first a
-spanning forest of the components that a task has at hand, m - 1 pairs at most, which joins nearly all
-that links; then, in the tiles whose components are still apart, all that have not been looked at.
+nodes of *different* components in a tile is bounded. The survivors are verified in two goes: first the
+likest that make a spanning forest of the components that a task has at hand, m - 1 pairs at most, which
+joins nearly all that links; then, in the tiles that have more and whose components are still apart, all
+pairs, each in one of the tiles that its sets share.
 Pairs inside a component need no look: they change nothing.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Texts of
@@ -145,19 +146,23 @@ def may_link(n1: np.ndarray, n2: np.ndarray, overlap: np.ndarray) -> np.ndarray:
     return 9 * overlap >= 4 * (n1 + n2)
 
 
-def bounded(n: np.ndarray, vectors: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of the pairs (x, y) of sets have a sum of minima that leaves room for a link."""
+def overlaps(vectors: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sums of minima of the pairs (x, y) of sets."""
     size = np.array([len(v) for v in vectors])
     groups = 2 * np.minimum(size[x], size[y])
-    keep = np.zeros(len(x), bool)
+    sums = np.zeros(len(x), np.int64)
     for g in np.unique(groups):  # pairs of like length go together, some MB at a time
         pairs = np.flatnonzero(groups == g)
         for at in np.array_split(pairs, 1 + len(pairs) * int(g) // (1 << 22)):
             used, place = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
             rows = folded([vectors[i] for i in used], int(g))
-            overlap = np.minimum(rows[place[: len(at)]], rows[place[len(at) :]]).sum(axis=1, dtype=np.int64)
-            keep[at] = may_link(n[x[at]], n[y[at]], overlap)
-    return keep
+            sums[at] = np.minimum(rows[place[: len(at)]], rows[place[len(at) :]]).sum(axis=1, dtype=np.int64)
+    return sums
+
+
+def bounded(n: np.ndarray, vectors: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y) of sets have a sum of minima that leaves room for a link."""
+    return may_link(n[x], n[y], overlaps(vectors, x, y))
 
 
 def _signs(shingles: np.ndarray) -> list[int]:
@@ -241,24 +246,28 @@ def set_table(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _tiles(sets: DataFrame) -> DataFrame:
-    """(key, half, next) of tiles with two nodes or more; next is the neighbour by min-hash.
+    """(key, half, next, three), one row for each node of a tile that has two nodes or more.
 
-    Nodes go by the first half of their 128 bits here, as most of these rows are met by none;
-    ``_bounded`` and ``_rest_pairs`` look up all nodes that have it. Rows of one node lie side by side.
-    The last of them has the next node, the first one another node before it, so each node of such
-    a tile is kept once at least.
+    ``next`` is the neighbour by min-hash, null for the last node; ``three`` tells whether the tile
+    has three rows or more. Nodes go by the first half of their 128 bits here, as most of these
+    rows are met by none; ``_bounded`` and ``_tile_rows`` look up all nodes that have it. Rows of
+    one node lie side by side; the last of them stays.
     """
     rows = sets.filter(F.col("keys").isNotNull()).select(
         F.col("node.a").alias("half"), "signs", F.explode("keys").alias("key")
     )
     rows = rows.select("key", "half", F.element_at("signs", (F.pmod("key", F.lit(SIGNS)) + 1).cast("int")).alias("sign"))
     order = Window.partitionBy("key").orderBy("sign", "half")
+    at = lambda k: F.lead("half", k).over(order) if k > 0 else F.lag("half", -k).over(order)
+    there = lambda k: F.col(f"at_{k}").isNotNull()
     near = rows.select(
-        "key", "half", F.lead("half").over(order).alias("next"), F.lag("half").over(order).alias("before")
-    )
-    other = F.coalesce(F.col("next") != F.col("half"), F.lit(False))
-    after = F.coalesce(F.col("before") != F.col("half"), F.lit(False))
-    return near.filter(other | after).select("key", "half", F.when(other, F.col("next")).alias("next"))
+        "key", "half", F.first("half").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("begin"),
+        at(-2).alias("at_-2"), at(-1).alias("at_-1"), at(1).alias("next"), at(2).alias("at_2"),
+    ).withColumn("at_1", F.col("next"))
+    last = F.coalesce(F.col("next") != F.col("half"), F.lit(True))
+    several = F.col("next").isNotNull() | (F.col("begin") != F.col("half"))
+    three = (there(-2) & there(-1)) | (there(-1) & there(1)) | (there(1) & there(2))
+    return near.filter(last & several).select("key", "half", "next", three.alias("three"))
 
 
 def _vectors(sets: DataFrame) -> DataFrame:
@@ -391,7 +400,7 @@ def _tile_runs(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterato
 def tile_pairs(
     tile: np.ndarray, n: np.ndarray, vectors: list[bytes], group: np.ndarray, upper: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one tile, of different groups, whose counts leave room for a link.
+    """Pairs of rows of one tile, of different groups, whose counts leave room for a link, the likest first.
 
     ``upper`` marks rows that stand in the band above their own: two of them meet elsewhere.
     """
@@ -416,12 +425,14 @@ def tile_pairs(
     near = (group[x] != group[y]) & ~(upper[x] & upper[y])
     near &= may_link(n[x], n[y], np.minimum(n[x], n[y]))
     x, y = x[near], y[near]
-    keep = bounded(n, vectors, x, y)
+    sums = overlaps(vectors, x, y)
+    keep = np.flatnonzero(may_link(n[x], n[y], sums))
+    keep = keep[np.argsort(-sums[keep] / (n[x[keep]] + n[y[keep]]), kind="stable")]
     return x[keep], y[keep]
 
 
 def spanning(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of the pairs (x, y) of rows make a spanning forest of the groups that they join."""
+    """Which of the pairs (x, y) of rows make a spanning forest of the groups that they join; early pairs go first."""
     up: dict[int, int] = {}
 
     def top(g: int) -> int:
@@ -440,60 +451,105 @@ def spanning(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _mixed(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """The (key, node, n) rows of tiles that hold several components, with their roots."""
-    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = (
-        rooted.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter("size > 2 and low <> high")
-        .select("key")
+def _tile_rows(tiles: DataFrame, names: DataFrame) -> DataFrame:
+    """(tile, a, b, n, root, upper) of the nodes a, b in tiles of like sizes that hold several components.
+
+    ``names``: a, b, n, root. A tile is cut by size: linked sets are in the same or in neighbouring
+    bands of a quarter. Most sets that share a tile by chance stand alone in their bands.
+    """
+    rows = tiles.filter("three").select("key", F.col("half").alias("a")).join(names, "a")  # two in a tile are neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
+    banded = rows.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True)))).select(
+        F.xxhash64("key", band + F.col("upper").cast("int")).alias("tile"), "a", "b", "n", "root", "upper"
     )
-    return stored(rooted.select("key", "node", "n", "root").join(mixed, "key", "left_semi"), name)
+    return _apart(banded)
+
+
+def _apart(banded: DataFrame) -> DataFrame:
+    """The rows of tiles that hold several components, not only rows of the band below."""
+    of = Window.partitionBy("tile")
+    several = (F.min("root").over(of) != F.max("root").over(of)) & ~F.min("upper").over(of)
+    return banded.withColumn("met", several).filter("met").drop("met")
+
+
+_PAIRS = "x struct<a:long,b:long>, y struct<a:long,b:long>, tile long"
+
+
+def _nodes_at(part: pa.RecordBatch, at: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([part.column(k).take(pa.array(at)) for k in (1, 2)], ["a", "b"])
+
+
+def _part_pairs(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """``tile_pairs`` of rows (tile, a, b, root, n, upper, counts, …)."""
+    tile, root, n = (part.column(k).to_numpy() for k in (0, 3, 4))
+    upper = part.column(5).to_numpy(zero_copy_only=False)
+    return tile_pairs(tile, n.astype(np.int64), part.column(6).to_pylist(), root, upper)
 
 
-def _rest_pairs(rows: DataFrame, vectors: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (x, y) of different components that meet in a tile and whose counts leave room for a link.
+def _in_tiles(rows: DataFrame, vectors: DataFrame, *more: str) -> DataFrame:
+    """The rows with their counts, tile by tile."""
+    counts = vectors.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "counts")
+    wide = rows.join(counts, ["a", "b"]).select("tile", "a", "b", "root", "n", "upper", "counts", *more)
+    return wide.repartition("tile").sortWithinPartitions("tile")
 
-    ``rows``: key, node, n, root. With ``forest`` a task leaves out pairs whose components it has
-    joined by others.
+
+def _forest_pairs(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Likest pairs (x, y) that join the components of a task's tiles; and, alone, each ``tile`` with pairs left out.
+
+    All pairs of the other tiles, whose counts leave room for a link, are among the given ones.
     """
-    # A tile is cut by size: linked sets are in the same or in neighbouring bands of a quarter.
-    # Most sets that share a tile by chance stand alone in their bands; vectors go to the rest only.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    banded = (
-        rows.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True))))
-        .withColumn("tile", F.xxhash64("key", band + F.col("upper").cast("int")))
-        .select("tile", "node", "root", "n", "upper")
-    )
-    met = (
-        banded.groupBy("tile")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("upper").alias("all_upper"))
-        .filter("low <> high and not all_upper")
-        .select("tile")
-    )
-    picked = stored(banded.join(met, "tile", "left_semi"), "jaccard-picked")
-    wide = picked.join(vectors.select("node", "counts"), "node").select(
-        "tile", "node", F.xxhash64("root").alias("root"), "n", "counts", "upper"
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _tile_runs(batches):
-            x, y = tile_pairs(
-                part.column(0).to_numpy(), part.column(3).to_numpy(), part.column(4).to_pylist(),
-                part.column(2).to_numpy(), part.column(5).to_numpy(zero_copy_only=False),
+            x, y = _part_pairs(part)
+            if not len(x):
+                continue
+            half = part.column(1).to_numpy()
+            ends = np.sort(np.stack([half[x], half[y]]), axis=0)
+            _, same = np.unique(ends, axis=1, return_inverse=True)
+            same = same.ravel()
+            keep = spanning(part.column(3).to_numpy(), x, y)
+            left = part.column(0).to_numpy()[x[~np.isin(same, same[keep])]]
+            x, y, left = x[keep], y[keep], np.unique(left)
+            nodes = [pa.concat_arrays([_nodes_at(part, at), pa.nulls(len(left), _NODE)]) for at in (x, y)]
+            yield pa.RecordBatch.from_arrays(
+                [*nodes, pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(left, pa.int64())])], names=["x", "y", "tile"]
             )
-            nodes = part.column(1)
-            half = nodes.field(0).to_numpy()
-            keep = spanning(part.column(2).to_numpy(), x, y) if forest else _once(half[x], half[y])
-            x, y = x[keep], y[keep]
-            if len(x):
-                both = pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["x", "y"])
-                yield both
 
-    node = "struct<a:long,b:long>"
-    in_order = wide.repartition("tile").sortWithinPartitions("tile")
-    return _ordered(in_order.transform(in_arrow, run, f"x {node}, y {node}"))
+    return _in_tiles(rows, vectors).transform(in_arrow, run, _PAIRS)
+
+
+#: So many of a node's tiles, the least ones, tell in which of them it meets another node.
+TOLD = 32
+
+
+def _rest_pairs(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """All pairs (x, y) of different components that meet in a tile and whose counts leave room for a link.
+
+    A pair is given in the least of the tiles that both have. As far as the lists of least tiles have
+    one in common, it is the least of all; a pair without one there may be given several times.
+    """
+    of = Window.partitionBy("a", "b", "upper")
+    told = rows.withColumn("told", F.slice(F.array_sort(F.collect_list("tile").over(of)), 1, TOLD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _tile_runs(batches):
+            x, y = _part_pairs(part)
+            tile, told = part.column(0).to_numpy(), part.column(7)
+            used = np.unique(np.concatenate([x, y])).tolist()
+            sets = {i: frozenset(told[i].values.to_pylist()) for i in used}
+            first = np.zeros(len(x), bool)
+            for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                both = sets[i] & sets[j]
+                first[k] = not both or min(both) == tile[i]
+            x, y = x[first], y[first]
+            half = part.column(1).to_numpy()
+            keep = _once(half[x], half[y])
+            if len(keep):
+                nodes = [_nodes_at(part, at[keep]) for at in (x, y)]
+                yield pa.RecordBatch.from_arrays([*nodes, pa.nulls(len(keep), pa.int64())], names=["x", "y", "tile"])
+
+    return _in_tiles(told, vectors, "told").transform(in_arrow, run, _PAIRS)
 
 
 def _once(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -505,6 +561,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y").distinct()
 
 
+def _names(vectors: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, n, root) of every node a, b; components go by 64 bits of their root."""
+    root = F.xxhash64(F.coalesce("root", "node"))
+    rooted = vectors.select("node", "n").join(roots, "node", "left")
+    return rooted.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("n").cast("int").alias("n"), root.alias("root"))
+
+
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The set table of (…, text) rows, and (node, root) of the nodes that link with others."""
     own = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -517,16 +580,20 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = verified(docs, sets, seen, "jaccard-near")
     roots = components(links, "jaccard-roots")
 
-    named = vectors.select(F.col("node.a").alias("half"), "node", "n")
-    rows = tiles.select("key", "half").distinct().join(named, "half").select("key", "node", "n")
+    rows = stored(_tile_rows(tiles, _names(vectors, roots)), "jaccard-apart")
+    found = stored(_forest_pairs(rows, vectors), "jaccard-forest")
     for forest in (True, False):
-        rows = _mixed(rows, roots, "jaccard-mixed")
-        rest = stored(_rest_pairs(rows, vectors, forest).join(seen, ["x", "y"], "left_anti"), "jaccard-rest")
+        rest = found.filter("tile is null")
+        rest = stored(_ordered(rest).join(seen, ["x", "y"], "left_anti"), "jaccard-rest")
         if not rest.isEmpty():
             seen = seen.unionByName(rest)
             links = links.unionByName(verified(docs, sets, rest, "jaccard-rest"))
             roots = components(links, "jaccard-roots")
-        rows = rows.drop("root")
+        if forest:  # all pairs, in the tiles that have more than the forest took
+            left = found.filter("tile is not null").select("tile").distinct()
+            rows = rows.join(left, "tile", "left_semi").drop("root")
+            rows = rows.join(_names(vectors, roots).select("a", "b", "root"), ["a", "b"])
+            found = stored(_rest_pairs(stored(_apart(rows), "jaccard-apart"), vectors), "jaccard-found")
     return sets, roots
 
 
