@@ -113,3 +113,16 @@ def test_match_candidates(small, limit):
 def test_no_rules_no_matches(small, spark):
     _, _, s, r = small
     assert rule_matches(s, r.filter("false")).count() == 0
+
+
+def test_word_tests_are_no_condition_of_the_join(spark):
+    """As a condition they would be run row by row, on a copy of the sentence for each of its words."""
+    sentences = spark.createDataFrame(
+        [(1, 0, ["a", "x", "b"]), (1, 1, ["b", "a"]), (2, 0, ["x", "c"]), (2, 1, None)], "post_id long, sentence_seq int, words array<string>"
+    )
+    rules = spark.createDataFrame([(1, 2, ["a", "b"]), (2, 0, ["c"]), (3, 1, ["a", "b"])], "rule_id long, gap int, words array<string>")
+    found = rule_matches(sentences, rules, sentences)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("lambdafunction" in line for line in joins)
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 0), (2, 2, 0)}

@@ -34,10 +34,12 @@ def ordered_gap_match(words: Column, rule_words: Column, gap: Column) -> Column:
 
     One pass over the positions of the sentence. ``done`` counts rule words met so far,
     ``last`` is the position the next one is measured from. The latest met word occurring
-    again moves ``last`` forward, however far away it is. Most positions leave the state
-    as it is, so nothing is built for them.
+    again moves ``last`` forward, however far away it is. Positions of other words leave the
+    state as it is, so the pass is over those of the rule's words.
     """
-    positions = F.sequence(F.lit(0), F.size(words) - 1)
+    positions = F.filter(
+        F.sequence(F.lit(0), F.size(words) - 1), lambda here: F.array_contains(rule_words, F.get(words, here))
+    )
     return F.aggregate(
         positions, _state(F.lit(0), F.lit(-1)), _step(words, rule_words, gap), lambda s: s["done"] == F.size(rule_words)
     )

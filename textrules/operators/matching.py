@@ -80,11 +80,12 @@ def rule_matches(
     pairs = candidate_pairs(sentences, rules, sample, limit)
     if window is not None:
         pairs = pairs.filter((F.col("post_id") > window[0]) & (F.col("post_id") <= window[1]))
-    return (
-        pairs.filter(holds_all(F.col("words"), F.col("rule_words")))
-        .filter(ordered_gap_match(F.col("words"), F.col("rule_words"), F.col("gap")))
-        .select(*KEYS)
-    )
+    # As filters the tests would become a condition of the join, which Spark then runs row by row on a
+    # copy of the sentence for each of its words; a generator stays behind it.
+    holds = holds_all(F.col("words"), F.col("rule_words"))
+    valid = (F.size("rule_words") == 1) | ordered_gap_match(F.col("words"), F.col("rule_words"), F.col("gap"))
+    valid = F.when(holds, valid)
+    return pairs.select(*KEYS, F.explode_outer(F.array(valid)).alias("valid")).filter("valid").select(*KEYS)
 
 
 def tested_candidates(
