@@ -205,6 +205,53 @@ def test_shared_runs_of_all_pairs_are_found(spark, docs_of):
     assert want <= {r["doc_id"] for r in found} | {r["other_id"] for r in found} and len(want) > 40
 
 
+def test_passages_at_places_between_first_and_last_are_found(spark, docs_of):
+    """Pieces of a passage, each too short, stand before and behind it: its signatures are at several places."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    rows, want = [], set()
+    for k in range(0, 24, 2):
+        passage = text(60)
+        pieces = lambda p=passage: sum((text(300) + p[at : at + 38] for at in (0, 11, 22)), [])
+        rows.append((k, " ".join(pieces() + text(300) + passage + text(300) + pieces() + text(100))))
+        rows.append((k + 1, " ".join(text(80) + passage + text(80))))
+        want.add((k, k + 1))
+    found = passages.query(docs_of(rows)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == want
+
+
+def _spots(texts, places=((60, 70),)):
+    """AROUND rows of one group: document k has root k and the places in its shingles."""
+    rows = []
+    for k, shingles in enumerate(texts):
+        for one, two in places:
+            data = b"".join((x % (1 << 24)).to_bytes(3, "little") for x in shingles)
+            rows.append((1, 2, k, k, 0, one, 200, 0, two, 200, 0, bytearray(data)))
+    return rows
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_alike_windows_share_enough_shingles(spark, monkeypatch, large):
+    """What shares too little with all others goes for a whole group at once; the rest is compared exactly."""
+    rng = random.Random(3)
+    own = lambda n: [rng.randrange(1 << 24) for _ in range(n)]
+    line, passage = own(20), own(46)
+    texts = [own(50) + line + own(47) for _ in range(300)]  # a common line that is too short
+    texts += [own(40) + passage + own(31) for _ in range(3)]
+    changed = passage[:20] + own(5) + passage[25:]
+    texts += [own(40) + changed + own(31), own(40) + passage[:32] + own(45)]  # the last shares enough by no run
+    rows = spark.createDataFrame(_spots(texts), passages.AROUND)
+    rule = passages.Passages()
+    held = passages._shared_only(rows, rule) if large else rows
+    monkeypatch.setattr(passages, "BLOCK", 2)
+    monkeypatch.setattr(passages, "WIDTH", 7)
+    met = {(r["a"], r["b"]) for r in passages.alike(held, rule).collect()}
+    if large:
+        assert held.count() < 10
+    assert met == {(a, b) for a in range(300, 304) for b in range(a + 1, 304)}
+
+
 # -- 4 and 5: tokens ----------------------------------------------------------------------
 
 ODD = [
