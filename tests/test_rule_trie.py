@@ -53,3 +53,19 @@ def test_rules_that_begin_alike_share_their_nodes(spark):
     assert keys(trie_matches(sentences, trie)) == [(p, p, 0) for p in range(1, 50, 2)]
     plan = trie_matches(sentences, trie)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_all_levels_are_one_pass_over_the_sentences(spark):
+    """Rules that end at every level, on the way to longer ones, and words that are null."""
+    rules = spark.createDataFrame(
+        [(1, 9, ["a"]), (2, 9, ["a", "b"]), (3, 9, ["a", "b", "c"]), (4, 9, ["a", "b", "c", "d"]), (5, 0, ["a", "b"]), (6, 9, ["b", "d"])],
+        "rule_id long, gap int, words array<string>",
+    )
+    sentences = spark.createDataFrame(
+        [(1, 0, ["a", None, "b", "c", "d"]), (2, 0, ["a", None, None]), (3, 0, [None, "b", "a", "b"]), (4, 0, [None])],
+        "post_id long, sentence_seq int, words array<string>",
+    )
+    found = trie_matches(sentences, rule_trie(rules))
+    want = keys(rule_matches(sentences, rules))
+    assert keys(found) == want and {r for r, *_ in want} >= {1, 2, 3, 4, 6}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [post_id") == 1

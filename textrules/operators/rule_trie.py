@@ -9,7 +9,8 @@ occur, not with rules times sentences. Rules longer than the trie is deep test t
 own.
 
 Nodes and rules are broadcast, in several parts when they are measured to be too large for one;
-no sentence moves.
+no sentence moves. While each is one part, all levels are one pass over the sentences: where rules end
+at a node, a row without a word further on goes along beside those that go on.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from textrules.functions.matching import next_place, rest_matches
 from textrules.operators.matching import KEYS
 from textrules.operators.numbering import number_words
-from textrules.session import BROADCAST_BYTES, broadcast_parts, written
+from textrules.session import BROADCAST_BYTES, broadcast_parts, fits_broadcast, written
 
 #: Words of a rule that the trie holds.
 DEPTH = 3
@@ -78,10 +79,45 @@ def _joined(rows: DataFrame, side: DataFrame, on: list[str], key: str, limit: in
     return reduce(DataFrame.unionByName, [rows.join(part, on) for part in broadcast_parts(side, key, limit)])
 
 
+def _in_one_pass(sentences: DataFrame, trie: RuleTrie, sides: list[DataFrame]) -> DataFrame:
+    """``trie_matches`` where the edges of each level (``sides``) and all ends fit a broadcast."""
+    stops = trie.ends.select(F.col("node").alias("child")).distinct().withColumn("stop", F.lit(True))
+    sides = [F.broadcast(side.join(stops, "child", "left")) for side in sides]  # no larger than what was measured, but for a flag
+    words = F.col("words")
+    held = sentences.select("post_id", "sentence_seq", "words", F.explode(F.array_distinct("words")).alias("word"))
+    here = held.join(sides[0].select("word", "child", "stop"), "word").select(
+        "post_id", "sentence_seq", "words", F.col("child").alias("node"), "word",
+        (F.array_position("words", F.col("word")) - 1).cast("int").alias("at"), "stop",
+    )
+    for side in sides[1:]:
+        # Of a sentence, only the words after the place can be next; a row that has ended has none.
+        later = F.array_compact(F.array_distinct(F.slice("words", F.col("at") + 2, F.size("words"))))
+        none = F.array().cast("array<string>")
+        ended = F.when(F.col("stop"), F.array(F.lit(None).cast("string"))).otherwise(none)
+        ahead = here.select(
+            "post_id", "sentence_seq", "words", F.col("node").alias("parent"), F.col("word").alias("own"), "at",
+            F.explode(F.concat(ended, F.when(F.col("word").isNull(), none).otherwise(later))).alias("word"),
+        )
+        reached = ahead.join(side, ["parent", "word"], "left").filter("word is null or child is not null")
+        place = next_place(words, F.col("at"), F.col("own"), F.col("word"), F.col("gap"))
+        here = reached.select(
+            "post_id", "sentence_seq", "words", F.coalesce("child", "parent").alias("node"), "word",
+            F.when(F.col("word").isNull(), F.col("at")).otherwise(place).alias("at"),
+            (F.col("word").isNull() | F.col("stop")).alias("stop"),
+        ).filter("at is not null")
+    ends = trie.ends.select("node", "rule_id", "gap", F.col("words").alias("rule_words"))
+    rest = rest_matches(words, F.col("rule_words"), F.col("gap"), trie.depth, F.col("at"))
+    done = here.filter("stop").join(F.broadcast(ends), "node").filter((F.size("rule_words") <= trie.depth) | rest)
+    return done.select(*KEYS)
+
+
 def trie_matches(sentences: DataFrame, trie: RuleTrie, limit: int = BROADCAST_BYTES // 2) -> DataFrame:
     """(rule_id, post_id, sentence_seq) of every match, as ``matching.rule_matches`` gives them."""
     edges = lambda d: trie.edges.filter(F.col("depth") == d).select("parent", "word", "child", "gap")
     words = F.col("words")
+    sides = [edges(d) for d in range(1, trie.depth + 1)]
+    if all(fits_broadcast(side, limit) for side in [*sides, trie.ends.drop("depth")]):
+        return _in_one_pass(sentences, trie, sides)
     held = sentences.select("post_id", "sentence_seq", "words", F.explode(F.array_distinct("words")).alias("word"))
     first = _joined(held, edges(1).select("word", "child"), ["word"], "child", limit)
     here = first.select(
